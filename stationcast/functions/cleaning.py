@@ -82,8 +82,11 @@ def format_key_ts(ts: Column) -> Column:
 
 def conform(df: DataFrame) -> DataFrame:
     """The reading columns, in table order and type; absent ones become null."""
+    # Columns that fit already stay untouched: a renaming no-op would keep Spark from reusing a shuffle.
+    fits = {f.name for f in df.schema if f.name in S.READING.names and f.dataType == S.READING[f.name].dataType}
     return df.select([
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        F.col(f.name) if f.name in fits
+        else (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in S.READING
     ])
 

@@ -43,7 +43,9 @@ def diurnal_profile(df: DataFrame, replicates: int = 1000, level: float = 95.0)
     key = F.concat_ws("|", F.col(S.STATION), F.date_format(S.TIME, "yyyy-MM-dd HH:mm:ss"))
     seed = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.lit(_PRIME)
     drawn = (df.where(F.col("aqi").isNotNull())
-             .select("hour", "aqi", seed.alias("_seed"))
+             .select(*S.KEY, "hour", "aqi", seed.alias("_seed"))
+             # Little data means much arithmetic here, so the partitions must not be merged by their bytes.
+             .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *S.KEY)
              .select("*", F.explode(F.expr(f"sequence(1L, {int(replicates)}L)")).alias("_replicate"))
              .withColumn("_w", _weight(F.col("_seed"), F.col("_replicate")))
              .where(F.col("_w") > 0))

@@ -1,22 +1,25 @@
 """Exact quantiles of columns of any length.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is fine up to a
+Spark's ``percentile`` keeps every distinct value of a group in one buffer, which is fine up to a
 checked number of values. Beyond it, each wanted rank is narrowed down between two approximate
-quantiles, whose own ranks are then counted exactly, until few enough values are left to sort. Only
-counts and bounds reach the driver.
+quantiles whose own ranks are then counted exactly, until few enough values are left to sort. Only
+counts, bounds and those few values reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
+SMALL = 100_000
 CANDIDATES = 100_000
 ACCURACY = 10_000
+# Both bounds are off by at most 1 / ACCURACY of the values searched and aim 2 / ACCURACY past the rank.
+_SPREAD = 6.0 / ACCURACY
 
 
 @dataclass
@@ -31,64 +34,62 @@ class _Search:
     high: float | None = None
     found: float | None = None
 
-    def window(self):
-        c = F.col(self.column)
-        keep = c.isNotNull()
-        if self.low is not None:
-            keep = keep & (c > F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (c < F.lit(self.high))
-        return keep
-
-
-def _narrow(df: DataFrame, open_: list[_Search]) -> None:
-    bounds = []
-    for i, s in enumerate(open_):
-        at = (s.rank - s.below + 0.5) / s.inside
-        margin = 2.0 / ACCURACY
-        probs = [max(0.0, at - margin), min(1.0, at + margin)]
-        inside = F.when(s.window(), F.col(s.column))
-        bounds.append(F.percentile_approx(inside, probs, ACCURACY).alias(f"b{i}"))
-    found = df.agg(*bounds).first()
-    counts = []
-    for i, s in enumerate(open_):
-        low, high = found[f"b{i}"]
-        c, keep = F.col(s.column), s.window()
-        for name, test in (("lt", c < F.lit(low)), ("le", c <= F.lit(low)),
-                           ("lth", c < F.lit(high)), ("leh", c <= F.lit(high))):
-            counts.append(F.count(F.when(keep & test, 1)).alias(f"{name}{i}"))
-    ranks = df.agg(*counts).first()
-    for i, s in enumerate(open_):
-        low, high = found[f"b{i}"]
-        want = s.rank - s.below
-        below_low, to_low = ranks[f"lt{i}"], ranks[f"le{i}"]
-        below_high, to_high = ranks[f"lth{i}"], ranks[f"leh{i}"]
-        if want < below_low:
-            s.high, s.inside = low, below_low
-        elif want < to_low:
+    def bracket(self) -> tuple:
+        return self.column, self.low, self.high
+
+
+def _inside(column: str, low: float | None, high: float | None) -> Column:
+    c = F.col(column)
+    keep = c.isNotNull()
+    if low is not None:
+        keep = keep & (c > F.lit(low))
+    if high is not None:
+        keep = keep & (c < F.lit(high))
+    return F.when(keep, c)
+
+
+def _bounds(df: DataFrame, searches: list[_Search]) -> list[tuple[float, float]]:
+    """Approximate values just below and just above each wanted rank; one sketch per bracket."""
+    probs = defaultdict(set)
+    wanted = []
+    for s in searches:
+        at, margin = (s.rank - s.below + 0.5) / s.inside, 2.0 / ACCURACY
+        pair = max(0.0, at - margin), min(1.0, at + margin)
+        wanted.append(pair)
+        probs[s.bracket()].update(pair)
+    brackets = {b: sorted(p) for b, p in probs.items()}
+    row = df.agg(*[F.percentile_approx(_inside(*b), p, ACCURACY).alias(f"b{i}")
+                   for i, (b, p) in enumerate(brackets.items())]).first()
+    values = {b: dict(zip(p, row[i])) for i, (b, p) in enumerate(brackets.items())}
+    return [(values[s.bracket()][low], values[s.bracket()][high]) for s, (low, high) in zip(searches, wanted)]
+
+
+def _narrow(df: DataFrame, searches: list[_Search], candidates: int) -> None:
+    """One round: find bounds, count their ranks, and fetch what lies between once that is little."""
+    bounds = _bounds(df, searches)
+    points = sorted({(s.column, v) for s, pair in zip(searches, bounds) for v in pair})
+    spans = sorted({(s.column, *pair) for s, pair in zip(searches, bounds)
+                    if s.inside * _SPREAD <= candidates and pair[0] < pair[1]})
+    counts = [F.count(F.when(test(F.col(c), F.lit(v)), 1)) for c, v in points
+              for test in (lambda a, b: a < b, lambda a, b: a <= b)]
+    values = [F.array_sort(F.collect_list(_inside(*span))) for span in spans]
+    row = df.agg(*counts, *values).first()
+    less = {p: (row[2 * i], row[2 * i + 1]) for i, p in enumerate(points)}
+    between = {span: row[2 * len(points) + i] for i, span in enumerate(spans)}
+    for s, (low, high) in zip(searches, bounds):
+        (lt_low, le_low), (lt_high, le_high) = less[s.column, low], less[s.column, high]
+        if s.rank < lt_low:
+            s.high, s.inside = low, lt_low - s.below
+        elif s.rank < le_low:
             s.found = low
-        elif want < below_high:
-            s.low, s.high, s.below, s.inside = low, high, s.below + to_low, below_high - to_low
-        elif want < to_high:
+        elif s.rank < lt_high:
+            s.low, s.high, s.below, s.inside = low, high, le_low, lt_high - le_low
+            if (s.column, low, high) in between:
+                s.found = between[s.column, low, high][s.rank - le_low]
+        elif s.rank < le_high:
             s.found = high
         else:
-            s.low, s.below, s.inside = high, s.below + to_high, s.inside - to_high
-
-
-def _select(df: DataFrame, searches: list[_Search], candidates: int) -> None:
-    while True:
-        wide = [s for s in searches if s.found is None and s.inside > candidates]
-        if not wide:
-            break
-        _narrow(df, wide)
-    rest = [s for s in searches if s.found is None]
-    if rest:
-        row = df.agg(*[
-            F.element_at(F.array_sort(F.collect_list(F.when(s.window(), F.col(s.column)))),
-                         s.rank - s.below + 1).alias(f"v{i}")
-            for i, s in enumerate(rest)]).first()
-        for i, s in enumerate(rest):
-            s.found = row[f"v{i}"]
+            s.low, s.inside, s.below = high, s.inside - (le_high - s.below), le_high
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], counts: dict[str, int],
@@ -97,21 +98,22 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], count
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if counts[c] == 0}
     short = [c for c in columns if 0 < counts[c] <= small]
     if short:
-        row = df.agg(*[F.percentile(c, probs).alias(c) for c in short]).first()
-        out.update({c: list(row[c]) for c in short})
+        rows = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(short)])
+        found = df.select(F.inline(rows)).groupBy("i").agg(F.percentile("x", probs).alias("q")).collect()
+        out.update({short[r["i"]]: list(r["q"]) for r in found})
     long = [c for c in columns if counts[c] > small]
-    if long:
-        wanted = {}
-        for c in long:
-            for p in probs:
-                at = p * (counts[c] - 1)
-                for rank in {math.floor(at), math.ceil(at)}:
-                    wanted[c, rank] = _Search(c, rank, 0, counts[c])
-        _select(df, list(wanted.values()), candidates)
-        for c in long:
-            out[c] = []
-            for p in probs:
-                at = p * (counts[c] - 1)
-                low, high = wanted[c, math.floor(at)].found, wanted[c, math.ceil(at)].found
-                out[c].append(low + (high - low) * (at - math.floor(at)))
+    wanted = {}
+    for c in long:
+        for p in probs:
+            at = p * (counts[c] - 1)
+            for rank in (math.floor(at), math.ceil(at)):
+                wanted[c, rank] = _Search(c, rank, 0, counts[c])
+    while open_ := [s for s in wanted.values() if s.found is None]:
+        _narrow(df, open_, candidates)
+    for c in long:
+        out[c] = []
+        for p in probs:
+            at = p * (counts[c] - 1)
+            low, high = float(wanted[c, math.floor(at)].found), float(wanted[c, math.ceil(at)].found)
+            out[c].append(low + (high - low) * (at - math.floor(at)))
     return out

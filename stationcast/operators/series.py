@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stationcast import schema as S
+from stationcast.session import materialize
 
 BLOCK_DAYS = 90
 DAY = 24
@@ -41,14 +42,10 @@ def _within(first: int, last: int, w: WindowSpec) -> Column:
     return at_start | at_end
 
 
-def over_series(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
-                after: int, block_days: int = BLOCK_DAYS) -> DataFrame:
-    """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
-
-    ``df`` holds one row per station and time.
-    """
+def _over_blocks(blocked: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
+                 after: int) -> DataFrame:
     inner = _block_window()
-    marked = with_block(df, block_days).withColumns({
+    marked = blocked.withColumns({
         "_border": _within(before, after, inner),
         "_near_border": _within(before + after, before + after, inner),
     })
@@ -58,6 +55,16 @@ def over_series(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]
     return inside.unionByName(border).drop(_BLOCK, "_border", "_near_border")
 
 
+def over_series(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
+                after: int, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
+
+    ``df`` holds one row per station and time. A block should hold many times ``before + after`` rows,
+    as only then few rows are near a border; and it must fit one task.
+    """
+    return _over_blocks(with_block(df, block_days), columns, before, after)
+
+
 def rolling(aggregate: Callable[[Column], Column], value: str, rows: int, min_rows: int,
             w: WindowSpec) -> Column:
     """Aggregate of the last ``rows`` rows, if at least ``min_rows`` of them have a value."""
@@ -143,39 +150,36 @@ def median_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     return cadence.withColumn("rows_per_day", rows_per_day(F.col("median_gap_hours")))
 
 
-def _row_offsets(df: DataFrame, block_days: int) -> DataFrame:
-    """Per (station, block): how many rows come before it. One small row per block."""
-    counts = (with_block(df.select(*S.KEY), block_days)
-              .groupBy(S.STATION, _BLOCK).agg(F.count(F.lit(1)).alias("_rows")))
-    earlier = (Window.partitionBy(S.STATION).orderBy(_BLOCK)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    return counts.select(S.STATION, _BLOCK, before.alias("_before"))
+def over_series_by_cadence(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
+                           block_days: int = BLOCK_DAYS) -> DataFrame:
+    """``over_series`` plus the targets ``rows_per_day * n`` rows ahead, n = 1..3, at each station's own
+    cadence.
+
+    ``lead`` needs a constant offset, so there is one lead per cadence that occurs (whole numbers up to
+    240) and each row takes its station's. The cadence is joined by station and block: that is the
+    windows' own partitioning, and a long series does not end up in one task.
+    """
+    keys = df.select(*S.KEY)
+    cadence = materialize(median_cadence(keys, block_days).select(S.STATION, "rows_per_day"))
+    found = sorted(r[0] for r in cadence.select("rows_per_day").distinct().collect())
+    blocks = with_block(keys, block_days).select(S.STATION, _BLOCK).distinct().join(cadence, S.STATION)
+    blocked = with_block(df, block_days).join(blocks, [S.STATION, _BLOCK])
 
+    def with_targets(w: WindowSpec) -> dict[str, Column]:
+        targets = {}
+        for name, h in zip(S.TARGETS, S.HORIZONS):
+            ahead = [F.when(F.col("rows_per_day") == n, F.lead("aqi", n * h).over(w)) for n in found]
+            targets[name] = F.coalesce(*ahead) if ahead else F.lit(None).cast("double")
+        return {**columns(w), **targets}
 
-def targets_by_cadence(df: DataFrame, block_days: int = BLOCK_DAYS,
-                       keys: DataFrame | None = None) -> DataFrame:
-    """The value ``rows_per_day * n`` rows ahead, n = 1..3, where each station has its own cadence.
+    return _over_blocks(blocked, with_targets, before, 3 * max(found, default=1))
 
-    ``keys`` may name a cheaper frame with the same stations and times to take the cadence from.
 
-    ``lead`` needs a constant offset, so rows are numbered and joined to the row they ask for. Both
-    sides are keyed by (station, row number), which spreads a long series evenly. The cadence reaches
-    the rows through the block table, so nothing large is shuffled by station alone.
-    """
-    keys = df if keys is None else keys
-    blocks = _row_offsets(keys, block_days).join(
-        median_cadence(keys, block_days).select(S.STATION, "rows_per_day"), S.STATION)
-    numbered = (with_block(df, block_days)
-                .withColumn("_in_block", F.row_number().over(_block_window()))
-                .join(blocks, [S.STATION, _BLOCK])
-                .withColumn("_row", F.col("_before") + F.col("_in_block"))
-                .drop(_BLOCK, "_before", "_in_block"))
-    offers = F.array(*[F.struct((F.col("_row") - F.col("rows_per_day") * h).alias("_row"),
-                                F.lit(h).alias("_horizon"), F.col("aqi").alias("_value"))
-                       for h in S.HORIZONS])
-    ahead = (numbered.select(S.STATION, F.inline(offers)).where(F.col("_row") > 0)
-             .groupBy(S.STATION, "_row")
-             .agg(*[F.max(F.when(F.col("_horizon") == h, F.col("_value"))).alias(name)
-                    for name, h in zip(S.TARGETS, S.HORIZONS)]))
-    return numbered.join(ahead, [S.STATION, "_row"], "left").drop("_row")
+def targets_by_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """The three targets at each station's cadence, and the cadence as ``rows_per_day``."""
+    return over_series_by_cadence(df, lambda w: {}, 0, block_days)
+
+
+def features_and_cadence_targets(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """Features and cadence targets from the same windows."""
+    return over_series_by_cadence(df, feature_window_columns, 3 * DAY, block_days).drop("rows_per_day")

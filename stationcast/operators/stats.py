@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from stationcast import schema as S
@@ -21,31 +21,32 @@ def _position(columns: list[str], i: int) -> Column:
     return F.lit(i + 1).cast("bigint").alias("position")
 
 
-def _counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    return df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, x) rows, one per column. Aggregating these by ``i`` keeps the generated code small, which
+    for many columns is faster than one wide aggregation."""
+    return _long(df, [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x"))
+                      for i, c in enumerate(columns)])
+
+
+def moments(df: DataFrame, columns: list[str]) -> dict[str, Row]:
+    """n, mean, std (n-1), min and max per column, in one pass."""
+    rows = _values(df, columns).groupBy("i").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max")).collect()
+    found = {columns[r["i"]]: r for r in rows}
+    empty = Row(n=0, mean=None, std=None, min=None, max=None)
+    return {c: found.get(c, empty) for c in columns}
 
 
 def describe(df: DataFrame, columns: list[str], small: int = quantiles.SMALL) -> DataFrame:
     """count, mean, std (n-1), min, exact quartiles and max: one row per column."""
-    counts = _counts(df, columns)
-    if max(counts.values()) <= small:
-        quartiles = {c: [F.element_at(F.col(f"{c}_q"), i + 1) for i in range(3)] for c in columns}
-        extra = [F.percentile(c, QUARTILES).alias(f"{c}_q") for c in columns]
-    else:
-        values = quantiles.exact_quantiles(df, columns, QUARTILES, counts, small)
-        quartiles = {c: [F.lit(v).cast("double") for v in values[c]] for c in columns}
-        extra = []
-    moments = [f(c).alias(f"{c}_{name}") for c in columns
-               for name, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp),
-                               ("min", F.min), ("max", F.max))]
-    wide = df.agg(*moments, *extra)
-    return _long(wide, [
-        F.struct(_position(columns, i), F.lit(c).alias("feature"), F.col(f"{c}_n").alias("count"),
-                 F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_std").alias("std"),
-                 F.col(f"{c}_min").cast("double").alias("min"), quartiles[c][0].alias("q25"),
-                 quartiles[c][1].alias("q50"), quartiles[c][2].alias("q75"),
-                 F.col(f"{c}_max").cast("double").alias("max"))
-        for i, c in enumerate(columns)])
+    m = moments(df, columns)
+    quartiles = quantiles.exact_quantiles(df, columns, QUARTILES, {c: m[c]["n"] for c in columns}, small)
+    rows = [(i + 1, c, m[c]["n"], m[c]["mean"], m[c]["std"], m[c]["min"], *quartiles[c], m[c]["max"])
+            for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(
+        rows, "position bigint, feature string, count bigint, mean double, std double, min double, "
+              "q25 double, q50 double, q75 double, max double")
 
 
 def column_info(df: DataFrame) -> DataFrame:
@@ -93,15 +94,14 @@ def histogram(df: DataFrame, columns: list[str], small: int = quantiles.SMALL) -
 
     One pass finds the ranges, one the quartiles, one counts all columns together.
     """
-    wide = df.agg(*[f(c).alias(f"{c}_{name}") for c in columns
-                    for name, f in (("n", F.count), ("min", F.min), ("max", F.max))]).first()
-    counts = {c: wide[f"{c}_n"] for c in columns}
+    m = moments(df, columns)
+    counts = {c: m[c]["n"] for c in columns}
     quartiles = quantiles.exact_quantiles(df, columns, [0.25, 0.75], counts, small)
     filled = [c for c in columns if counts[c] > 0]
     edges = {}
     for c in filled:
         # A constant column gets one bin around its value.
-        low, high = wide[f"{c}_min"], wide[f"{c}_max"]
+        low, high = m[c]["min"], m[c]["max"]
         bins = auto_bins(counts[c], low, high, *quartiles[c])
         edges[c] = (low - 0.5, high + 0.5, 1) if low == high else (low, high, bins)
     return binned_counts(df, edges)
@@ -143,19 +143,20 @@ def density_curve(df: DataFrame, columns: list[str], points: int = 200,
 
     ``density`` integrates to 1; ``scaled`` is on the scale of histogram counts when ``bin_width``
     gives the histogram's bin width. Equal values are counted first; each task then adds up its share
-    of every grid point, so the shuffle carries ``points`` rows per task and column.
+    of every grid point, so the second shuffle carries ``points`` rows per task and column.
     """
-    wide = df.agg(*[f(c).alias(f"{c}_{name}") for c in columns
-                    for name, f in (("n", F.count), ("std", F.stddev_samp), ("min", F.min),
-                                    ("max", F.max))])
-    spec = _long(wide, [F.struct(
-        F.lit(c).alias("feature"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_min").alias("low"),
-        ((F.col(f"{c}_max") - F.col(f"{c}_min")) / (points - 1)).alias("step"),
-        (F.col(f"{c}_std") * F.pow(F.col(f"{c}_n").cast("double"), F.lit(-0.2))).alias("h"))
-        for c in columns]).where(F.col("h") > 0)
-    values = (_long(df, [F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in columns])
+    spark = df.sparkSession
+    m = moments(df, columns)
+    # A constant or single value has no bandwidth and so no curve.
+    spec = spark.createDataFrame(
+        [(c, m[c]["n"], m[c]["min"], (m[c]["max"] - m[c]["min"]) / (points - 1), m[c]["std"] * m[c]["n"] ** -0.2)
+         for c in columns if m[c]["std"]],
+        "feature string, n bigint, low double, step double, h double")
+    values = (_long(df, [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
               .where(F.col("x").isNotNull())
               .groupBy("feature", "x").agg(F.count(F.lit(1)).alias("times")))
+    # Little data means much arithmetic here, so the partitions must not be merged by their bytes.
+    values = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "feature", "x")
     # spec has one row per column, by construction.
     placed = values.join(F.broadcast(spec), "feature").select(
         "feature", "x", "times", "n", "low", "step", "h",
@@ -178,18 +179,17 @@ def density_curve(df: DataFrame, columns: list[str], points: int = 200,
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair over the rows that have both, as long rows.
 
-    All pairs are computed in one aggregation; each pair appears in both orders.
+    One pass for all pairs; each pair appears in both orders.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs],
-                  *[F.var_pop(a).alias(f"{a}__{a}") for a in columns])
-    rows = []
-    for a in columns:
-        for b in columns:
-            if a == b:
-                value = F.when(F.col(f"{a}__{a}") > 0, F.lit(1.0))
-            else:
-                value = F.col(f"{a}__{b}" if (a, b) in pairs else f"{b}__{a}")
-            rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
-                                 F.when(~F.isnan(value), value).alias("r")))
-    return _long(wide, rows)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    rows = _long(df, [F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+                      for i, (a, b) in enumerate(pairs)])
+    r = F.corr("a", "b")
+    found = rows.groupBy("i").agg(F.when(~F.isnan(r), r).alias("r"), F.var_pop("a").alias("spread"))
+    names = [F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1)]
+    x, y = (F.get(n, F.col("i")) for n in names)
+    value = F.when(x == y, F.when(F.col("spread") > 0, F.lit(1.0))).otherwise(F.col("r"))
+    return found.select(F.inline(F.when(
+        x == y, F.array(F.struct(x.alias("x"), y.alias("y"), value.alias("r")))
+    ).otherwise(F.array(F.struct(x.alias("x"), y.alias("y"), value.alias("r")),
+                        F.struct(y.alias("x"), x.alias("y"), value.alias("r"))))))

@@ -18,8 +18,8 @@ from stationcast.functions.cleaning import (drop_zero_weather, feature_columns,
 from stationcast.functions.display import display_label
 from stationcast.operators import evaluate
 from stationcast.operators.dedup import dedup_readings
-from stationcast.operators.series import (BLOCK_DAYS, features_and_fixed_targets, series_features,
-                                          targets_by_cadence)
+from stationcast.operators.series import (BLOCK_DAYS, features_and_cadence_targets,
+                                          features_and_fixed_targets)
 from stationcast.session import ensure_checkpoint_dir, materialize
 from stationcast.sources import tables
 
@@ -43,7 +43,7 @@ def labelled_frame(readings: DataFrame, targets: str = "cadence", clean_weather:
     if targets == "fixed":
         return features_and_fixed_targets(rows, block_days)
     if targets == "cadence":
-        return targets_by_cadence(series_features(rows, block_days), block_days, rows.select(*S.KEY))
+        return features_and_cadence_targets(rows, block_days)
     raise ValueError(f"unknown targets {targets!r}")
 
 

@@ -67,7 +67,7 @@ def series_features_per_user(t: Tables) -> DataFrame:
 
 @query("series_features_per_supplier", _windowed(Q.FEATURES, Q.WINDOW_NAMES, "suppliers", Q.SUPPLIERS))
 def series_features_per_supplier(t: Tables) -> DataFrame:
-    return series.series_features(t.suppliers, block_days=365).select(CITY, TIME, *Q.WINDOW_NAMES)
+    return series.series_features(t.suppliers, block_days=3650).select(CITY, TIME, *Q.WINDOW_NAMES)
 
 
 @query("row_gap", f"""WITH {Q.BY_USER} SELECT {Q.KEY}, CAST(epoch(ingestion_timestamp)
@@ -127,7 +127,7 @@ def targets_by_cadence_per_user(t: Tables) -> DataFrame:
 @query("targets_by_cadence_per_supplier", f"""WITH {Q.SUPPLIERS}, {_cadence('suppliers')}, {_by_cadence('suppliers')}
   SELECT {Q.KEY}, {Q.r('aqi')}, rows_per_day, {Q.r(*S.TARGETS)} FROM ahead""")
 def targets_by_cadence_per_supplier(t: Tables) -> DataFrame:
-    return series.targets_by_cadence(t.suppliers.select(CITY, TIME, "aqi"), block_days=365)
+    return series.targets_by_cadence(t.suppliers.select(CITY, TIME, "aqi"), block_days=3650)
 
 
 # --- frames --------------------------------------------------------------------------------
@@ -141,7 +141,7 @@ def training_frame_fixed(t: Tables) -> DataFrame:
   featured AS (SELECT *, {Q.FEATURES} FROM ahead {Q.WINDOWS})
   SELECT {Q.FRAME_OUT} FROM featured WHERE {Q.present(*S.TARGETS)} AND {Q.present(*Q.FEATURE_NAMES)}""")
 def training_frame_cadence(t: Tables) -> DataFrame:
-    return training.training_frame(t.readings).drop("rows_per_day")
+    return training.training_frame(t.readings)
 
 
 @query("training_frame_unfiltered", f"""WITH {Q.READINGS}, framed AS (
