@@ -32,7 +32,8 @@ def aqi_category(aqi: Column) -> dict[str, Column]:
 
 def finalize_prediction(prediction: Column) -> Column:
     """Nearest whole number, halves to even, never below 0."""
-    return F.greatest(F.lit(0.0), F.rint(prediction)).cast("bigint")
+    whole = F.greatest(F.lit(0.0), F.rint(prediction)).cast("bigint")
+    return F.when(prediction.isNotNull(), whole)
 
 
 def horizon_label(horizon: Column) -> Column:

@@ -133,8 +133,9 @@ def row_gap(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
 
 def rows_per_day(median_gap_hours: Column) -> Column:
     """Rows that make a day at this cadence, halves to even, at least 1 and at most 240."""
-    rows = F.rint(F.lit(24.0) / F.greatest(median_gap_hours, F.lit(0.1))).cast("bigint")
-    return F.coalesce(F.greatest(F.lit(1), rows), F.lit(DEFAULT_ROWS_PER_DAY)).cast("bigint")
+    # greatest() skips nulls, so a station without a gap is handled first.
+    rows = F.greatest(F.lit(1.0), F.rint(F.lit(24.0) / F.greatest(median_gap_hours, F.lit(0.1))))
+    return (F.when(median_gap_hours.isNull(), F.lit(DEFAULT_ROWS_PER_DAY)).otherwise(rows)).cast("bigint")
 
 
 def median_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:

@@ -184,11 +184,15 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     rows = _long(df, [F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
                       for i, (a, b) in enumerate(pairs)])
-    r = F.corr("a", "b")
-    found = rows.groupBy("i").agg(F.when(~F.isnan(r), r).alias("r"), F.var_pop("a").alias("spread"))
+    # corr() itself fails on a constant column in ANSI mode.
+    spread = F.sqrt(F.var_pop("a") * F.var_pop("b"))
+    found = (rows.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("i")
+             .agg(F.when(spread > 0, F.try_divide(F.covar_pop("a", "b"), spread)).alias("r")))
+    every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("i"))
+    found = every.join(found, "i", "left")
     names = [F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1)]
     x, y = (F.get(n, F.col("i")) for n in names)
-    value = F.when(x == y, F.when(F.col("spread") > 0, F.lit(1.0))).otherwise(F.col("r"))
+    value = F.when((x == y) & F.col("r").isNotNull(), F.lit(1.0)).otherwise(F.col("r"))
     return found.select(F.inline(F.when(
         x == y, F.array(F.struct(x.alias("x"), y.alias("y"), value.alias("r")))
     ).otherwise(F.array(F.struct(x.alias("x"), y.alias("y"), value.alias("r")),

@@ -46,8 +46,7 @@ def labelled_horizons(predictions: DataFrame, run_date: Column) -> DataFrame:
     rows = [F.struct(F.lit(h).cast("bigint").alias("horizon"), F.col(p).alias("prediction"))
             for h, p in zip(S.HORIZONS, S.PREDICTIONS)]
     long = (predictions.select(S.STATION, run_date.alias("run_date"), F.inline(F.array(*rows)))
-            .withColumn("pred_aqi", F.when(F.col("prediction").isNotNull(),
-                                           finalize_prediction(F.col("prediction")))))
+            .withColumn("pred_aqi", finalize_prediction(F.col("prediction"))))
     category = aqi_category(F.col("pred_aqi"))
     category["advice"] = F.coalesce(category["advice"], F.lit(S.NOT_AVAILABLE))
     return long.select(S.STATION, "run_date", "horizon", horizon_label(F.col("horizon")).alias("day_label"),
