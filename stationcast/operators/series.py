@@ -42,12 +42,13 @@ def _within(first: int, last: int, w: WindowSpec) -> Column:
     return at_start | at_end
 
 
-def _over_blocks(blocked: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
-                 after: int) -> DataFrame:
+def _over_blocks(blocked: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]],
+                 reach: Callable[[Callable[[int, int], Column]], Column]) -> DataFrame:
+    """``reach`` applies a test of (rows back, rows ahead) to what the columns of a row need."""
     inner = _block_window()
     marked = blocked.withColumns({
-        "_border": _within(before, after, inner),
-        "_near_border": _within(before + after, before + after, inner),
+        "_border": reach(lambda back, ahead: _within(back, ahead, inner)),
+        "_near_border": reach(lambda back, ahead: _within(back + ahead, back + ahead, inner)),
     })
     inside = marked.withColumns(columns(inner)).where(~F.col("_border"))
     border = (marked.where(F.col("_near_border")).withColumns(columns(_station_window()))
@@ -60,9 +61,10 @@ def over_series(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]
     """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``df`` holds one row per station and time. A block should hold many times ``before + after`` rows,
-    as only then few rows are near a border; and it must fit one task.
+    as only then few rows are near a border; and it must fit one task, which it does when times are
+    unique to the second (86,400 rows a day at most).
     """
-    return _over_blocks(with_block(df, block_days), columns, before, after)
+    return _over_blocks(with_block(df, block_days), columns, lambda test: test(before, after))
 
 
 def rolling(aggregate: Callable[[Column], Column], value: str, rows: int, min_rows: int,
@@ -144,7 +146,14 @@ def median_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     Gaps are counted before the median. Distinct gaps of a station add up to at most its time span,
     so even twenty years at one-second resolution leave fewer than 40,000 of them.
     """
-    gaps = (row_gap(df.select(*S.KEY), block_days)
+    keys = with_block(df.select(*S.KEY), block_days)
+    seconds = F.unix_seconds(S.TIME)
+    within = keys.select(S.STATION, (seconds - F.lag(seconds, 1).over(_block_window())).alias("gap_seconds"))
+    blocks = keys.groupBy(S.STATION, _BLOCK).agg(F.min(seconds).alias("_first"), F.max(seconds).alias("_last"))
+    previous = F.lag("_last", 1).over(Window.partitionBy(S.STATION).orderBy(_BLOCK))
+    between = blocks.select(S.STATION, (F.col("_first") - previous).alias("gap_seconds"))
+    # The first row of a block has its gap in `between`; a station's first row has none, but must stay.
+    gaps = (within.where(F.col("gap_seconds").isNotNull()).unionByName(between)
             .groupBy(S.STATION, "gap_seconds").agg(F.count(F.lit(1)).alias("times")))
     median = F.percentile(F.col("gap_seconds"), F.lit(0.5), F.col("times")) / F.lit(3600.0)
     cadence = gaps.groupBy(S.STATION).agg(median.alias("median_gap_hours"))
@@ -173,7 +182,14 @@ def over_series_by_cadence(df: DataFrame, columns: Callable[[WindowSpec], dict[s
             targets[name] = F.coalesce(*ahead) if ahead else F.lit(None).cast("double")
         return {**columns(w), **targets}
 
-    return _over_blocks(blocked, with_targets, before, 3 * max(found, default=1))
+    def reach(test: Callable[[int, int], Column]) -> Column:
+        # Each station's own reach: one fast station must not widen everybody's borders.
+        border = F.lit(False)
+        for n in found:
+            border = F.when(F.col("rows_per_day") == n, test(before, 3 * n)).otherwise(border)
+        return border
+
+    return _over_blocks(blocked, with_targets, reach)
 
 
 def targets_by_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:

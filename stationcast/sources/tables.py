@@ -65,11 +65,26 @@ def _snapshots(root: str) -> str:
     return f"{root}/{GROUP}_latest"
 
 
+def _sequences(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished snapshots, ascending. One folder listing, no file is opened."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("seq=")]
+    return sorted(int(p.getName().removeprefix("seq=")) for p in found
+                  if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def _last_sequence(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).agg(F.max("seq")).first()[0] or 0
-    except AnalysisException:
-        return 0
+    return max(_sequences(spark, path), default=0)
+
+
+def _drop_old(spark: SparkSession, path: str, keep: int) -> None:
+    for number in _sequences(spark, path)[:-keep]:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/seq={number}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
@@ -148,14 +163,19 @@ def recreate_version(df: DataFrame, root: str, version: int, group: str = GROUP)
      .partitionBy(EVENT_DATE).parquet(table_path(root, version, group)))
 
 
-def refresh_latest(df: DataFrame, root: str) -> None:
-    """Fold new readings into the latest-row snapshot; each refresh writes a new numbered folder."""
+def refresh_latest(df: DataFrame, root: str, keep: int = 3) -> None:
+    """Fold new readings into the latest-row snapshot.
+
+    Each refresh writes a new numbered folder, so a reader never sees a half-written one; the newest
+    ``keep`` folders stay for readers that have already started.
+    """
     spark, path = df.sparkSession, _snapshots(root)
     last = _last_sequence(spark, path)
     rows = conform(df)
     if last:
         rows = spark.read.schema(S.READING).parquet(f"{path}/seq={last}").unionByName(rows)
     latest_row(rows).write.mode("overwrite").parquet(f"{path}/seq={last + 1}")
+    _drop_old(spark, path, keep)
 
 
 def overwrite_cache(df: DataFrame, path: str) -> None:

@@ -75,6 +75,11 @@ def test_latest_snapshot_moves_forward_only(spark, tmp_path):
         tables.refresh_latest(readings(spark, *batch), root)
     got = {(r["city"], r["aqi"]) for r in tables.read_latest(spark, root).collect()}
     assert got == {("a", 2.0), ("b", 3.0), ("c", 7.0)}
+    (tmp_path / "aqi_features_latest" / "seq=9").mkdir()  # not finished
+    for _ in range(3):
+        tables.refresh_latest(readings(spark, ("d", 1, 0, 5)), root)
+    assert tables.read_latest(spark, root).count() == 4
+    assert len(list((tmp_path / "aqi_features_latest").glob("seq=*/_SUCCESS"))) == 3
 
 
 def test_first_available_skips_missing_and_empty(spark, tmp_path):
