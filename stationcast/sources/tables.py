@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from stationcast import schema as S
 from stationcast.functions.cleaning import KEY_FORMAT, conform
 from stationcast.operators.dedup import append_dedup, dedup_readings, latest_row
-from stationcast.session import materialize
+from stationcast.session import materialize, remove, scratch_path
 
 GROUP = "aqi_features"
 VERSION = 6
@@ -83,8 +83,7 @@ def _last_sequence(spark: SparkSession, path: str) -> int:
 
 def _drop_old(spark: SparkSession, path: str, keep: int) -> None:
     for number in _sequences(spark, path)[:-keep]:
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/seq={number}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        remove(spark, f"{path}/seq={number}")
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
@@ -112,7 +111,9 @@ def read_past_predictions(spark: SparkSession, path: str) -> DataFrame:
 def read_last_prediction(spark: SparkSession, path: str) -> DataFrame:
     """One row per horizon, each with the conditions at prediction time."""
     snapshot = spark.read.schema(S.LAST_PREDICTION).json(path, multiLine=True)
-    return snapshot.select("timestamp", "model_name", "current_conditions.*", F.inline("predictions"))
+    # A document per folder (such as city=...) keeps the folder's columns.
+    folders = [c for c in snapshot.columns if c not in S.LAST_PREDICTION.names]
+    return snapshot.select(*folders, "timestamp", "model_name", "current_conditions.*", F.inline("predictions"))
 
 
 def read_feature_list(spark: SparkSession, path: str) -> list[str] | None:
@@ -133,28 +134,33 @@ def upsert_features(df: DataFrame, root: str, version: int = VERSION, mode: str
     again adds nothing. ``replace`` lets the new row win and rewrites the dates the batch touches.
     Both read only those dates. One writer at a time.
     """
+    if mode not in ("keep", "replace"):
+        raise ValueError(f"unknown mode {mode!r}")
     spark, path = df.sparkSession, table_path(root, version, group)
-    # Written out first: the batch is read twice below and must be the same both times.
-    batch = materialize(_prepared(df))
-    span = batch.agg(F.min(EVENT_DATE).alias("first"), F.max(EVENT_DATE).alias("last")).first()
-    if span["first"] is None:
-        return
-    stored = _stored(spark, path)
-    if stored is not None:
-        stored = stored.where(F.col(EVENT_DATE).between(F.lit(span["first"]), F.lit(span["last"])))
-    if mode == "keep":
+    # Written out first: the batch is read twice and must be the same both times.
+    scratch = scratch_path(spark, "upsert")
+    try:
+        batch = materialize(_prepared(df), f"{scratch}/batch")
+        span = batch.agg(F.min(EVENT_DATE).alias("first"), F.max(EVENT_DATE).alias("last")).first()
+        if span["first"] is None:
+            return
+        stored = _stored(spark, path)
         if stored is not None:
+            stored = stored.where(F.col(EVENT_DATE).between(F.lit(span["first"]), F.lit(span["last"])))
+        writer_mode, overwrite = "append", "static"
+        if mode == "keep" and stored is not None:
             batch = batch.join(stored.select(*S.KEY), S.KEY, "left_anti")
-        _laid_out(batch).write.mode("append").partitionBy(EVENT_DATE).parquet(path)
-    elif mode == "replace":
-        if stored is not None:
-            touched = batch.select(EVENT_DATE).distinct()
-            old = stored.join(touched, EVENT_DATE, "left_semi")
-            batch = materialize(append_dedup(batch, old))
-        (_laid_out(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        if mode == "replace":
+            writer_mode, overwrite = "overwrite", "dynamic"
+            if stored is not None:
+                touched = batch.select(EVENT_DATE).distinct()
+                old = stored.join(touched, EVENT_DATE, "left_semi")
+                # The dates being overwritten are also being read.
+                batch = materialize(append_dedup(batch, old), f"{scratch}/merged")
+        (_laid_out(batch).write.mode(writer_mode).option("partitionOverwriteMode", overwrite)
          .partitionBy(EVENT_DATE).parquet(path))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
+    finally:
+        remove(spark, scratch)
 
 
 def recreate_version(df: DataFrame, root: str, version: int, group: str = GROUP) -> None:

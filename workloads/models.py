@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationcast import schema as S
 from stationcast.operators import evaluate, stats
+from stationcast.operators.dedup import latest_row
 from stationcast.plans import forecast as forecasting
 from stationcast.plans import training
 from stationcast.session import materialize, scratch_path
@@ -162,6 +163,53 @@ def scalar_forecast(t: Tables) -> DataFrame:
     return out.withColumn("run_date", F.col("run_date").cast("string"))
 
 
+# --- prediction archives -------------------------------------------------------------------
+# One JSON document per station, as an archive file of its own.
+
+_STEPS_SQL = "CAST(greatest(0, round_even(aqi_rolling_mean_24h * 10 + 7 * (horizon - 1), 0)) AS BIGINT)"
+
+
+def _documents(t: Tables, rows: DataFrame, label: str) -> str:
+    path = scratch_path(t.spark, label)
+    rows.select(CITY, "value").write.partitionBy(CITY).text(path)
+    return path
+
+
+def _forecasts(t: Tables) -> DataFrame:
+    steps = [(F.col("prediction") + 7 * i).alias(p) for i, p in enumerate(S.PREDICTIONS)]
+    rows = _newest_prediction(t).select(CITY, *steps)
+    return forecasting.labelled_horizons(rows, F.lit(_RUN_DATE).cast("date"))
+
+
+def _in_order(*columns: str) -> Column:
+    """A station's three horizons as one array."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("horizon", F.struct(*columns).alias("r")))),
+                       lambda e: e["r"])
+
+
+@query("past_predictions", f"""SELECT city, target_date AS date, pred_aqi AS predicted_aqi, label, css_class, pill_class
+  FROM ({_labelled_sql(_STEPS_SQL)})""")
+def past_predictions(t: Tables) -> DataFrame:
+    renamed = _forecasts(t).withColumnsRenamed({"target_date": "date", "pred_aqi": "predicted_aqi"})
+    documents = renamed.groupBy(CITY).agg(F.to_json(_in_order(*S.PAST_PREDICTION.names)).alias("value"))
+    return tables.read_past_predictions(t.spark, _documents(t, documents, "past"))
+
+
+@query("last_prediction", f"""WITH newest AS ({Q.hourly(Q.SITE)}), ranked AS (SELECT *, row_number() OVER (PARTITION BY city
+    ORDER BY ingestion_timestamp DESC) AS rn FROM newest)
+  SELECT f.city, '2024-02-01' AS "timestamp", 'mean' AS model_name, {', '.join(
+      f'round(coalesce(r.{c}, 0.0) + 1e-9, 4) AS {c}' for c in S.CONDITIONS)}, day_label, target_date, pred_aqi, label,
+  css_class, pill_class, advice FROM ({_labelled_sql(_STEPS_SQL)}) f JOIN ranked r ON r.city = f.city AND rn = 1""")
+def last_prediction(t: Tables) -> DataFrame:
+    fields = S.LAST_PREDICTION["predictions"].dataType.elementType.names
+    predictions = _forecasts(t).groupBy(CITY).agg(_in_order(*fields).alias("predictions"))
+    documents = latest_row(t.readings).join(predictions, CITY).select(CITY, F.to_json(F.struct(
+        F.lit(_RUN_DATE).alias("timestamp"), F.struct(*S.CONDITIONS).alias("current_conditions"), "predictions",
+        F.lit("mean").alias("model_name"))).alias("value"))
+    path = _documents(t, documents, "last")
+    return tables.read_last_prediction(t.spark, path)
+
+
 # --- fitted models -------------------------------------------------------------------------
 # Few rounds: the driver fits these on every run. The defaults of candidate_models are the full ones.
 
