@@ -42,6 +42,16 @@ def without_time(df: DataFrame, column: str = "timestamp") -> DataFrame:
     return df.where(F.col(column).isNull()).withColumn("reason", F.lit(f"no {column}"))
 
 
+def with_key(df: DataFrame) -> DataFrame:
+    """Rows that have a station and an ingestion time, and so can be stored."""
+    return df.na.drop("any", subset=S.KEY)
+
+
+def without_key(df: DataFrame) -> DataFrame:
+    missing = F.col(S.STATION).isNull() | F.col(S.TIME).isNull()
+    return df.where(missing).withColumn("reason", F.lit("no key"))
+
+
 def zero_fill(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Missing numbers become 0; text stays as it is."""
     columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

@@ -5,6 +5,9 @@ series is cut into blocks of ``block_days`` and windowed per (station, block). O
 border need neighbours from other blocks: those rows, with just enough of their surroundings, go
 through a second window per station. That second window sees a fixed number of rows per block, so its
 size depends on the time span and not on how many rows a station has.
+
+``block_days=None`` windows each station as a whole. That saves the second window where the length of
+a series is known to be small, as with daily rows (36,525 in a century).
 """
 
 from __future__ import annotations
@@ -57,13 +60,15 @@ def _over_blocks(blocked: DataFrame, columns: Callable[[WindowSpec], dict[str, C
 
 
 def over_series(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
-                after: int, block_days: int = BLOCK_DAYS) -> DataFrame:
+                after: int, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``df`` holds one row per station and time. A block should hold many times ``before + after`` rows,
     as only then few rows are near a border; and it must fit one task, which it does when times are
     unique to the second (86,400 rows a day at most).
     """
+    if block_days is None:
+        return df.withColumns(columns(_station_window()))
     return _over_blocks(with_block(df, block_days), columns, lambda test: test(before, after))
 
 
@@ -105,27 +110,27 @@ def fixed_target_columns(w: WindowSpec, rows_per_day: int = DAY) -> dict[str, Co
     return {name: F.lead("aqi", rows_per_day * h).over(w) for name, h in zip(S.TARGETS, S.HORIZONS)}
 
 
-def lag_features(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+def lag_features(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     return over_series(df, lag_columns, 3 * DAY, 0, block_days)
 
 
-def series_features(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+def series_features(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """All lag, rolling and trend features."""
     return over_series(df, feature_window_columns, 3 * DAY, 0, block_days)
 
 
-def targets_fixed(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+def targets_fixed(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """The value 24, 48 and 72 rows ahead."""
     return over_series(df, fixed_target_columns, 0, 3 * DAY, block_days)
 
 
-def features_and_fixed_targets(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+def features_and_fixed_targets(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """Features and fixed targets from the same windows."""
     return over_series(df, lambda w: {**feature_window_columns(w), **fixed_target_columns(w)},
                        3 * DAY, 3 * DAY, block_days)
 
 
-def row_gap(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+def row_gap(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """Seconds since the station's previous row."""
     def gap(w: WindowSpec) -> dict[str, Column]:
         previous = F.lag(S.TIME, 1).over(w)
@@ -140,20 +145,28 @@ def rows_per_day(median_gap_hours: Column) -> Column:
     return (F.when(median_gap_hours.isNull(), F.lit(DEFAULT_ROWS_PER_DAY)).otherwise(rows)).cast("bigint")
 
 
-def median_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+def _gaps(keys: DataFrame, block_days: int | None) -> DataFrame:
+    """Seconds between successive rows; null for a station's first row."""
+    seconds = F.unix_seconds(S.TIME)
+
+    if block_days is None:
+        return keys.select(S.STATION, (seconds - F.lag(seconds, 1).over(_station_window())).alias("gap_seconds"))
+    keys = with_block(keys, block_days)
+    within = keys.select(S.STATION, (seconds - F.lag(seconds, 1).over(_block_window())).alias("gap_seconds"))
+    blocks = keys.groupBy(S.STATION, _BLOCK).agg(F.min(seconds).alias("_first"), F.max(seconds).alias("_last"))
+    by_block = Window.partitionBy(S.STATION).orderBy(_BLOCK)
+    between = blocks.select(S.STATION, (F.col("_first") - F.lag("_last", 1).over(by_block)).alias("gap_seconds"))
+    # The first row of a block has its gap in `between`.
+    return within.where(F.col("gap_seconds").isNotNull()).unionByName(between)
+
+
+def median_cadence(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """Per station: exact median gap in hours and the rows per day it means (24 for a single row).
 
     Gaps are counted before the median. Distinct gaps of a station add up to at most its time span,
     so even twenty years at one-second resolution leave fewer than 40,000 of them.
     """
-    keys = with_block(df.select(*S.KEY), block_days)
-    seconds = F.unix_seconds(S.TIME)
-    within = keys.select(S.STATION, (seconds - F.lag(seconds, 1).over(_block_window())).alias("gap_seconds"))
-    blocks = keys.groupBy(S.STATION, _BLOCK).agg(F.min(seconds).alias("_first"), F.max(seconds).alias("_last"))
-    previous = F.lag("_last", 1).over(Window.partitionBy(S.STATION).orderBy(_BLOCK))
-    between = blocks.select(S.STATION, (F.col("_first") - previous).alias("gap_seconds"))
-    # The first row of a block has its gap in `between`; a station's first row has none, but must stay.
-    gaps = (within.where(F.col("gap_seconds").isNotNull()).unionByName(between)
+    gaps = (_gaps(df.select(*S.KEY), block_days)
             .groupBy(S.STATION, "gap_seconds").agg(F.count(F.lit(1)).alias("times")))
     median = F.percentile(F.col("gap_seconds"), F.lit(0.5), F.col("times")) / F.lit(3600.0)
     cadence = gaps.groupBy(S.STATION).agg(median.alias("median_gap_hours"))
@@ -161,7 +174,7 @@ def median_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
 
 
 def over_series_by_cadence(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
-                           block_days: int = BLOCK_DAYS) -> DataFrame:
+                           block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """``over_series`` plus the targets ``rows_per_day * n`` rows ahead, n = 1..3, at each station's own
     cadence.
 
@@ -172,8 +185,6 @@ def over_series_by_cadence(df: DataFrame, columns: Callable[[WindowSpec], dict[s
     keys = df.select(*S.KEY)
     cadence = materialize(median_cadence(keys, block_days).select(S.STATION, "rows_per_day"))
     found = sorted(r[0] for r in cadence.select("rows_per_day").distinct().collect())
-    blocks = with_block(keys, block_days).select(S.STATION, _BLOCK).distinct().join(cadence, S.STATION)
-    blocked = with_block(df, block_days).join(blocks, [S.STATION, _BLOCK])
 
     def with_targets(w: WindowSpec) -> dict[str, Column]:
         targets = {}
@@ -182,6 +193,9 @@ def over_series_by_cadence(df: DataFrame, columns: Callable[[WindowSpec], dict[s
             targets[name] = F.coalesce(*ahead) if ahead else F.lit(None).cast("double")
         return {**columns(w), **targets}
 
+    if block_days is None:
+        return df.join(cadence, S.STATION).withColumns(with_targets(_station_window()))
+
     def reach(test: Callable[[int, int], Column]) -> Column:
         # Each station's own reach: one fast station must not widen everybody's borders.
         border = F.lit(False)
@@ -189,14 +203,16 @@ def over_series_by_cadence(df: DataFrame, columns: Callable[[WindowSpec], dict[s
             border = F.when(F.col("rows_per_day") == n, test(before, 3 * n)).otherwise(border)
         return border
 
+    blocks = with_block(keys, block_days).select(S.STATION, _BLOCK).distinct().join(cadence, S.STATION)
+    blocked = with_block(df, block_days).join(blocks, [S.STATION, _BLOCK])
     return _over_blocks(blocked, with_targets, reach)
 
 
-def targets_by_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+def targets_by_cadence(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """The three targets at each station's cadence, and the cadence as ``rows_per_day``."""
     return over_series_by_cadence(df, lambda w: {}, 0, block_days)
 
 
-def features_and_cadence_targets(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+def features_and_cadence_targets(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """Features and cadence targets from the same windows."""
     return over_series_by_cadence(df, feature_window_columns, 3 * DAY, block_days).drop("rows_per_day")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -33,7 +35,7 @@ Factory = Callable[[str, str], Estimator]
 # --- frame ---------------------------------------------------------------------------------
 
 def labelled_frame(readings: DataFrame, targets: str = "cadence", clean_weather: bool = True,
-                   block_days: int = BLOCK_DAYS) -> DataFrame:
+                   block_days: int | None = BLOCK_DAYS) -> DataFrame:
     """Deduplicated readings with features and targets, incomplete rows still in.
 
     ``targets``: "cadence" looks one to three days ahead at each station's own cadence, "fixed" 24, 48
@@ -52,7 +54,7 @@ def complete_rows(framed: DataFrame) -> DataFrame:
 
 
 def training_frame(readings: DataFrame, targets: str = "cadence", clean_weather: bool = True,
-                   block_days: int = BLOCK_DAYS) -> DataFrame:
+                   block_days: int | None = BLOCK_DAYS) -> DataFrame:
     return complete_rows(labelled_frame(readings, targets, clean_weather, block_days))
 
 
@@ -101,9 +103,16 @@ def candidate_models(forest_trees: int = 100, boosting_rounds: int = 150, extrem
 
 
 def fit_horizons(factory: Factory, train: DataFrame) -> list[Model]:
-    """One model per target, on an assembled frame."""
+    """One model per target, on an assembled frame. The three fits run side by side: a boosted tree's
+    many short stages leave most of a cluster idle."""
     ensure_checkpoint_dir(train.sparkSession)
-    return [factory(t, p).fit(train.select("features", t)) for t, p in zip(S.TARGETS, S.PREDICTIONS)]
+
+    @inheritable_thread_target(train.sparkSession)
+    def fit(target: str, prediction: str) -> Model:
+        return factory(target, prediction).fit(train.select("features", target))
+
+    with ThreadPoolExecutor(len(S.HORIZONS)) as pool:
+        return list(pool.map(fit, S.TARGETS, S.PREDICTIONS))
 
 
 def predict(models: list[Model], df: DataFrame) -> DataFrame:

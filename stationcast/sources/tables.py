@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationcast import schema as S
-from stationcast.functions.cleaning import KEY_FORMAT, conform
+from stationcast.functions.cleaning import KEY_FORMAT, conform, with_key
 from stationcast.operators.dedup import append_dedup, dedup_readings, latest_row
 from stationcast.session import materialize, remove, scratch_path
 
@@ -45,7 +45,7 @@ def _laid_out(df: DataFrame) -> DataFrame:
 
 
 def _prepared(df: DataFrame) -> DataFrame:
-    rows = conform(df).withColumn(S.TIME, F.date_trunc("second", F.col(S.TIME)))
+    rows = with_key(conform(df)).withColumn(S.TIME, F.date_trunc("second", F.col(S.TIME)))
     return dedup_readings(rows).withColumn(EVENT_DATE, F.to_date(S.TIME))
 
 
@@ -132,7 +132,8 @@ def upsert_features(df: DataFrame, root: str, version: int = VERSION, mode: str
 
     ``keep`` appends only the keys the table lacks, so nothing stored is rewritten and running a batch
     again adds nothing. ``replace`` lets the new row win and rewrites the dates the batch touches.
-    Both read only those dates. One writer at a time.
+    Both read only those dates. Rows without a key cannot be stored; ``without_key`` finds them. One
+    writer at a time.
     """
     if mode not in ("keep", "replace"):
         raise ValueError(f"unknown mode {mode!r}")

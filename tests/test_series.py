@@ -27,7 +27,7 @@ def expected_features(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).sort_values(["city", "ingestion_timestamp"]).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("block_days", [1, 10, 90])
+@pytest.mark.parametrize("block_days", [1, 10, 90, None])
 def test_features_equal_pandas_for_any_block_length(spark, block_days):
     frame = make_series()
     want = expected_features(frame)
@@ -64,7 +64,7 @@ def pandas_cadence(times: pd.Series) -> int:
     return max(1, int(round(24 / max(gaps.median().total_seconds() / 3600, 0.1))))
 
 
-@pytest.mark.parametrize("block_days", [3, 90])
+@pytest.mark.parametrize("block_days", [3, 90, None])
 def test_targets_by_cadence_equal_pandas(spark, block_days):
     frame = make_series(seed=11)
     # A station every minute, one every 17 hours.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationcast import schema as S
-from stationcast.functions.cleaning import conform
+from stationcast.functions.cleaning import conform, without_key
 from stationcast.sources import tables
 
 
@@ -53,6 +53,14 @@ def test_copies_within_a_batch(spark, tmp_path):
     assert stored(spark, str(tmp_path)) == [("a", 1, 0, 4.0)]
 
 
+def test_rows_without_a_key_are_set_aside(spark, tmp_path):
+    batch = readings(spark, ("a", 1, 0, 1), (None, 1, 0, 2))
+    for _ in range(2):
+        tables.upsert_features(batch, str(tmp_path))
+    assert stored(spark, str(tmp_path)) == [("a", 1, 0, 1.0)]
+    assert [r["aqi"] for r in without_key(batch).collect()] == [2.0]
+
+
 def test_versions_are_independent(spark, tmp_path):
     root = str(tmp_path)
     tables.upsert_features(readings(spark, ("a", 1, 0, 1)), root, version=6)

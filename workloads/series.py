@@ -67,7 +67,8 @@ def series_features_per_user(t: Tables) -> DataFrame:
 
 @query("series_features_per_supplier", _windowed(Q.FEATURES, Q.WINDOW_NAMES, "suppliers", Q.SUPPLIERS))
 def series_features_per_supplier(t: Tables) -> DataFrame:
-    return series.series_features(t.suppliers, block_days=3650).select(CITY, TIME, *Q.WINDOW_NAMES)
+    """Daily rows: a station's whole series is short."""
+    return series.series_features(t.suppliers, block_days=None).select(CITY, TIME, *Q.WINDOW_NAMES)
 
 
 @query("row_gap", f"""WITH {Q.BY_USER} SELECT {Q.KEY}, CAST(epoch(ingestion_timestamp)
@@ -127,7 +128,7 @@ def targets_by_cadence_per_user(t: Tables) -> DataFrame:
 @query("targets_by_cadence_per_supplier", f"""WITH {Q.SUPPLIERS}, {_cadence('suppliers')}, {_by_cadence('suppliers')}
   SELECT {Q.KEY}, {Q.r('aqi')}, rows_per_day, {Q.r(*S.TARGETS)} FROM ahead""")
 def targets_by_cadence_per_supplier(t: Tables) -> DataFrame:
-    return series.targets_by_cadence(t.suppliers.select(CITY, TIME, "aqi"), block_days=3650)
+    return series.targets_by_cadence(t.suppliers.select(CITY, TIME, "aqi"), block_days=None)
 
 
 # --- frames --------------------------------------------------------------------------------

@@ -38,8 +38,11 @@ class Tables:
                 .withColumn(S.STATION, F.concat(F.lit("site-"), (F.col("user_id") % 4).cast("string"))))
 
     def _hourly(self, events: DataFrame) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("double")
-        return (events.groupBy(S.STATION, F.date_trunc("hour", "ts").alias(S.TIME))
+        # k is a column of its own, so that the JSON is parsed once per event.
+        k = F.col("k")
+        return (events.select(S.STATION, F.date_trunc("hour", "ts").alias(S.TIME), "event_type", "value",
+                              F.get_json_object("props", "$.k").cast("double").alias("k"))
+                .groupBy(S.STATION, S.TIME)
                 .agg(F.avg("value").alias("aqi"), _value_if("click").alias("pm25"),
                      _value_if("view").alias("pm10"), _value_if("purchase").alias("o3"),
                      _value_if("signup").alias("no2"), _value_if("error").alias("so2"),
