@@ -140,18 +140,23 @@ class Comparison:
 
 
 def compare_models(frame: DataFrame, candidates: dict[str, Factory] | None = None,
-                   seed: int = SEED) -> Comparison:
-    """Fit every candidate on the training rows and score it on the test rows."""
+                   seed: int = SEED) -> Comparison | None:
+    """Fit every candidate on the training rows and score it on the test rows; None for an empty frame."""
     candidates = candidates or candidate_models(seed=seed)
-    names = feature_columns(frame)
+    spark, names = frame.sparkSession, feature_columns(frame)
     # Twelve fits and four scorings read this table.
     ready = materialize(assemble(frame, names).select(*S.KEY, "features", *S.TARGETS))
+    if ready.isEmpty():
+        return None
     train, test = split(ready, seed)
     models = {name: fit_horizons(factory, train) for name, factory in candidates.items()}
-    scored = score(models, test)
+    # The trees run once; all metrics read the narrow result.
+    scored = materialize(score(models, test))
     order = F.create_map(*[F.lit(x) for i, name in enumerate(models) for x in (name, i + 1)])
     metrics = (evaluate.regression_metrics(scored).join(evaluate.prediction_spread(scored), "model")
                .withColumn("position", F.element_at(order, F.col("model")).cast("bigint")))
+    # One row per candidate.
+    metrics = spark.createDataFrame(metrics.collect(), metrics.schema)
     return Comparison(names, models, scored, metrics, train.count())
 
 
@@ -172,10 +177,9 @@ def train_and_register(readings: DataFrame, root: str, name: str, targets: str =
 
     None when no complete row is left to train on.
     """
-    frame = materialize(training_frame(readings, targets, clean_weather))
-    if frame.isEmpty():
+    result = compare_models(training_frame(readings, targets, clean_weather), candidates)
+    if result is None:
         return None
-    result = compare_models(frame, candidates)
     best = result.metrics.where(F.col("model") == result.best()).first()
     description = (f"{best['model']} multi-output model predicting the index for the next 3 days. "
                    f"Trained on {result.train_rows} samples. Outputs: [day1, day2, day3]. "
