@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from stationcast import schema as S
 from stationcast.plans.ingest import backfill_readings, feed_readings
@@ -47,8 +47,26 @@ def stream_hourly(events: DataFrame, value: str = "value", delay: str = DELAY) -
     return hourly.select(S.STATION, F.col("hour.start").alias(S.TIME), "aqi", "aqi_max", "n_events")
 
 
+def _start(writer: DataStreamWriter, spark: SparkSession, partitions: int | None) -> StreamingQuery:
+    """Start with a given number of state partitions.
+
+    A stream takes the number from the session when it first starts and its checkpoint keeps it, so it
+    is worth choosing: about the cores the stream may use.
+    """
+    if partitions is None:
+        return writer.start()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stream_upsert(readings: DataFrame, root: str, checkpoint: str, version: int = VERSION,
-                  available_now: bool = False, interval: str = "1 hour") -> StreamingQuery:
+                  available_now: bool = False, interval: str = "1 hour",
+                  partitions: int | None = None) -> StreamingQuery:
     """Keyed append of every micro-batch, and a refresh of the latest rows.
 
     A batch that runs again after a failure finds its keys present and adds nothing.
@@ -60,11 +78,11 @@ def stream_upsert(readings: DataFrame, root: str, checkpoint: str, version: int
 
     writer = readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    return _start(writer.trigger(**trigger), readings.sparkSession, partitions)
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> None:
     """Process everything that has landed, append it to parquet files and stop."""
-    query = (stream.writeStream.format("parquet").option("path", path)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+    writer = (stream.writeStream.format("parquet").option("path", path)
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    _start(writer, stream.sparkSession, partitions).awaitTermination()

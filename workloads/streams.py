@@ -25,9 +25,13 @@ def _event_stream(t: Tables) -> DataFrame:
                          F.col("ts").cast("timestamp").alias("ts"))
 
 
+def _cores(t: Tables) -> int:
+    return t.spark.sparkContext.defaultParallelism
+
+
 def _run(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     base = scratch_path(t.spark, label)
-    ingest.run_to_files(stream, f"{base}/out", f"{base}/checkpoint")
+    ingest.run_to_files(stream, f"{base}/out", f"{base}/checkpoint", _cores(t))
     return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -65,6 +69,6 @@ def stream_upsert(t: Tables) -> DataFrame:
     weather = _landed(t, t.payloads(S.WEATHER_ARRAYS), "weather")
     root = scratch_path(t.spark, "store")
     query = ingest.stream_upsert(ingest.stream_readings(t.spark, air, weather), root, f"{root}/checkpoint",
-                                 available_now=True)
+                                 available_now=True, partitions=_cores(t))
     query.awaitTermination()
     return tables.read_features(t.spark, root)
