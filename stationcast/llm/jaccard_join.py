@@ -77,7 +77,8 @@ def parity_bitmap(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    return min(MOST_BITS, max(64, 1 << (max(n, 1) - 1).bit_length()))
+    """Half to once the set's size: unrelated sets then differ in over a quarter of n bits, linked ones in 2n/9."""
+    return min(MOST_BITS, max(64, 1 << (max(n // 2, 1) - 1).bit_length()))
 
 
 def fold(bitmap: np.ndarray, bits: int) -> np.ndarray:
@@ -173,17 +174,19 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[:take]
 
 
-def _prefixes(docs: DataFrame, reps: KeyFilter, frequent: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((reps, frequent))
+def _prefixes(docs: DataFrame, reps: KeyFilter, frequent: np.ndarray, again: KeyFilter) -> DataFrame:
+    """(token, id) of all prefix shingles but those counted once: they are in no other document."""
+    shared = docs.sparkSession.sparkContext.broadcast((reps, frequent, again))
 
     def run(batches):
-        keys, often = shared.value
+        keys, often, repeated = shared.value
 
         def make(numbers, known, texts):
             found, size = [], 0
             for i, s in shingle_sets(texts):
                 if known[i] and len(s):
-                    found.append((numbers[i], prefix(s, often)))
+                    first = prefix(s, often)
+                    found.append((numbers[i], first[(first >= COUNTED) | repeated(X.signed(first))]))
                     size += len(found[-1][1])
                     if size > 100_000:
                         yield _flat(found, ["token", "id"])
@@ -257,51 +260,68 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _test_pairs(_test_pairs(pairs, sets, "bitmap", _bound_allows), sets, "hashes", _intersects)
 
 
-def _tile_pairs(run: dict[str, np.ndarray | list]) -> list[np.ndarray]:
-    """Pairs of one tile: left rows against all right rows of another component, by size and bitmaps."""
+def _like(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+
+
+def _small_tiles(run: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    """Pairs of many small tiles at once: every left row with all rows of its tile."""
+    starts = X.group_starts(run["tile"])
+    lengths = np.diff(np.append(starts, len(run["tile"])))
+    left = np.flatnonzero(run["side"] & 1)
+    at = np.searchsorted(starts, left, side="right") - 1
+    total = np.cumsum(lengths[at])
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 1_000_000, side="right")))
+        a, size = left[lo:hi], lengths[at[lo:hi]]
+        i = np.repeat(a, size)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[at[lo:hi]], size)
+        ok = (run["comp"][i] != run["comp"][j]) & _like(run["n"][i], run["n"][j])
+        x, y = run["id"][i[ok]], run["id"][j[ok]]
+        yield np.stack([np.minimum(x, y), np.maximum(x, y)])
+        lo = hi
+
+
+def _large_tile(run: dict[str, np.ndarray | list]) -> Iterator[np.ndarray]:
+    """Pairs of one block of a large group, by size and bitmaps."""
     left, right = np.flatnonzero(run["side"] & 1), np.flatnonzero(run["side"] & 2)
-    n, comp, ids, bitmaps = run["n"], run["comp"], run["id"], run["bitmap"]
-    known = len(bitmaps) and bitmaps[0] is not None
-    if known:
-        bits = 8 * min(len(b) for b in bitmaps)
-        flat = np.stack([fold(np.frombuffer(b, np.uint8), bits) for b in bitmaps]).view(np.uint64)
-    out = []
+    n, comp, ids = run["n"], run["comp"], run["id"]
+    bits = 8 * min(len(b) for b in run["bitmap"])
+    flat = np.stack([fold(np.frombuffer(b, np.uint8), bits) for b in run["bitmap"]]).view(np.uint64)
     for i in left:
-        ok = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
-        if known and len(ok):
-            apart = np.bitwise_count(flat[ok] ^ flat[i]).sum(axis=1, dtype=np.int64)
-            most = (n[ok] + n[i] - apart) // 2
-            ok = ok[100 * most >= PERCENT * (n[ok] + n[i] - most)]
+        ok = right[(comp[right] != comp[i]) & _like(n[right], n[i])]
+        apart = np.bitwise_count(flat[ok] ^ flat[i]).sum(axis=1, dtype=np.int64)
+        most = (n[ok] + n[i] - apart) // 2
+        ok = ok[100 * most >= PERCENT * (n[ok] + n[i] - most)]
         if len(ok):
-            out.append(np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])]))
-    return out
+            yield np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])])
 
 
 def _tiles(batches):
     """Streams rows sorted by tile; a tile may go on in the next batch, and holds at most about 2 * BLOCK rows."""
-    names = ("side", "id", "comp", "n")
+    names = ("tile", "side", "id", "comp", "n")
     held: dict | None = None
 
     def emit(run):
-        pairs = _tile_pairs(run)
-        if pairs:
-            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        blank = np.array([b is None for b in run["bitmap"]], dtype=bool)
+        found = list(_small_tiles({c: run[c][blank] for c in names}))
+        starts = X.group_starts(run["tile"])
+        for lo, hi in zip(starts, [*starts[1:], len(run["tile"])]):
+            if not blank[lo]:
+                found += _large_tile({c: v[lo:hi] for c, v in run.items()})
+        if found:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
     for batch in batches:
-        tile = np.asarray(batch.column("tile"))
-        columns = {c: np.asarray(batch.column(c)) for c in names}
-        bitmaps = batch.column("bitmap").to_pylist()
-        starts = X.group_starts(tile)
-        for lo, hi in zip(starts, [*starts[1:], len(tile)]):
-            part = {c: v[lo:hi] for c, v in columns.items()} | {"bitmap": bitmaps[lo:hi], "tile": tile[lo]}
-            if held is not None and held["tile"] == part["tile"]:
-                held = {c: np.concatenate([held[c], part[c]]) for c in names} | {
-                    "bitmap": held["bitmap"] + part["bitmap"], "tile": part["tile"]}
-            else:
-                if held is not None:
-                    yield from emit(held)
-                held = part
-    if held is not None:
+        part = {c: np.asarray(batch.column(c)) for c in names} | {"bitmap": batch.column("bitmap").to_pylist()}
+        if held is not None:
+            part = {c: np.concatenate([held[c], part[c]]) for c in names} | {"bitmap": held["bitmap"] + part["bitmap"]}
+        last = int(np.searchsorted(part["tile"], part["tile"][-1])) if len(part["tile"]) else 0
+        if last:
+            yield from emit({c: v[:last] for c, v in part.items()})
+        held = {c: v[last:] for c, v in part.items()}
+    if held is not None and len(held["tile"]):
         yield from emit(held)
 
 
@@ -353,9 +373,10 @@ def join_components(docs: DataFrame) -> DataFrame:
     reps = key_filter(classes.select("rep"), size["reps"])
     # Counts above total / MOST_FREQUENT are at most MOST_FREQUENT, which bounds what is collected and broadcast.
     least = max(FREQUENT, -(-size["shingles"] // MOST_FREQUENT))
-    often = (_counted_shingles(docs, reps).groupBy("token").count().where(F.col("count") > least)
-             .select("token").toArrow().column("token").to_numpy())
-    rows = _prefixes(docs, reps, np.sort(often.astype(np.int64).view(np.uint64)))
+    counts = materialize(_counted_shingles(docs, reps).groupBy("token").count().where("count > 1"))
+    often = counts.where(F.col("count") > least).select("token").toArrow().column("token").to_numpy()
+    rows = _prefixes(docs, reps, np.sort(often.astype(np.int64).view(np.uint64)),
+                     key_filter(counts.select("token"), counts.count()))
     groups = (rows.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
               .where("leader < last").select("token", "leader"))
     shared = materialize(rows.join(groups, "token"))
