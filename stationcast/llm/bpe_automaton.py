@@ -19,7 +19,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -30,6 +29,7 @@ from tokenizers import Tokenizer
 
 from stationcast.llm import text as X
 from stationcast.llm.common import table
+from stationcast.llm.tokens import byte_letters
 
 #: The split of the tokenizer file's byte-level step (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,14 +39,6 @@ MOST_WORDS, MOST_ARCS = 300_000, 2_000_000
 _NEVER = 1 << 60
 
 
-@cache
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, others from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class TokenAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         letters = byte_letters()
@@ -100,26 +92,31 @@ class TokenAutomaton:
         return ok
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of one word: the last token of every prefix in turn, then the path back from the end."""
-        whole = self.arc.get(word)
-        if whole is not None:
-            return [whole]
-        last, begin = [-1], [0]
-        arc, step, longest = self.arc, self.step, self.longest
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                t = arc.get(word[j:i])
-                if t is not None and (j == 0 or (last[j] >= 0 and step(last[j], t))):
-                    last.append(t)
-                    begin.append(j)
+        """The tokens of one word. Each step takes the longest arc that the state has; where that leads nowhere, the
+        next shorter one. As every prefix has one path only, a place left once is never entered again."""
+        arc, label, step, n = self.arc, self.label, self.step, len(word)
+        out: list[int] = []
+        dead: set[int] = set()
+        i, size = 0, min(n, self.longest)
+        while i < n:
+            t = None
+            while size:
+                t = arc.get(word[i:i + size])
+                if t is not None and i + size not in dead and (not out or step(out[-1], t)):
                     break
+                t, size = None, size - 1
+            if t is not None:
+                out.append(t)
+                i += size
+                size = min(n - i, self.longest)
+            elif out:
+                dead.add(i)
+                size = len(label[out.pop()])
+                i -= size
+                size -= 1
             else:
-                raise ValueError(f"no token ends at byte {i} of {word!r}")
-        out, i = [], len(word)
-        while i:
-            out.append(last[i])
-            i = begin[i]
-        return out[::-1]
+                raise ValueError(f"no tokens spell {word!r}")
+        return out
 
     def decode(self, ids: list[int], special: dict[int, bytes]) -> bytes:
         return b"".join(self.label[i] if i in self.label else special[i] for i in ids)

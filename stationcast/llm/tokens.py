@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections import defaultdict
+from collections.abc import Callable
+from functools import cache
+from itertools import chain, count, islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words kept at most; then the store starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 
 
 def _class(categories: str, upto: int = 0x250) -> str:
@@ -22,33 +25,40 @@ LETTERS, NUMBERS = _class("L"), _class("N")
 SPECIAL = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
 
 
+@cache
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class WordStore:
     """Ids of words by row: ``rows`` numbers the words, ``ids`` are all their ids one after the other."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]):
+    def __init__(self, encode: Callable[[str], list[int]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        # Looking a new word up gives it the next row; its ids are added right after.
+        self.index: defaultdict[str, int] = defaultdict(count().__next__)
         self.ends = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        new = set(words).difference(self.index)
+        if len(self.index) > MOST_WORDS:
+            self.clear()
+        index, before = self.index, len(self.index)
+        rows = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        new = len(index) - before
         if new:
-            if len(self.index) + len(new) > MOST_WORDS and self.index:
-                self.clear()
-                new = set(words)
-            fresh = list(new)
-            found = list(self.encode(fresh))
-            n = len(self.index)
-            self.index.update(zip(fresh, range(n, n + len(fresh))))
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            found = [self.encode(w) for w in reversed(list(islice(reversed(index), new)))]
+            lengths = np.fromiter(map(len, found), dtype=np.int64, count=new)
             self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(lengths))
-            self.ids = np.append(self.ids, np.fromiter((t for ids in found for t in ids), dtype=np.uint32,
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), dtype=np.uint32,
                                                        count=int(lengths.sum())))
-        return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        return rows
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in these rows, and how many each word has."""
@@ -66,17 +76,15 @@ class WordBpe:
         self.library.no_truncation()
         self.library.no_padding()
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+").findall
+        self.tokenize = self.library.model.tokenize
+        self.letters = {b: ord(c) for c, b in byte_letters().items()}
         self.store = WordStore(self._encode)
 
-    def _encode(self, words: list[str]) -> Iterable[list[int]]:
-        for lo in range(0, len(words), 10_000):
-            part = words[lo:lo + 10_000]
-            e = self.library.encode(" ".join(part), add_special_tokens=False)
-            of = np.array(e.word_ids, dtype=np.int64)
-            if len(of) and of[-1] + 1 == len(part):
-                yield from (x.tolist() for x in np.split(np.array(e.ids), np.searchsorted(of, np.arange(1, len(part)))))
-            else:
-                yield from (x.ids for x in self.library.encode_batch(part, add_special_tokens=False))
+    def _encode(self, word: str) -> list[int]:
+        """The ids of one word: the library's merges over the letters that stand for its bytes."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenize(word)]
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
