@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationcast.llm import jaccard_join, quality_rules
+import corpus_pipeline
+from stationcast.llm import (bpe_automaton, embedding_dedup, jaccard_join, language_id, packing, quality_classifier,
+                             quality_rules, secrets, substring_dedup, toxicity)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,15 @@ def _reachable(run: Run) -> Run:
 
 
 QUERIES: dict[str, tuple[Run, str | None]] = {name: (_reachable(run), sql) for name, (run, sql) in {
+    "op1_toxicity": (toxicity.op1, None),
+    "op2_embedding_dedup": (embedding_dedup.op2, embedding_dedup.OP2_SQL),
+    "op3_language_id": (language_id.op3, None),
+    "op4_packing": (packing.op4, None),
     "op5_quality_rules": (quality_rules.op5, quality_rules.OP5_SQL),
     "op6_jaccard_join": (jaccard_join.op6, jaccard_join.OP6_SQL),
+    "op7_bpe": (bpe_automaton.op7, None),
+    "op8_secret_scan": (secrets.op8, None),
+    "op9_substring_dedup": (substring_dedup.op9, substring_dedup.OP9_SQL),
+    "op10_quality_classifier": (quality_classifier.op10, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }.items()}
