@@ -40,7 +40,7 @@ FREQUENT, MOST_FREQUENT = 64, 1 << 22
 BLOCK = 1024
 MOST_BITS = 4096
 
-SIGNATURE = "doc_id long, n long, d1 long, d2 long"
+SIGNATURE = "doc_id long, n long, d1 long, d2 long, bitmap binary"
 
 
 def _needed(n: np.ndarray | int):
@@ -118,17 +118,19 @@ def _signatures(batches):
     for batch in batches:
         ids, texts = batch.column(0), X.as_texts(batch.column(1))
         n, d1, d2 = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
+        bitmaps: list[bytes | None] = [None] * len(texts)
         with np.errstate(over="ignore"):
             for i, s in shingle_sets(texts):
                 n[i] = len(s)
+                bitmaps[i] = parity_bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None
                 d1[i:i + 1] = np.array([s.sum(dtype=np.uint64)]).view(np.int64)
                 d2[i:i + 1] = np.array([X.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2)],
-                                         names=["doc_id", "n", "d1", "d2"])
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2),
+                                          pa.array(bitmaps, pa.binary())], names=["doc_id", "n", "d1", "d2", "bitmap"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): the size of its shingle set and a 128-bit digest of the set."""
+    """Per row of (doc_id, text): the size of its shingle set, a 128-bit digest of the set, and its bitmap."""
     return docs.mapInArrow(_signatures, SIGNATURE)
 
 
@@ -202,24 +204,23 @@ def _sets(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
 
     def run(batches):
         def make(numbers, known, texts):
-            rows, size = ([], [], [], []), 0
+            rows, size = ([], [], []), 0
 
             def batch():
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["id", "n", "bitmap", "hashes"])
+                    rows, (pa.int64(), pa.int64(), pa.binary()))], names=["id", "n", "hashes"])
             for i, s in shingle_sets(texts):
                 if known[i] and len(s):
-                    for c, v in zip(rows, (numbers[i], len(s), parity_bitmap(s, bitmap_bits(len(s))).tobytes(),
-                                           s.tobytes())):
+                    for c, v in zip(rows, (numbers[i], len(s), s.tobytes())):
                         c.append(v)
                     size += s.nbytes
                     if size > 4 << 20:
                         yield batch()
-                        rows, size = ([], [], [], []), 0
+                        rows, size = ([], [], []), 0
             if rows[0]:
                 yield batch()
         yield from _rows(batches, "", make, shared.value)
-    return docs.mapInArrow(run, "id long, n long, bitmap binary, hashes binary")
+    return docs.mapInArrow(run, "id long, n long, hashes binary")
 
 
 def _test_pairs(pairs: DataFrame, sets: DataFrame, column: str, keep) -> DataFrame:
@@ -255,9 +256,12 @@ def _intersects(na, x, nb, y) -> bool:
     return linked(int((b[at] == a).sum()), len(a), len(b))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The candidate pairs that link: first by bitmaps, then by the sorted arrays."""
-    return _test_pairs(_test_pairs(pairs, sets, "bitmap", _bound_allows), sets, "hashes", _intersects)
+def verified(pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The candidate pairs that link: first by bitmaps, then by the sorted arrays of the texts still in question."""
+    left = materialize(_test_pairs(pairs, bitmaps, "bitmap", _bound_allows))
+    ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    sets = materialize(_sets(docs, key_filter(ids, ids.count())))
+    return materialize(_test_pairs(left, sets, "hashes", _intersects))
 
 
 def _like(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -298,21 +302,34 @@ def _large_tile(run: dict[str, np.ndarray | list]) -> Iterator[np.ndarray]:
             yield np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])])
 
 
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _tiles(batches):
     """Streams rows sorted by tile; a tile may go on in the next batch, and holds at most about 2 * BLOCK rows."""
     names = ("tile", "side", "id", "comp", "n")
     held: dict | None = None
 
-    def emit(run):
+    def pairs_of(run):
         blank = np.array([b is None for b in run["bitmap"]], dtype=bool)
-        found = list(_small_tiles({c: run[c][blank] for c in names}))
+        yield from _small_tiles({c: run[c][blank] for c in names})
         starts = X.group_starts(run["tile"])
         for lo, hi in zip(starts, [*starts[1:], len(run["tile"])]):
             if not blank[lo]:
-                found += _large_tile({c: v[lo:hi] for c, v in run.items()})
-        if found:
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield from _large_tile({c: v[lo:hi] for c, v in run.items()})
+
+    def emit(run):
+        found, rows = [], 0
+        for pairs in pairs_of(run):
+            found.append(pairs)
+            rows += pairs.shape[1]
+            if rows > 500_000:
+                yield _pairs(found)
+                found, rows = [], 0
+        if rows:
+            yield _pairs(found)
     for batch in batches:
         part = {c: np.asarray(batch.column(c)) for c in names} | {"bitmap": batch.column("bitmap").to_pylist()}
         if held is not None:
@@ -325,18 +342,18 @@ def _tiles(batches):
         yield from emit(held)
 
 
-def tile_candidates(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def tile_candidates(rows: DataFrame, bitmaps: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) across components, from (token, id, leader) rows and (node, root) so far."""
     placed = materialize(
         rows.join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("token", "id", F.col("leader"), F.coalesce("root", "id").alias("comp")))
+        .select("token", "id", F.coalesce("root", "id").alias("comp")))
     per = placed.groupBy("token", "comp").agg(F.count("*").alias("m"), F.min("id").alias("least"))
     # One component: nothing is left to find. Otherwise the first component's members are the right side only.
     tokens = (per.groupBy("token").agg(F.sum("m").alias("m"), F.min_by("comp", "least").alias("lead"),
                                        F.min_by("m", "least").alias("of_lead"), F.count("*").alias("comps"))
               .where("comps > 1").select("token", "m", "lead", (F.col("m") - F.col("of_lead")).alias("s"),
                                          (F.col("m") > BLOCK).alias("large")))
-    mixed = placed.drop("leader").join(tokens, "token").join(sets.select("id", "n", "bitmap"), "id")
+    mixed = placed.join(tokens, "token").join(bitmaps, "id")
     mixed = mixed.withColumn("other", F.col("comp") != F.col("lead"))
     small = mixed.where("not large").select(
         F.col("token").alias("tile"), F.when(F.col("other"), 3).otherwise(2).alias("side"), "id", "comp", "n",
@@ -380,14 +397,13 @@ def join_components(docs: DataFrame) -> DataFrame:
     groups = (rows.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
               .where("leader < last").select("token", "leader"))
     shared = materialize(rows.join(groups, "token"))
-    ids = shared.select("id").distinct()
-    sets = materialize(_sets(docs, key_filter(ids, ids.count())))
-    first = materialize(verified(
-        shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets))
-    second = materialize(verified(tile_candidates(shared, sets, components(first)), sets))
+    bitmaps = marks.where("n > 0").select(F.col("doc_id").alias("id"), "n", "bitmap")
+    first = verified(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(),
+                     bitmaps, docs)
+    second = verified(tile_candidates(shared, bitmaps, components(first)), bitmaps, docs)
     roots = components(first.union(second))
     copies = classes.where("copies > 1").select("d1", "d2", "n", "rep")
-    return (marks.join(copies, ["d1", "d2", "n"], "left")
+    return (marks.drop("bitmap").join(copies, ["d1", "d2", "n"], "left")
             .withColumn("node", F.coalesce("rep", "doc_id")).join(roots, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("component_id")))
