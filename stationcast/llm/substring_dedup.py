@@ -213,7 +213,7 @@ def _cut(batches):
     for batch in batches:
         names = batch.schema.names
         texts = X.as_texts(batch.column("text"))
-        spans = batch.column("spans").to_pylist()
+        spans = batch.column("_dedup_spans").to_pylist()
         kept, n_words, n_removed = [], [], []
         for i, found in enumerate(spans):
             words = texts[i].as_buffer().to_pybytes().split()
@@ -226,8 +226,8 @@ def _cut(batches):
             kept.append(b" ".join(words).decode())
             n_words.append(n)
             n_removed.append(n - len(words))
-        columns = [batch.column(c) for c in names if c not in ("text", "spans", "n_words", "n_removed")]
-        others = [c for c in names if c not in ("text", "spans", "n_words", "n_removed")]
+        columns = [batch.column(c) for c in names if c not in ("text", "_dedup_spans", "n_words", "n_removed")]
+        others = [c for c in names if c not in ("text", "_dedup_spans", "n_words", "n_removed")]
         yield pa.RecordBatch.from_arrays(
             [*columns, pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
             names=[*others, "text", "n_words", "n_removed"])
@@ -242,13 +242,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_words", "n_removed").withColumn("_dedup_id", F.col("doc_id").cast("long"))
     marked = docs.withColumn("_dedup_hit", hit)
     # Only documents that may lose words travel to their spans.
-    spans = spans.select(F.col("doc_id").alias("_dedup_id"), F.col("key").alias("_dedup_key"), "spans")
+    spans = spans.select(F.col("doc_id").alias("_dedup_id"), F.col("key").alias("_dedup_key"),
+                         F.col("spans").alias("_dedup_spans"))
     some = (marked.where("_dedup_hit").withColumn("_dedup_key", F.xxhash64("text"))
             .join(spans, ["_dedup_id", "_dedup_key"], "left").drop("_dedup_key"))
     rest = marked.where("not _dedup_hit").withColumn(
-        "spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
+        "_dedup_spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
     both = some.unionByName(rest).drop("_dedup_hit", "_dedup_id")
-    fields = [f for f in both.schema if f.name not in ("text", "spans")]
+    fields = [f for f in both.schema if f.name not in ("text", "_dedup_spans")]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType())])
     return both.mapInArrow(_cut, schema)
