@@ -18,8 +18,9 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
 
 
 def dedup_readings(df: DataFrame, keys: list[str] = S.KEY) -> DataFrame:
-    """One row per station and time. The other columns break ties, so the survivor is always the same."""
-    return keep_first(df, keys, [F.col(c) for c in df.columns if c not in keys])
+    """One row per station and time. The other columns break ties, so the survivor is always the same;
+    a value wins over a missing one."""
+    return keep_first(df, keys, [F.col(c).asc_nulls_last() for c in df.columns if c not in keys])
 
 
 def concat_features(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def append_dedup(existing: DataFrame, new: DataFrame) -> DataFrame:
     rank = "_source"
     both = concat_features(existing.withColumn(rank, F.lit(0)), new.withColumn(rank, F.lit(1)))
     both = both.withColumn(S.TIME, F.date_trunc("second", F.col(S.TIME)))
-    ties = [F.col(c) for c in both.columns if c not in (*S.KEY, rank)]
+    ties = [F.col(c).asc_nulls_last() for c in both.columns if c not in (*S.KEY, rank)]
     return keep_first(both, S.KEY, [F.col(rank), *ties]).drop(rank)
 
 

@@ -24,7 +24,12 @@ def backfill_readings(air: DataFrame, weather: DataFrame, fill: bool = True,
 
     ``need_aqi`` drops hours without an index before missing values become 0.
     """
-    rows = merge_hourly(air, weather).withColumns({"timestamp": F.col("time"), S.TIME: F.col("time")})
+    return merged_readings(merge_hourly(air, weather), fill, need_aqi)
+
+
+def merged_readings(merged: DataFrame, fill: bool = True, need_aqi: bool = False) -> DataFrame:
+    """Joined hours as readings."""
+    rows = merged.withColumns({"timestamp": F.col("time"), S.TIME: F.col("time")})
     rows = require_aqi(rows) if need_aqi else rows
     return _finish(placeholder_targets(time_features(with_time(rows))), fill)
 

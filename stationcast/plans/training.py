@@ -171,19 +171,22 @@ def mean_importance(spark: SparkSession, models: list[Model], names: list[str])
 
 
 def train_and_register(readings: DataFrame, root: str, name: str, targets: str = "cadence",
-                       clean_weather: bool = True,
-                       candidates: dict[str, Factory] | None = None) -> tuple[Comparison, int] | None:
+                       clean_weather: bool = True, candidates: dict[str, Factory] | None = None,
+                       stations: list[str] | None = None) -> tuple[Comparison, int] | None:
     """Compare the candidates, register the best one and store the feature list beside it.
 
-    None when no complete row is left to train on.
+    ``stations`` trains on these stations only; by default one model serves all. None when no complete row is
+    left to train on.
     """
+    if stations is not None:
+        readings = readings.where(F.col(S.STATION).isin(stations))
     result = compare_models(training_frame(readings, targets, clean_weather), candidates)
     if result is None:
         return None
     best = result.metrics.where(F.col("model") == result.best()).first()
-    description = (f"{best['model']} multi-output model predicting the index for the next 3 days. "
-                   f"Trained on {result.train_rows} samples. Outputs: [day1, day2, day3]. "
-                   "Features: lag/rolling index, pollutants, weather, time.")
+    # Serving looks for the marker "multi-output".
+    description = (f"estimator={best['model']}; multi-output over horizons {S.HORIZONS}; "
+                   f"{result.train_rows} training rows; {len(result.features)} features; targets={targets}")
     spark = readings.sparkSession
     version = tables.register_run(spark, root, name, {"mae": best["mae"], "rmse": best["rmse"]},
                                   description, result.models[best["model"]])

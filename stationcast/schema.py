@@ -25,6 +25,8 @@ READING = T.StructType(
     + [T.StructField("target_aqi", T.DoubleType()), T.StructField("target_day", T.StringType())]
 )
 
+# --- column lists (fixed values) ----------------------------------------------------------
+
 # Never model inputs: identity, time, the current reading of the target and the targets.
 NOT_FEATURES = {STATION, "timestamp", TIME, "aqi", "target_aqi", "target_day", "target", *TARGETS}
 # Left out of the correlation matrix.
@@ -67,7 +69,8 @@ WEATHER_ARRAYS = {
 def hourly_schema(arrays: dict[str, str]) -> T.StructType:
     """A payload of parallel arrays under ``hourly``, one payload per station and fetch."""
     fields = [T.StructField("time", T.ArrayType(T.StringType()))]
-    fields += [T.StructField(a, T.ArrayType(T.DoubleType())) for a in arrays]
+    # Text, so that a placeholder among the values costs this one value and not the payload.
+    fields += [T.StructField(a, T.ArrayType(T.StringType())) for a in arrays]
     return T.StructType([T.StructField(STATION, T.StringType()),
                          T.StructField("hourly", T.StructType(fields))])
 

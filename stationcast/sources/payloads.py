@@ -18,7 +18,9 @@ from stationcast.functions.cleaning import co_to_mg, parse_timestamp, to_number
 # --- station feed --------------------------------------------------------------------------
 
 def _is_ok() -> Column:
-    return F.coalesce(F.col("status") == "ok", F.lit(False))
+    """Status ok and an object as data; get_json_object gives null for text that is no JSON."""
+    is_object = F.get_json_object("data", "$").startswith("{")
+    return F.coalesce((F.col("status") == "ok") & is_object, F.lit(False))
 
 
 def accepted(envelopes: DataFrame) -> DataFrame:
@@ -28,8 +30,9 @@ def accepted(envelopes: DataFrame) -> DataFrame:
 
 def rejected(envelopes: DataFrame) -> DataFrame:
     """The other envelopes with the reason they give."""
-    return envelopes.where(~_is_ok()).select(
-        "status", F.coalesce("data", F.lit("Unknown API error")).alias("reason"))
+    reason = F.when(F.col("status") == "ok", F.lit("data is no object")).otherwise(
+        F.coalesce("data", F.lit("Unknown API error")))
+    return envelopes.where(~_is_ok()).select("status", reason.alias("reason"))
 
 
 def _feed_fields() -> list[Column]:
@@ -90,19 +93,19 @@ def uneven_payloads(payloads: DataFrame, names: dict[str, str]) -> DataFrame:
     return payloads.where(~_even(names)).withColumn("reason", F.lit("arrays differ in length"))
 
 
-def _rows(payloads: DataFrame, names: dict[str, str]) -> DataFrame:
-    rows = payloads.where(_even(names)).select(S.STATION, F.inline(F.arrays_zip(*_arrays(names))))
-    return rows.select(S.STATION, parse_timestamp(F.col("time")).alias("time"),
+def _rows(payloads: DataFrame, names: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = payloads.where(_even(names)).select(S.STATION, *keep, F.inline(F.arrays_zip(*_arrays(names))))
+    return rows.select(S.STATION, *keep, parse_timestamp(F.col("time")).alias("time"),
                        *[to_number(F.col(n)).alias(c) for n, c in names.items()])
 
 
-def air_rows(payloads: DataFrame) -> DataFrame:
-    """One row per hour, renamed; CO in milligrams."""
-    return _rows(payloads, S.AIR_ARRAYS).withColumn("co", co_to_mg(F.col("co")))
+def air_rows(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per hour, renamed; CO in milligrams. ``keep``: columns of the payload that stay."""
+    return _rows(payloads, S.AIR_ARRAYS, keep).withColumn("co", co_to_mg(F.col("co")))
 
 
-def weather_rows(payloads: DataFrame) -> DataFrame:
-    return _rows(payloads, S.WEATHER_ARRAYS)
+def weather_rows(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _rows(payloads, S.WEATHER_ARRAYS, keep)
 
 
 def read_hourly_air(spark: SparkSession, path: str) -> DataFrame:

@@ -6,9 +6,11 @@ prunes folders, a station filter skips row groups, and a station with many rows
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from stationcast.functions.cleaning import KEY_FORMAT, conform, with_key
 from stationcast.operators.dedup import append_dedup, dedup_readings, latest_row
 from stationcast.session import materialize, remove, scratch_path
 
+log = logging.getLogger(__name__)
+
 GROUP = "aqi_features"
 VERSION = 6
 CHUNK_ROWS = 500
@@ -99,8 +103,8 @@ def first_available(readers: list[Callable[[], DataFrame]]) -> DataFrame | None:
             df = read()
             if not df.isEmpty():
                 return df
-        except AnalysisException:
-            continue
+        except (PySparkException, Py4JJavaError) as e:
+            log.warning("source skipped: %s", str(e).partition("\n")[0])
     return None
 
 
@@ -119,20 +123,23 @@ def read_last_prediction(spark: SparkSession, path: str) -> DataFrame:
 def read_feature_list(spark: SparkSession, path: str) -> list[str] | None:
     try:
         row = spark.read.schema("features array<string>").parquet(path).first()
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     return list(row["features"]) if row else None
 
 
 # --- sinks ---------------------------------------------------------------------------------
 
 def upsert_features(df: DataFrame, root: str, version: int = VERSION, mode: str = "keep",
-                    group: str = GROUP) -> None:
+                    group: str = GROUP, refresh: bool = False) -> None:
     """Write by key (station, time to the second); the table is created if it is missing.
 
     ``keep`` appends only the keys the table lacks, so nothing stored is rewritten and running a batch
     again adds nothing. ``replace`` lets the new row win and rewrites the dates the batch touches.
-    Both read only those dates. Rows without a key cannot be stored; ``without_key`` finds them. One
+    Both read only those dates. ``refresh`` folds what was written, and nothing else, into the latest-row
+    snapshot. ``replace`` overwrites date folders, which plain Parquet does not do atomically. Rows without a key cannot be stored; ``without_key`` finds them. One
     writer at a time.
     """
     if mode not in ("keep", "replace"):
@@ -142,24 +149,28 @@ def upsert_features(df: DataFrame, root: str, version: int = VERSION, mode: str
     scratch = scratch_path(spark, "upsert")
     try:
         batch = materialize(_prepared(df), f"{scratch}/batch")
-        span = batch.agg(F.min(EVENT_DATE).alias("first"), F.max(EVENT_DATE).alias("last")).first()
-        if span["first"] is None:
+        # One value per day of the batch: they prune the folders that are read.
+        dates = [r[0] for r in batch.select(EVENT_DATE).distinct().collect()]
+        if not dates:
             return
         stored = _stored(spark, path)
         if stored is not None:
-            stored = stored.where(F.col(EVENT_DATE).between(F.lit(span["first"]), F.lit(span["last"])))
+            stored = stored.where(F.col(EVENT_DATE).isin(dates))
         writer_mode, overwrite = "append", "static"
         if mode == "keep" and stored is not None:
             batch = batch.join(stored.select(*S.KEY), S.KEY, "left_anti")
         if mode == "replace":
             writer_mode, overwrite = "overwrite", "dynamic"
             if stored is not None:
-                touched = batch.select(EVENT_DATE).distinct()
-                old = stored.join(touched, EVENT_DATE, "left_semi")
                 # The dates being overwritten are also being read.
-                batch = materialize(append_dedup(batch, old), f"{scratch}/merged")
+                batch = materialize(append_dedup(batch, stored), f"{scratch}/merged")
+        elif refresh:
+            # The rows that are new must not depend on the table they are about to join.
+            batch = materialize(batch, f"{scratch}/new")
         (_laid_out(batch).write.mode(writer_mode).option("partitionOverwriteMode", overwrite)
          .partitionBy(EVENT_DATE).parquet(path))
+        if refresh:
+            refresh_latest(batch, root)
     finally:
         remove(spark, scratch)
 
@@ -171,16 +182,18 @@ def recreate_version(df: DataFrame, root: str, version: int, group: str = GROUP)
 
 
 def refresh_latest(df: DataFrame, root: str, keep: int = 3) -> None:
-    """Fold new readings into the latest-row snapshot.
+    """Fold stored readings into the latest-row snapshot; a row given here replaces one of its key.
 
     Each refresh writes a new numbered folder, so a reader never sees a half-written one; the newest
     ``keep`` folders stay for readers that have already started.
     """
     spark, path = df.sparkSession, _snapshots(root)
     last = _last_sequence(spark, path)
-    rows = conform(df)
+    rows = _prepared(df).drop(EVENT_DATE)
     if last:
-        rows = spark.read.schema(S.READING).parquet(f"{path}/seq={last}").unionByName(rows)
+        before = spark.read.schema(S.READING).parquet(f"{path}/seq={last}")
+        rows = latest_row(rows)
+        rows = before.join(rows.select(*S.KEY), S.KEY, "left_anti").select(S.READING.names).unionByName(rows)
     latest_row(rows).write.mode("overwrite").parquet(f"{path}/seq={last + 1}")
     _drop_old(spark, path, keep)
 
@@ -217,12 +230,14 @@ def register_run(spark: SparkSession, root: str, name: str, metrics: dict[str, f
     """Save one model per horizon and append the run; returns its version (highest so far + 1)."""
     try:
         known = read_runs(spark, root).where(F.col("name") == name).agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         known = 0
     version = known + 1
     path = model_path(root, name, version)
     for horizon, model in zip(S.HORIZONS, models):
-        model.write().overwrite().save(f"{path}/horizon={horizon}")
+        model.write().save(f"{path}/horizon={horizon}")
     run = [(name, version, description, {k: float(v) for k, v in metrics.items()}, path)]
     spark.createDataFrame(run, S.MODEL_RUN).coalesce(1).write.mode("append").parquet(f"{root}/model_runs")
     return version

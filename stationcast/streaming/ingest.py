@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from stationcast import schema as S
-from stationcast.plans.ingest import backfill_readings, feed_readings
+from stationcast.plans.ingest import feed_readings, merged_readings
 from stationcast.sources import payloads
-from stationcast.sources.tables import VERSION, refresh_latest, upsert_features
+from stationcast.sources.tables import VERSION, upsert_features
 
 DELAY = "2 hours"
+#: How long after one payload has landed its partner may land.
+WAIT = "2 days"
 
 
 def stream_feed(spark: SparkSession, landing: str, now: Column | None = None) -> DataFrame:
@@ -20,17 +22,23 @@ def stream_feed(spark: SparkSession, landing: str, now: Column | None = None) ->
     return feed_readings(payloads.accepted(envelopes), now)
 
 
-def stream_readings(spark: SparkSession, air: str, weather: str, delay: str = DELAY,
+def stream_readings(spark: SparkSession, air: str, weather: str, wait: str = WAIT,
                     fill: bool = True) -> DataFrame:
     """Hourly air and weather payloads as they land, joined by station and time.
 
-    A payload waits for its partner until the watermark has passed its hours.
+    The watermark follows the landing of files, not the hours inside them: a payload holds a whole day, and
+    stations land one after the other. A payload waits ``wait`` for its partner, whatever its hours are.
     """
-    air_rows = payloads.air_rows(spark.readStream.schema(S.hourly_schema(S.AIR_ARRAYS)).json(air))
-    weather_rows = payloads.weather_rows(
-        spark.readStream.schema(S.hourly_schema(S.WEATHER_ARRAYS)).json(weather))
-    return backfill_readings(air_rows.withWatermark("time", delay),
-                             weather_rows.withWatermark("time", delay), fill)
+    landed = F.col("_metadata.file_modification_time")
+    left = payloads.air_rows(spark.readStream.schema(S.hourly_schema(S.AIR_ARRAYS)).json(air)
+                             .withColumn("air_landed", landed), ("air_landed",)).withWatermark("air_landed", wait)
+    right = payloads.weather_rows(spark.readStream.schema(S.hourly_schema(S.WEATHER_ARRAYS)).json(weather)
+                                  .withColumn("weather_landed", landed), ("weather_landed",)).withWatermark(
+        "weather_landed", wait)
+    right = right.withColumnsRenamed({S.STATION: "_station", "time": "_time"})
+    near = F.expr(f"weather_landed between air_landed - interval {wait} and air_landed + interval {wait}")
+    joined = left.join(right, (F.col(S.STATION) == F.col("_station")) & (F.col("time") == F.col("_time")) & near)
+    return merged_readings(joined.drop("_station", "_time", "air_landed", "weather_landed"), fill)
 
 
 def stream_dedup(readings: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -72,9 +80,7 @@ def stream_upsert(readings: DataFrame, root: str, checkpoint: str, version: int
     A batch that runs again after a failure finds its keys present and adds nothing.
     """
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            upsert_features(batch, root, version)
-            refresh_latest(batch, root)
+        upsert_features(batch, root, version, refresh=True)
 
     writer = readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}

@@ -19,10 +19,10 @@ def feed(days=4, **changes):
     return {"status": "ok", "data": {k: v for k, v in data.items() if v is not None}}
 
 
-def land(tmp_path, name, records):
+def land(tmp_path, name, records, file="part.json"):
     folder = tmp_path / name
-    folder.mkdir()
-    (folder / "part.json").write_text("\n".join(json.dumps(r) for r in records))
+    folder.mkdir(exist_ok=True)
+    (folder / file).write_text("\n".join(json.dumps(r) for r in records))
     return str(folder)
 
 
@@ -112,3 +112,15 @@ def test_hourly_run(spark, tmp_path):
     assert len(rows) == 1
     assert rows[0]["timestamp"] == dt.datetime(2024, 5, 1)
     assert rows[0][S.TIME] == dt.datetime(2024, 5, 1, 0, 45, 3)
+
+
+def test_a_placeholder_costs_one_value(spark, tmp_path):
+    path = land(tmp_path, "air", [air("a", ozone=["-", 2.0])])
+    rows = sorted(payloads.read_hourly_air(spark, path).collect(), key=lambda r: r["time"])
+    assert [(r["o3"], r["pm25"]) for r in rows] == [(None, 0.0), (2.0, 1.0)]
+
+
+def test_an_accepted_status_without_an_object_is_rejected(spark, tmp_path):
+    good, bad = payloads.read_station_feed(spark, land(tmp_path, "feed", [feed(), {"status": "ok", "data": "soon"}]))
+    assert good.count() == 1
+    assert [r["reason"] for r in bad.collect()] == ["data is no object"]

@@ -66,3 +66,13 @@ def test_upsert_stream_can_run_again(spark, tmp_path):
         assert tables.read_features(spark, root).count() == 2
     latest = tables.read_latest(spark, root).collect()
     assert [(r["city"], r[S.TIME]) for r in latest] == [("x", dt.datetime(2024, 5, 1, 1))]
+
+
+def test_stations_that_land_later_lose_no_hours(spark, tmp_path):
+    root, checkpoint = str(tmp_path / "store"), str(tmp_path / "ckpt")
+    for station in ("x", "y", "z"):
+        a = land(tmp_path, "air", [air(station)], f"{station}.json")
+        w = land(tmp_path, "weather", [weather(station)], f"{station}.json")
+        ingest.stream_upsert(ingest.stream_readings(spark, a, w), root, checkpoint, available_now=True).awaitTermination()
+    counts = {r["city"]: r["count"] for r in tables.read_features(spark, root).groupBy("city").count().collect()}
+    assert counts == {"x": counts["x"], "y": counts["x"], "z": counts["x"]} and counts["x"] > 0

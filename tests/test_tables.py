@@ -145,3 +145,25 @@ def test_archive_replaces_a_run_date(spark, tmp_path):
         tables.archive_predictions(spark.createDataFrame([(date, value)], "run_date string, pred_aqi int"), path)
     got = {(str(r["run_date"]), r["pred_aqi"]) for r in spark.read.parquet(path).collect()}
     assert got == {("2024-01-01", 1), ("2024-01-02", 3)}
+
+
+def test_first_available_skips_a_broken_file(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_text("no parquet")
+    good = readings(spark, ("a", 1, 0, 1))
+    readers = [lambda: spark.read.schema(S.READING).parquet(str(tmp_path / "bad.parquet")), lambda: good]
+    assert tables.first_available(readers).first()["aqi"] == 1.0
+
+
+@pytest.mark.parametrize("mode, aqi", [("keep", 1.0), ("replace", 9.0)])
+def test_the_snapshot_says_what_the_table_says(spark, tmp_path, mode, aqi):
+    root = str(tmp_path)
+    for value in (1, 9):
+        tables.upsert_features(readings(spark, ("a", 1, 0, value)), root, mode=mode, refresh=True)
+    assert [r["aqi"] for r in tables.read_features(spark, root).collect()] == [aqi]
+    assert [r["aqi"] for r in tables.read_latest(spark, root).collect()] == [aqi]
+
+
+def test_a_value_wins_over_a_missing_one(spark):
+    from stationcast.operators.dedup import dedup_readings
+    both = readings(spark, ("a", 1, 0, 5)).unionByName(readings(spark, ("a", 1, 0, 7)).withColumn("aqi", F.lit(None).cast("double")))
+    assert [r["aqi"] for r in dedup_readings(both).collect()] == [5.0]

@@ -141,7 +141,7 @@ def _later(rows: DataFrame) -> DataFrame:
 @query("dedup_readings", f"""WITH {Q.RAW}, {_LATER}, both_sets AS (
     SELECT city, ingestion_timestamp, aqi, pm25 FROM raw UNION ALL SELECT * FROM later),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY city, ingestion_timestamp
-    ORDER BY aqi NULLS FIRST, pm25 NULLS FIRST) AS rn FROM both_sets)
+    ORDER BY aqi NULLS LAST, pm25 NULLS LAST) AS rn FROM both_sets)
   SELECT {Q.KEY}, {Q.r('aqi', 'pm25')} FROM ranked WHERE rn = 1""")
 def dedup_readings(t: Tables) -> DataFrame:
     rows = t.raw.select(CITY, TIME, "aqi", "pm25")

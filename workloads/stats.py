@@ -152,7 +152,7 @@ _WEIGHT = "CASE " + " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(pr
 
 @query("diurnal_profile", f"""WITH {Q.CLEAN}, seeded AS (SELECT hour, aqi, ('0x' || substr(md5(concat_ws('|', city,
     strftime(ingestion_timestamp, '%Y-%m-%d %H:%M:%S'))), 1, 8))::BIGINT % {profiles._PRIME} AS seed FROM clean),
-  drawn AS (SELECT *, unnest(range(1, 201))::BIGINT AS replicate FROM seeded),
+  drawn AS (SELECT *, unnest(range(1, 1001))::BIGINT AS replicate FROM seeded),
   started AS (SELECT *, {_START} AS s0 FROM drawn), mixed AS (SELECT *, {_mix('s0')} AS m1 FROM started),
   uniform AS (SELECT *, {_U} AS u FROM mixed), weighted AS (SELECT *, {_WEIGHT} AS w FROM uniform),
   means AS (SELECT hour, replicate, sum(w * aqi) / sum(w) AS m FROM weighted WHERE w > 0 GROUP BY 1, 2),
@@ -160,7 +160,7 @@ _WEIGHT = "CASE " + " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(pr
   hours AS (SELECT hour, avg(aqi) AS aqi_mean, count(aqi) AS n FROM clean GROUP BY 1)
   SELECT hour, {Q.r('aqi_mean')}, n, {Q.r('ci_low', 'ci_high')} FROM hours LEFT JOIN ci USING (hour)""")
 def diurnal_profile(t: Tables) -> DataFrame:
-    return profiles.diurnal_profile(drop_zero_weather(t.readings), replicates=200)
+    return profiles.diurnal_profile(drop_zero_weather(t.readings))
 
 
 @query("hour_means", f"""WITH {Q.CLEAN} SELECT hour, round(avg(aqi) + 1e-9, 4) AS aqi_mean, count(aqi) AS n
