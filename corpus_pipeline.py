@@ -22,8 +22,7 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule of the policy go."""
-    entries = quality_rules.ledger(docs)
-    return entries.where(quality_rules.apply_policy(entries, POLICY)).select(*docs.columns)
+    return quality_rules.accepted(quality_rules.ledger(docs), POLICY).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,6 +100,17 @@ def apply_policy(entries: DataFrame, version: int) -> Column:
     return F.col("failures").bitwiseAND(F.lit(mask_of(POLICIES[version])).cast("long")) == 0
 
 
+def accepted(entries: DataFrame, version: int) -> DataFrame:
+    """The ledger rows that a policy accepts.
+
+    The row number keeps the optimizer from moving the condition below the measuring steps, where every step's
+    expression would be written out again inside the next.
+    """
+    row = "_q_row"
+    return (entries.withColumn(row, F.monotonically_increasing_id())
+            .where(apply_policy(entries, version) & (F.col(row) >= 0)).drop(row))
+
+
 def ablations(entries: DataFrame, version: int) -> DataFrame:
     """Per rule of a policy: how many rows fail it, fail nothing else, and would be kept without it.
 
