@@ -1,9 +1,8 @@
 """Exact quantiles of columns of any length.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer, which is fine up to a
-checked number of values. Beyond it, each wanted rank is narrowed down between two approximate
-quantiles whose own ranks are then counted exactly, until few enough values are left to sort. Only
-counts, bounds and those few values reach the driver.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here each wanted rank is
+narrowed down between two approximate quantiles whose own ranks are then counted exactly, until few
+enough values are left to sort. Of those only the wanted value reaches the driver, with counts and bounds.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 100_000
 CANDIDATES = 100_000
 ACCURACY = 10_000
 # Both bounds are off by at most 1 / ACCURACY of the values searched and aim 2 / ACCURACY past the rank.
@@ -65,27 +63,39 @@ def _bounds(df: DataFrame, searches: list[_Search]) -> list[tuple[float, float]]
 
 
 def _narrow(df: DataFrame, searches: list[_Search], candidates: int) -> None:
-    """One round: find bounds, count their ranks, and fetch what lies between once that is little."""
+    """One round: find bounds, count their ranks, and pick the value between them once that is little.
+
+    Counts and values are aggregated per column and bounds, so each task's share is spread over the spans.
+    """
     bounds = _bounds(df, searches)
-    points = sorted({(s.column, v) for s, pair in zip(searches, bounds) for v in pair})
-    spans = sorted({(s.column, *pair) for s, pair in zip(searches, bounds)
-                    if s.inside * _SPREAD <= candidates and pair[0] < pair[1]})
-    counts = [F.count(F.when(test(F.col(c), F.lit(v)), 1)) for c, v in points
-              for test in (lambda a, b: a < b, lambda a, b: a <= b)]
-    values = [F.array_sort(F.collect_list(_inside(*span))) for span in spans]
-    row = df.agg(*counts, *values).first()
-    less = {p: (row[2 * i], row[2 * i + 1]) for i, p in enumerate(points)}
-    between = {span: row[2 * len(points) + i] for i, span in enumerate(spans)}
+    spans = sorted({(s.column, *pair) for s, pair in zip(searches, bounds)})
+    few = {(s.column, *pair) for s, pair in zip(searches, bounds) if s.inside * _SPREAD <= candidates}
+    rows = F.array(*[F.struct(
+        F.lit(i).alias("i"), F.col(c).cast("double").alias("x"), F.lit(float(low)).alias("low"),
+        F.lit(float(high)).alias("high"), F.lit((c, low, high) in few).alias("few")) for i, (c, low, high) in enumerate(spans)])
+    ranks = F.create_map(*[F.lit(v) for i, span in enumerate(spans) for v in (
+        i, [s.rank for s, pair in zip(searches, bounds) if (s.column, *pair) == span])])
+    x, low, high = F.col("x"), F.col("low"), F.col("high")
+    found = (df.select(F.inline(rows)).where(x.isNotNull()).groupBy("i")
+             .agg(F.count_if(x < low).alias("lt_low"), F.count_if(x <= low).alias("le_low"),
+                  F.count_if(x < high).alias("lt_high"), F.count_if(x <= high).alias("le_high"),
+                  F.array_sort(F.collect_list(F.when(F.col("few") & (x > low) & (x < high), x))).alias("inside"))
+             .withColumn("picked", F.transform(F.element_at(ranks, F.col("i")), lambda rank: F.when(
+                 rank >= F.col("le_low"), F.get("inside", (rank - F.col("le_low")).cast("int")))))
+             .drop("inside").collect())
+    by_span = {spans[r["i"]]: r for r in found}
     for s, (low, high) in zip(searches, bounds):
-        (lt_low, le_low), (lt_high, le_high) = less[s.column, low], less[s.column, high]
+        r = by_span[s.column, low, high]
+        lt_low, le_low, lt_high, le_high = r["lt_low"], r["le_low"], r["lt_high"], r["le_high"]
         if s.rank < lt_low:
             s.high, s.inside = low, lt_low - s.below
         elif s.rank < le_low:
             s.found = low
         elif s.rank < lt_high:
             s.low, s.high, s.below, s.inside = low, high, le_low, lt_high - le_low
-            if (s.column, low, high) in between:
-                s.found = between[s.column, low, high][s.rank - le_low]
+            if (s.column, low, high) in few:
+                at = [o.rank for o, pair in zip(searches, bounds) if (o.column, *pair) == (s.column, low, high)]
+                s.found = r["picked"][at.index(s.rank)]
         elif s.rank < le_high:
             s.found = high
         else:
@@ -93,24 +103,19 @@ def _narrow(df: DataFrame, searches: list[_Search], candidates: int) -> None:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], counts: dict[str, int],
-                    small: int = SMALL, candidates: int = CANDIDATES) -> dict[str, list[float | None]]:
+                    candidates: int = CANDIDATES) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column. ``counts`` are the columns' non-null counts."""
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if counts[c] == 0}
-    short = [c for c in columns if 0 < counts[c] <= small]
-    if short:
-        rows = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(short)])
-        found = df.select(F.inline(rows)).groupBy("i").agg(F.percentile("x", probs).alias("q")).collect()
-        out.update({short[r["i"]]: list(r["q"]) for r in found})
-    long = [c for c in columns if counts[c] > small]
+    filled = [c for c in columns if counts[c] > 0]
     wanted = {}
-    for c in long:
+    for c in filled:
         for p in probs:
             at = p * (counts[c] - 1)
             for rank in (math.floor(at), math.ceil(at)):
                 wanted[c, rank] = _Search(c, rank, 0, counts[c])
     while open_ := [s for s in wanted.values() if s.found is None]:
         _narrow(df, open_, candidates)
-    for c in long:
+    for c in filled:
         out[c] = []
         for p in probs:
             at = p * (counts[c] - 1)

@@ -4,10 +4,8 @@ A window over a whole station would put the station with the most rows into one
 series is cut into blocks of ``block_days`` and windowed per (station, block). Only rows near a block
 border need neighbours from other blocks: those rows, with just enough of their surroundings, go
 through a second window per station. That second window sees a fixed number of rows per block, so its
-size depends on the time span and not on how many rows a station has.
-
-``block_days=None`` windows each station as a whole. That saves the second window where the length of
-a series is known to be small, as with daily rows (36,525 in a century).
+size depends on the time span and not on how many rows a station has. Daily rows want blocks of years
+(``block_days``), or every row is near a border.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from stationcast.session import materialize
 BLOCK_DAYS = 90
 DAY = 24
 DEFAULT_ROWS_PER_DAY = 24
-_BLOCK = "_block"
+_BLOCK, _ROW = "_block", "_row"
 
 
 def with_block(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
@@ -60,15 +58,13 @@ def _over_blocks(blocked: DataFrame, columns: Callable[[WindowSpec], dict[str, C
 
 
 def over_series(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
-                after: int, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+                after: int, block_days: int = BLOCK_DAYS) -> DataFrame:
     """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``df`` holds one row per station and time. A block should hold many times ``before + after`` rows,
     as only then few rows are near a border; and it must fit one task, which it does when times are
     unique to the second (86,400 rows a day at most).
     """
-    if block_days is None:
-        return df.withColumns(columns(_station_window()))
     return _over_blocks(with_block(df, block_days), columns, lambda test: test(before, after))
 
 
@@ -110,27 +106,27 @@ def fixed_target_columns(w: WindowSpec, rows_per_day: int = DAY) -> dict[str, Co
     return {name: F.lead("aqi", rows_per_day * h).over(w) for name, h in zip(S.TARGETS, S.HORIZONS)}
 
 
-def lag_features(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+def lag_features(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     return over_series(df, lag_columns, 3 * DAY, 0, block_days)
 
 
-def series_features(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+def series_features(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """All lag, rolling and trend features."""
     return over_series(df, feature_window_columns, 3 * DAY, 0, block_days)
 
 
-def targets_fixed(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+def targets_fixed(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """The value 24, 48 and 72 rows ahead."""
     return over_series(df, fixed_target_columns, 0, 3 * DAY, block_days)
 
 
-def features_and_fixed_targets(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+def features_and_fixed_targets(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """Features and fixed targets from the same windows."""
     return over_series(df, lambda w: {**feature_window_columns(w), **fixed_target_columns(w)},
                        3 * DAY, 3 * DAY, block_days)
 
 
-def row_gap(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+def row_gap(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """Seconds since the station's previous row."""
     def gap(w: WindowSpec) -> dict[str, Column]:
         previous = F.lag(S.TIME, 1).over(w)
@@ -145,12 +141,10 @@ def rows_per_day(median_gap_hours: Column) -> Column:
     return (F.when(median_gap_hours.isNull(), F.lit(DEFAULT_ROWS_PER_DAY)).otherwise(rows)).cast("bigint")
 
 
-def _gaps(keys: DataFrame, block_days: int | None) -> DataFrame:
+def _gaps(keys: DataFrame, block_days: int) -> DataFrame:
     """Seconds between successive rows; null for a station's first row."""
     seconds = F.unix_seconds(S.TIME)
 
-    if block_days is None:
-        return keys.select(S.STATION, (seconds - F.lag(seconds, 1).over(_station_window())).alias("gap_seconds"))
     keys = with_block(keys, block_days)
     within = keys.select(S.STATION, (seconds - F.lag(seconds, 1).over(_block_window())).alias("gap_seconds"))
     blocks = keys.groupBy(S.STATION, _BLOCK).agg(F.min(seconds).alias("_first"), F.max(seconds).alias("_last"))
@@ -160,7 +154,7 @@ def _gaps(keys: DataFrame, block_days: int | None) -> DataFrame:
     return within.where(F.col("gap_seconds").isNotNull()).unionByName(between)
 
 
-def median_cadence(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+def median_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """Per station: exact median gap in hours and the rows per day it means (24 for a single row).
 
     Gaps are counted before the median. Distinct gaps of a station add up to at most its time span,
@@ -174,45 +168,41 @@ def median_cadence(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFr
 
 
 def over_series_by_cadence(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int,
-                           block_days: int | None = BLOCK_DAYS) -> DataFrame:
+                           block_days: int = BLOCK_DAYS) -> DataFrame:
     """``over_series`` plus the targets ``rows_per_day * n`` rows ahead, n = 1..3, at each station's own
     cadence.
 
-    ``lead`` needs a constant offset, so there is one lead per cadence that occurs (whole numbers up to
-    240) and each row takes its station's. The cadence is joined by station and block: that is the
-    windows' own partitioning, and a long series does not end up in one task.
+    A row's number in its series is its number in its block plus the rows of all earlier blocks. Every row
+    goes, as narrow as it can be, to the three rows it is a target of, and these meet by (station, row
+    number). So the plan is the same for any number of cadences, and a long series is spread over all tasks.
     """
-    keys = df.select(*S.KEY)
-    cadence = materialize(median_cadence(keys, block_days).select(S.STATION, "rows_per_day"))
-    found = sorted(r[0] for r in cadence.select("rows_per_day").distinct().collect())
-
-    def with_targets(w: WindowSpec) -> dict[str, Column]:
-        targets = {}
-        for name, h in zip(S.TARGETS, S.HORIZONS):
-            ahead = [F.when(F.col("rows_per_day") == n, F.lead("aqi", n * h).over(w)) for n in found]
-            targets[name] = F.coalesce(*ahead) if ahead else F.lit(None).cast("double")
-        return {**columns(w), **targets}
-
-    if block_days is None:
-        return df.join(cadence, S.STATION).withColumns(with_targets(_station_window()))
-
-    def reach(test: Callable[[int, int], Column]) -> Column:
-        # Each station's own reach: one fast station must not widen everybody's borders.
-        border = F.lit(False)
-        for n in found:
-            border = F.when(F.col("rows_per_day") == n, test(before, 3 * n)).otherwise(border)
-        return border
-
-    blocks = with_block(keys, block_days).select(S.STATION, _BLOCK).distinct().join(cadence, S.STATION)
-    blocked = with_block(df, block_days).join(blocks, [S.STATION, _BLOCK])
-    return _over_blocks(blocked, with_targets, reach)
-
-
-def targets_by_cadence(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+    narrow = df.select(*S.KEY, "aqi")
+    counted = with_block(narrow, block_days).groupBy(S.STATION, _BLOCK).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(S.STATION).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per station and block.
+    blocks = materialize(
+        counted.select(S.STATION, _BLOCK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .join(median_cadence(narrow, block_days).select(S.STATION, "rows_per_day"), S.STATION))
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return (with_block(rows, block_days).join(blocks, [S.STATION, _BLOCK])
+                .withColumn(_ROW, F.col("_before") + F.row_number().over(_block_window())).drop("_before"))
+
+    steps = F.array(*[F.struct((F.col(_ROW) - h * F.col("rows_per_day")).alias("_for"), F.lit(h).alias("_h"))
+                      for h in S.HORIZONS])
+    ahead = (numbered(narrow).select(S.STATION, "aqi", F.inline(steps)).where("_for > 0")
+             .groupBy(S.STATION, F.col("_for").alias(_ROW))
+             .agg(*[F.max(F.when(F.col("_h") == h, F.col("aqi"))).alias(name)
+                    for name, h in zip(S.TARGETS, S.HORIZONS)]))
+    return _over_blocks(numbered(df), columns, lambda test: test(before, 0)).join(
+        ahead, [S.STATION, _ROW], "left").drop(_ROW)
+
+
+def targets_by_cadence(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """The three targets at each station's cadence, and the cadence as ``rows_per_day``."""
     return over_series_by_cadence(df, lambda w: {}, 0, block_days)
 
 
-def features_and_cadence_targets(df: DataFrame, block_days: int | None = BLOCK_DAYS) -> DataFrame:
+def features_and_cadence_targets(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """Features and cadence targets from the same windows."""
     return over_series_by_cadence(df, feature_window_columns, 3 * DAY, block_days).drop("rows_per_day")

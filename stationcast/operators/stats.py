@@ -38,10 +38,10 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, Row]:
     return {c: found.get(c, empty) for c in columns}
 
 
-def describe(df: DataFrame, columns: list[str], small: int = quantiles.SMALL) -> DataFrame:
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std (n-1), min, exact quartiles and max: one row per column."""
     m = moments(df, columns)
-    quartiles = quantiles.exact_quantiles(df, columns, QUARTILES, {c: m[c]["n"] for c in columns}, small)
+    quartiles = quantiles.exact_quantiles(df, columns, QUARTILES, {c: m[c]["n"] for c in columns})
     rows = [(i + 1, c, m[c]["n"], m[c]["mean"], m[c]["std"], m[c]["min"], *quartiles[c], m[c]["max"])
             for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(
@@ -89,14 +89,14 @@ def auto_bins(n: int, low: float, high: float, q25: float, q75: float) -> int:
     return math.ceil(spread / width)
 
 
-def histogram(df: DataFrame, columns: list[str], small: int = quantiles.SMALL) -> DataFrame:
+def histogram(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts in automatically chosen equal bins, empty ones included; the last bin is closed.
 
     One pass finds the ranges, one the quartiles, one counts all columns together.
     """
     m = moments(df, columns)
     counts = {c: m[c]["n"] for c in columns}
-    quartiles = quantiles.exact_quantiles(df, columns, [0.25, 0.75], counts, small)
+    quartiles = quantiles.exact_quantiles(df, columns, [0.25, 0.75], counts)
     filled = [c for c in columns if counts[c] > 0]
     edges = {}
     for c in filled:

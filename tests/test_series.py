@@ -27,7 +27,7 @@ def expected_features(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).sort_values(["city", "ingestion_timestamp"]).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("block_days", [1, 10, 90, None])
+@pytest.mark.parametrize("block_days", [1, 10, 90, 3650])
 def test_features_equal_pandas_for_any_block_length(spark, block_days):
     frame = make_series()
     want = expected_features(frame)
@@ -64,7 +64,7 @@ def pandas_cadence(times: pd.Series) -> int:
     return max(1, int(round(24 / max(gaps.median().total_seconds() / 3600, 0.1))))
 
 
-@pytest.mark.parametrize("block_days", [3, 90, None])
+@pytest.mark.parametrize("block_days", [3, 90, 3650])
 def test_targets_by_cadence_equal_pandas(spark, block_days):
     frame = make_series(seed=11)
     # A station every minute, one every 17 hours.
@@ -81,6 +81,25 @@ def test_targets_by_cadence_equal_pandas(spark, block_days):
     assert pandas_cadence(frame[frame.city == "minutes"]["ingestion_timestamp"]) == 240
 
 
+def test_many_cadences_and_one_hot_station(spark):
+    """As many cadences as stations, a third of all rows at one; the plan does not depend on their number."""
+    sizes = {n: 20 for n in range(1, 61)} | {240: 600}
+    start = pd.Timestamp("2024-01-01")
+    frame = pd.concat([pd.DataFrame({
+        "city": f"c{n}", "ingestion_timestamp": start + pd.to_timedelta(np.arange(size) * round(86400 / n), unit="s"),
+        "aqi": np.arange(float(size)), "pm25": 1.0, "wind_speed": 1.0}) for n, size in sizes.items()])
+    made = series.targets_by_cadence(to_spark(spark, frame), 1)
+    few = series.targets_by_cadence(to_spark(spark, frame[frame.city == "c24"]), 1)
+    lengths = [len(d._jdf.queryExecution().optimizedPlan().toString()) for d in (made, few)]
+    assert abs(lengths[0] - lengths[1]) < 0.1 * lengths[1]
+    got = to_pandas(made)
+    assert len(got) == len(frame) and got["rows_per_day"].nunique() > 50
+    for _, g in got.groupby("city"):
+        rows = int(g["rows_per_day"].iloc[0])
+        for h in (1, 2, 3):
+            np.testing.assert_allclose(g[f"target_day{h}"].astype(float), g["aqi"].astype(float).shift(-rows * h))
+
+
 def test_rows_per_day_rounds_halves_to_even(spark):
     gaps = spark.createDataFrame([(g,) for g in (9.6, 16.0, 48.0, 1000.0, 0.01, None)], "gap double")
     got = [r[0] for r in gaps.select(series.rows_per_day(F.col("gap"))).collect()]
@@ -92,7 +111,8 @@ def test_dedup_keeps_one_fixed_row_per_key(spark):
     df = spark.createDataFrame(rows, "city string, t string, aqi double").select(
         "city", F.col("t").cast("timestamp").alias("ingestion_timestamp"), "aqi")
     got = {(r["city"], r["aqi"]) for r in dedup_readings(df.repartition(4)).collect()}
-    assert got == {("a", None), ("b", 9.0)}
+    # A copy with a value goes before one without.
+    assert got == {("a", 1.0), ("b", 9.0)}
 
 
 def test_dedup_drops_copies_before_the_shuffle(spark):

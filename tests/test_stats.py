@@ -25,15 +25,15 @@ def test_bracketed_quantiles_are_exact(spark, kind, monkeypatch):
     monkeypatch.setattr(quantiles, "_SPREAD", 6.0 / 20)
     values = data(kind)
     df = spark.createDataFrame(pd.DataFrame({"x": values})).repartition(5)
-    got = quantiles.exact_quantiles(df, ["x"], PROBS, {"x": len(values)}, small=10, candidates=50)["x"]
+    got = quantiles.exact_quantiles(df, ["x"], PROBS, {"x": len(values)}, candidates=50)["x"]
     np.testing.assert_allclose(got, np.quantile(values, PROBS), rtol=1e-12)
 
 
-def test_both_ways_agree(spark):
+def test_any_number_of_candidates_gives_the_same(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": data("normal"), "y": data("heavy")}))
     counts = {"x": 4000, "y": 4000}
     a = quantiles.exact_quantiles(df, ["x", "y"], PROBS, counts)
-    b = quantiles.exact_quantiles(df, ["x", "y"], PROBS, counts, small=10)
+    b = quantiles.exact_quantiles(df, ["x", "y"], PROBS, counts, candidates=50)
     for c in counts:
         np.testing.assert_allclose(a[c], b[c], rtol=1e-12)
 
@@ -42,7 +42,7 @@ def test_both_ways_agree(spark):
 @given(values=st.lists(st.integers(-4, 4).map(float) | st.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_quantiles_of_any_values(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = quantiles.exact_quantiles(df, ["x"], [0.25, 0.5, 0.9], {"x": len(values)}, small=0, candidates=5)["x"]
+    got = quantiles.exact_quantiles(df, ["x"], [0.25, 0.5, 0.9], {"x": len(values)}, candidates=5)["x"]
     np.testing.assert_allclose(got, np.quantile(values, [0.25, 0.5, 0.9]), rtol=1e-9, atol=1e-9)
 
 

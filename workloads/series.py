@@ -65,10 +65,13 @@ def series_features_per_user(t: Tables) -> DataFrame:
     return series.series_features(rows, block_days=7).select(CITY, TIME, *Q.WINDOW_NAMES)
 
 
+# Daily rows need wide blocks, so that few of them are near a border.
+_DAILY_BLOCK = 1000
+
+
 @query("series_features_per_supplier", _windowed(Q.FEATURES, Q.WINDOW_NAMES, "suppliers", Q.SUPPLIERS))
 def series_features_per_supplier(t: Tables) -> DataFrame:
-    """Daily rows: a station's whole series is short."""
-    return series.series_features(t.suppliers, block_days=None).select(CITY, TIME, *Q.WINDOW_NAMES)
+    return series.series_features(t.suppliers, block_days=_DAILY_BLOCK).select(CITY, TIME, *Q.WINDOW_NAMES)
 
 
 @query("row_gap", f"""WITH {Q.BY_USER} SELECT {Q.KEY}, CAST(epoch(ingestion_timestamp)
@@ -104,13 +107,10 @@ def targets_fixed(t: Tables) -> DataFrame:
     return series.targets_fixed(t.readings.select(CITY, TIME, "aqi"))
 
 
-def _by_cadence(source: str, columns: str = "aqi") -> str:
-    return f"""numbered AS (SELECT s.*, row_number() OVER (PARTITION BY s.city ORDER BY ingestion_timestamp)
-    AS rn, rows_per_day FROM {source} s JOIN cadence USING (city)),
-  ahead AS (SELECT a.*, b1.aqi AS target_day1, b2.aqi AS target_day2, b3.aqi AS target_day3 FROM numbered a
-    LEFT JOIN numbered b1 ON b1.city = a.city AND b1.rn = a.rn + a.rows_per_day
-    LEFT JOIN numbered b2 ON b2.city = a.city AND b2.rn = a.rn + 2 * a.rows_per_day
-    LEFT JOIN numbered b3 ON b3.city = a.city AND b3.rn = a.rn + 3 * a.rows_per_day)"""
+def _by_cadence(source: str) -> str:
+    return f"""paced AS (SELECT s.*, rows_per_day FROM {source} s JOIN cadence USING (city)),
+  ahead AS (SELECT *, {', '.join(f'lead(aqi, {h} * rows_per_day) OVER (PARTITION BY city ORDER BY ingestion_timestamp) AS {t}'
+                                 for h, t in zip(S.HORIZONS, S.TARGETS))} FROM paced)"""
 
 
 @query("targets_by_cadence", f"""WITH {Q.RAW}, {_cadence('raw')}, {_by_cadence('raw')}
@@ -128,7 +128,7 @@ def targets_by_cadence_per_user(t: Tables) -> DataFrame:
 @query("targets_by_cadence_per_supplier", f"""WITH {Q.SUPPLIERS}, {_cadence('suppliers')}, {_by_cadence('suppliers')}
   SELECT {Q.KEY}, {Q.r('aqi')}, rows_per_day, {Q.r(*S.TARGETS)} FROM ahead""")
 def targets_by_cadence_per_supplier(t: Tables) -> DataFrame:
-    return series.targets_by_cadence(t.suppliers.select(CITY, TIME, "aqi"), block_days=None)
+    return series.targets_by_cadence(t.suppliers.select(CITY, TIME, "aqi"), block_days=_DAILY_BLOCK)
 
 
 # --- frames --------------------------------------------------------------------------------

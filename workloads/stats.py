@@ -40,8 +40,8 @@ _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query("describe_lineitem", _each(_DESCRIBE + "lineitem", _LINE))
 def describe_lineitem(t: Tables) -> DataFrame:
-    """A whole fact table; a low limit sends it down the bracketing way that large tables take."""
-    return stats.describe(t.table("lineitem"), _LINE, small=20_000)
+    """A whole fact table."""
+    return stats.describe(t.table("lineitem"), _LINE)
 
 
 _TYPES = {"city": "string", "timestamp": "timestamp", "ingestion_timestamp": "timestamp",
@@ -102,7 +102,7 @@ def histogram(t: Tables) -> DataFrame:
 
 @query("histogram_lineitem", _histogram_sql("WITH", "lineitem", _LINE))
 def histogram_lineitem(t: Tables) -> DataFrame:
-    return stats.histogram(t.table("lineitem"), _LINE, small=20_000)
+    return stats.histogram(t.table("lineitem"), _LINE)
 
 
 def _density_sql(ctes: str, source: str, columns: list[str]) -> str:
