@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from stationcast import schema as S
 from stationcast.functions.display import weekday_name
 
-# Fixed values of the resampling weights: P(Poisson(1) <= k) for k = 0, 1, ...
+# Fixed values of the resampling weights: P(Poisson(1) <= k) for k = 0, 1, ... up to the resolution of the uniform, 2^-31.
 _POISSON_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
+                0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683893,
+                0.9999999999364022]
 _PRIME = 2147483647
 
 
