@@ -61,7 +61,8 @@ def _grams_and_anchors(w: X.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchor_rows(texts: pa.Array, known: np.ndarray) -> Iterator[np.ndarray]:
-    """Each anchor once per run of windows that share it, and once more for grams that recur within one window."""
+    """Each anchor once per run of windows that share it, and once more for grams that recur within one window or
+    from one window to the next."""
     for lo, hi in X.slices(texts):
         w = X.words(texts.slice(lo, hi - lo))
         h = w.hashes()
@@ -74,7 +75,8 @@ def _anchor_rows(texts: pa.Array, known: np.ndarray) -> Iterator[np.ndarray]:
         new[1:] = (anchors[1:] != anchors[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])
         yield anchors[new & ok]
         again = np.zeros(len(g), dtype=bool)
-        for d in range(1, _SPAN):
+        # Up to _SPAN: a run of windows goes on where a gram comes back that many words later.
+        for d in range(1, _SPAN + 1):
             again[:-d] |= (g[:-d] == g[d:]) & (doc[:-d] == doc[d:])
         again &= known[lo + doc]
         if again.any():

@@ -175,6 +175,17 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_periodic_texts(spark):
+    """A passage that comes back at once, at every distance; the words of each text are its own."""
+    texts = [" ".join(f"p{p}x{i % p}" for i in range(n)) for p in range(1, 41) for n in (3 * p + 20, 2 * p + 19)]
+    texts = [t if i % 2 else f"before{i} {t} after{i}" for i, t in enumerate(texts)]
+    # Each text apart: words of the two lengths of one period differ.
+    texts = [" ".join(f"{w}t{i}" for w in t.split()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_kept(texts)
+
+
 def test_substring_dedup_of_one_id_with_two_texts(spark):
     rng = random.Random(8)
     a, b = text_of(rng, 50), text_of(rng, 50)
