@@ -283,6 +283,27 @@ def test_secret_scan_keeps_base_spans_and_learns(spark, docs, none):
     assert secrets.scan(docs, net).count() == docs.count()
 
 
+def test_secret_scan_finds_secrets_without_a_keyword(spark):
+    """Bare keys among the unlabelled candidates do not lift the threshold above themselves."""
+    rng, rows, bare = random.Random(12), [], {}
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for i in range(400):
+        key, long = "".join(rng.choices(signs, k=40)), "".join(rng.choices("aeiourstnl", k=24))
+        t = f"some {long} text, then {long[::-1]}; api_key={key} and more"
+        if i % 8 == 0:
+            hidden = "".join(rng.choices(signs, k=40))
+            t += f" we use {hidden} there"
+            bare[i] = (t.index(hidden), t.index(hidden) + 40)
+        rows.append((i, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    net = secrets.train(df)
+    assert net.recall >= secrets.RECALL
+    learned = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "learned"]
+               for r in secrets.scan(df, net).collect()}
+    assert sum(span in learned[i] for i, span in bare.items()) >= 0.9 * len(bare)
+    assert sum(len(v) for v in learned.values()) <= len(bare) + 8
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(2)
     rows = []
