@@ -6,10 +6,13 @@ into blocks of ``BLOCK``). Each round joins every list, forward and reverse, wit
 with one another: neighbours of neighbours. Lists keep the ``K`` best; every pair at or above the threshold is kept as an
 edge whatever the list says. Lists of more than ``CHUNK`` members are dealt to chunks, so no group is large.
 
-A list is saturated when all it can hold are edges. Such lists are enlarged to their whole component: inside each
-component of edges, blocks of vectors meet in tiles and all links are counted exactly. Vectors of different components
-are linked only if the search missed that; the audit measures it: ``AUDITED`` vectors, chosen by a hash, are compared with
-all vectors, and rounds go on until at least ``RECALL`` of their links lie inside components (at most ``ROUNDS``).
+A list is saturated when all it can hold are edges. Such lists are enlarged to their whole component: neighbours of the
+own component take no place among the ``K`` best outside it, which every list holds besides the ``K`` best of all. At
+the end, blocks of vectors meet in tiles inside each component and all links are counted exactly. Vectors of different
+components are linked only if the search missed that; the audit measures it: ``AUDITED`` vectors of each size class of
+components (single vectors are one), chosen by a hash, are compared with all vectors. Rounds, each with new sign-code
+tables, go on until in every class at least ``RECALL`` of the vectors with links have all of them inside their component. Where
+that does not hold after ``ROUNDS``, all vectors of a label meet in tiles and every missed link between components is found.
 
 Null or zero vectors, vectors with a null or non-finite component and vectors with a null label link with nothing. Rows
 that repeat a vec_id are vectors of their own that share a component. A null vec_id has no component and is no link.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationcast.llm import text as X
@@ -29,7 +32,7 @@ from stationcast.llm.common import components, materialize, table
 THRESHOLD = 0.93
 K = 10
 TABLES, BLOCK, CHUNK, TILE = 12, 64, 48, 1024
-AUDITED, RECALL, ROUNDS = 200, 0.999, 6
+AUDITED, RECALL, ROUNDS = 1000, 0.999, 6
 SEED = 11
 
 
@@ -59,8 +62,8 @@ def _codes(table_no: int, dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, table_no, dim]).normal(size=(dim, 31))
 
 
-def _coded(vectors: DataFrame) -> DataFrame:
-    """Each vector once per table, with its sign code there."""
+def _coded(vectors: DataFrame, number: int) -> DataFrame:
+    """Each vector once per table of a round, with its sign code there."""
     def run(batches):
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
@@ -68,46 +71,49 @@ def _coded(vectors: DataFrame) -> DataFrame:
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 v = _vectors(part)
                 for t in range(TABLES):
-                    bits = (v @ _codes(t, int(dim)) > 0) @ (1 << np.arange(30, -1, -1, dtype=np.int64))
+                    bits = (v @ _codes(number * TABLES + t, int(dim)) > 0) @ (1 << np.arange(30, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), part.column("label"), part.column("dim"), part.column("vec"),
-                         pa.array(np.full(len(v), t, np.int32)), pa.array(bits)],
-                        names=["id", "label", "dim", "vec", "t", "code"])
-    return vectors.select("id", "label", "dim", "vec").mapInArrow(
-        run, "id long, label string, dim int, vec array<double>, t int, code long")
+                        [part.column("id"), part.column("comp"), part.column("label"), part.column("dim"),
+                         part.column("vec"), pa.array(np.full(len(v), t, np.int32)), pa.array(bits)],
+                        names=["id", "comp", "label", "dim", "vec", "t", "code"])
+    return vectors.select("id", "comp", "label", "dim", "vec").mapInArrow(
+        run, "id long, comp long, label string, dim int, vec array<double>, t int, code long")
 
 
-def _compare(ids: np.ndarray, v: np.ndarray, best: int):
-    """Pairs of a small group: each member's best others, and all pairs at the threshold. (id, nbr, sim)."""
+def _compare(ids: np.ndarray, comp: np.ndarray, v: np.ndarray, best: int):
+    """Pairs of a small group: each member's best others, its best others of other components, and all pairs of
+    different components at the threshold. (id, nbr, sim)."""
     s = v @ v.T
     np.fill_diagonal(s, -2)
     n = len(ids)
     take = min(best, n - 1)
     if take <= 0:
         return None
-    top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < n else np.argsort(-s, axis=1)[:, :take]
-    keep = s >= THRESHOLD
-    keep[np.arange(n)[:, None], top] = True
+    other = comp[:, None] != comp[None, :]
+    keep = (s >= THRESHOLD) & other
+    for sims in (s, np.where(other, s, -2)):
+        top = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+        keep[np.arange(n)[:, None], top] |= np.take_along_axis(sims, top, axis=1) > -2
     keep &= ids[:, None] != ids[None, :]
     i, j = np.nonzero(keep)
     return ids[i], ids[j], s[i, j]
 
 
-def _runs(batches, key: str, most: int | None = None):
-    """Streams (ids, vectors) per run of equal keys in sorted rows, cut to ``most`` rows where given."""
+def _runs(batches, key: str):
+    """Streams (ids, components, vectors) per run of equal keys in sorted rows."""
     held = None
     for batch in batches:
-        part = (np.asarray(batch.column(key)), np.asarray(batch.column("id")), batch.column("vec"))
+        part = (*(np.asarray(batch.column(c)) for c in (key, "id", "comp")), batch.column("vec"))
         if held is not None:
-            part = (np.concatenate([held[0], part[0]]), np.concatenate([held[1], part[1]]),
-                    pa.concat_arrays([held[2], part[2]]))
-        keys, ids, vecs = part
+            part = (*(np.concatenate([h, p]) for h, p in zip(held[:3], part[:3])), pa.concat_arrays([held[3], part[3]]))
+        keys, ids, comp, vecs = part
         starts = [*X.group_starts(keys), len(keys)]
         for lo, hi in zip(starts[:-2], starts[1:-1]):
-            yield ids[lo:hi], vecs.slice(lo, hi - lo)
-        held = (keys[starts[-2]:], ids[starts[-2]:], vecs.slice(starts[-2])) if len(keys) else held
+            yield ids[lo:hi], comp[lo:hi], vecs.slice(lo, hi - lo)
+        at = starts[-2] if len(keys) else 0
+        held = (keys[at:], ids[at:], comp[at:], vecs.slice(at))
     if held is not None and len(held[0]):
-        yield held[1], held[2]
+        yield held[1:]
 
 
 def _as_matrix(vecs: pa.Array) -> np.ndarray:
@@ -123,8 +129,8 @@ def _batch(found: list) -> pa.RecordBatch:
 
 def _compared(groups, best: int):
     found, rows = [], 0
-    for ids, vecs in groups:
-        pairs = _compare(ids, _as_matrix(vecs), best)
+    for ids, comp, vecs in groups:
+        pairs = _compare(ids, comp, _as_matrix(vecs), best)
         if pairs is not None:
             found.append(pairs)
             rows += len(pairs[0])
@@ -135,31 +141,38 @@ def _compared(groups, best: int):
         yield _batch(found)
 
 
-def first_graph(vectors: DataFrame) -> DataFrame:
-    """Neighbours out of blocks of like sign codes."""
+def first_graph(vectors: DataFrame, number: int = 0) -> DataFrame:
+    """Neighbours out of blocks of like sign codes, by the tables of a round."""
     def run(batches):
         def blocks():
             for batch in batches:
                 key = np.asarray(batch.column("group"))
-                ids, vecs = np.asarray(batch.column("id")), batch.column("vec")
+                ids, comp, vecs = np.asarray(batch.column("id")), np.asarray(batch.column("comp")), batch.column("vec")
                 starts = [*X.group_starts(key), len(key)]
                 for lo, hi in zip(starts, starts[1:]):
                     for a in range(lo, hi, BLOCK // 2):
                         b = min(a + BLOCK, hi)
-                        yield ids[a:b], vecs.slice(a, b - a)
+                        yield ids[a:b], comp[a:b], vecs.slice(a, b - a)
                         if b == hi:
                             break
         yield from _compared(blocks(), K)
-    coded = _coded(vectors).withColumn("group", F.xxhash64("t", "label", "dim"))
+    coded = _coded(vectors, number).withColumn("group", F.xxhash64("t", "label", "dim"))
     return coded.repartitionByRange("group", "code", "id").sortWithinPartitions("group", "code", "id").select(
-        "group", "id", "vec").mapInArrow(run, _EDGES)
+        "group", "id", "comp", "vec").mapInArrow(run, _EDGES)
 
 
-def _best(edges: DataFrame) -> DataFrame:
-    """The K best neighbours per vector; ranking is pruned in each task before the shuffle."""
-    ranked = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim")).withColumn(
-        "r", F.expr("row_number() over (partition by id order by sim desc, nbr)"))
-    return ranked.where(f"r <= {K}").drop("r")
+def _best(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """The K best neighbours per vector, and the K best outside its component; ranking is pruned in each task before
+    the shuffle."""
+    comp = placed.select("id", "comp")
+    pairs = (edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim")).join(comp, "id")
+             .join(comp.select(F.col("id").alias("nbr"), F.col("comp").alias("there")), "nbr"))
+    pairs = materialize(pairs.select("id", "nbr", "sim", (F.col("comp") != F.col("there")).alias("other")))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("r", F.expr("row_number() over (partition by id order by sim desc, nbr)")).where(
+            f"r <= {K}").select("id", "nbr", "sim")
+    return first(pairs).union(first(pairs.where("other"))).distinct()
 
 
 def round_of(graph: DataFrame, vectors: DataFrame, number: int) -> DataFrame:
@@ -170,11 +183,11 @@ def round_of(graph: DataFrame, vectors: DataFrame, number: int) -> DataFrame:
     sizes = lists.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     key = F.xxhash64("u", F.pmod(F.xxhash64("v", F.lit(number)), F.col("chunks")))
     dealt = (lists.join(sizes, "u").select(key.alias("list"), F.col("v").alias("id"))
-             .join(vectors.select("id", "vec"), "id").repartition("list").sortWithinPartitions("list"))
+             .join(vectors.select("id", "comp", "vec"), "id").repartition("list").sortWithinPartitions("list"))
 
     def run(batches):
         yield from _compared(_runs(batches, "list"), K)
-    return dealt.select("list", "id", "vec").mapInArrow(run, _EDGES)
+    return dealt.select("list", "id", "comp", "vec").mapInArrow(run, _EDGES)
 
 
 def _sound(edges: DataFrame) -> DataFrame:
@@ -182,32 +195,78 @@ def _sound(edges: DataFrame) -> DataFrame:
         F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
 
 
-def audit(vectors: DataFrame, roots: DataFrame) -> float:
-    """The share of links of some vectors, found by comparing them with all others, that lie inside components."""
-    placed = vectors.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "comp", F.coalesce("root", "id"))
-    asked = placed.orderBy(F.xxhash64("id", F.lit(SEED))).limit(AUDITED).select("id", "label", "dim", "comp", "vec").collect()
+def audit(placed: DataFrame) -> float:
+    """Some vectors of each size class of components, compared with all others: the least share, over the classes, of those
+    with links that have all of them inside their component."""
+    sizes = placed.groupBy("comp").agg(F.floor(F.log2(F.count("*"))).alias("class"))
+    asked = (placed.join(sizes, "comp").withColumn("r", F.row_number().over(
+        Window.partitionBy("class").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))).where(F.col("r") <= AUDITED)
+        .select("id", "label", "dim", "comp", "vec", "class").collect())
     queries: dict = {}
     for q in asked:
         queries.setdefault((q["label"], q["dim"]), []).append((q["id"], q["comp"], q["vec"]))
-    shared = vectors.sparkSession.sparkContext.broadcast(queries)
+    queries = {k: tuple(np.array(c) for c in zip(*v)) for k, v in queries.items()}
+    shared = placed.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
         for batch in batches:
             key = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist()))
             ids, comp = np.asarray(batch.column("id")), np.asarray(batch.column("comp"))
-            links = inside = 0
             for k in set(key) & set(shared.value):
                 at = np.array([i for i, x in enumerate(key) if x == k])
                 v = _as_matrix(batch.column("vec").take(pa.array(at)))
-                q = shared.value[k]
-                near = (v @ np.array([x[2] for x in q]).T >= THRESHOLD) & (ids[at][:, None] != np.array([x[0] for x in q]))
-                links += int(near.sum())
-                inside += int((near & (comp[at][:, None] == np.array([x[1] for x in q]))).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([inside])], names=["links", "inside"])
-    total = placed.select("id", "label", "dim", "comp", "vec").mapInArrow(run, "links long, inside long").agg(
-        F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum("inside"), F.lit(0)).alias("inside")).first()
-    return total["inside"] / total["links"] if total["links"] else 1.0
+                q, q_comp, q_vec = shared.value[k]
+                # A few rows at a time, so that memory does not grow with batches.
+                for lo in range(0, len(at), 512):
+                    part = at[lo:lo + 512]
+                    near = (v[lo:lo + 512] @ q_vec.T >= THRESHOLD) & (ids[part][:, None] != q)
+                    out = (near & (comp[part][:, None] != q_comp)).sum(axis=0)
+                    links = near.sum(axis=0)
+                    hit = links > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(q[hit]), pa.array(links[hit]), pa.array(out[hit])],
+                                                     names=["id", "links", "out"])
+    found = placed.select("id", "label", "dim", "comp", "vec").mapInArrow(run, "id long, links long, out long")
+    missed = {r["id"]: r["out"] for r in found.groupBy("id").agg(F.sum("out").alias("out")).collect()}
+    shares = []
+    for c in {q["class"] for q in asked}:
+        linked = [missed[q["id"]] == 0 for q in asked if q["class"] == c and q["id"] in missed]
+        shares += [sum(linked) / len(linked)] if linked else []
+    return min(shares, default=1.0)
+
+
+def across(placed: DataFrame) -> DataFrame:
+    """Links between components, out of tiles of all vectors with equal labels: one (a, b) per tile and pair of components."""
+    sizes = placed.groupBy("label", "dim").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, ["label", "dim"]).withColumn("place", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int"))
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # A vector of block p meets all blocks: in tile (i, j) with i <= j it stands on the left, the right or both.
+    rows = dealt.withColumn("k", F.explode(each)).select(
+        F.xxhash64("label", "dim", F.least("place", "k"), F.greatest("place", "k")).alias("tile"),
+        "id", "comp", (F.col("place") <= F.col("k")).alias("left"), (F.col("place") >= F.col("k")).alias("right"), "vec")
+
+    def run(batches):
+        def emit(t, ids, comp, left, right, vecs):
+            v = _as_matrix(vecs)
+            a, b = np.nonzero(v[left] @ v[right].T >= THRESHOLD)
+            x, y, cx, cy = ids[left][a], ids[right][b], comp[left][a], comp[right][b]
+            at = np.flatnonzero(cx != cy)
+            pairs = np.unique(np.stack([np.minimum(cx, cy)[at], np.maximum(cx, cy)[at]]), axis=1, return_index=True)[1]
+            return pa.RecordBatch.from_arrays([pa.array(x[at][pairs]), pa.array(y[at][pairs])], names=["a", "b"])
+        names = ("tile", "id", "comp", "left", "right")
+        held = None
+        for batch in batches:
+            part = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in names), batch.column("vec")]
+            if held is not None:
+                part = [*(np.concatenate(x) for x in zip(held[:-1], part[:-1])), pa.concat_arrays([held[-1], part[-1]])]
+            starts = [*X.group_starts(part[0]), len(part[0])]
+            cut = [[*(c[lo:hi] for c in part[:-1]), part[-1].slice(lo, hi - lo)] for lo, hi in zip(starts, starts[1:])]
+            for x in cut[:-1]:
+                yield emit(*x)
+            held = cut[-1] if cut else held
+        if held is not None:
+            yield emit(*held)
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _inside(vectors: DataFrame, roots: DataFrame) -> DataFrame:
@@ -254,14 +313,23 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     # Two classes with one id (rows that repeat a vec_id) stay apart by their own number.
     vectors = materialize(classes.withColumn("rep", F.col("id")).withColumn(
         "id", F.xxhash64("label", "dim", F.transform("vec", lambda x: x.cast("string")))))
-    graph, links = None, None
+    def place(roots: DataFrame) -> DataFrame:
+        return materialize(vectors.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn(
+            "comp", F.coalesce("root", "id")).drop("root"))
+    placed = vectors.withColumn("comp", F.col("id"))
+    graph, links, whole = None, None, False
     for number in range(ROUNDS):
-        found = materialize(first_graph(vectors) if graph is None else round_of(graph, vectors, number))
-        graph = materialize(_best(found if graph is None else graph.union(found)))
+        found = first_graph(placed, number)
+        found = materialize(found if graph is None else found.union(round_of(graph, placed, number)))
         links = _sound(found) if links is None else links.union(_sound(found))
-        roots = components(links) if number else None
-        if roots is not None and audit(vectors, roots) >= RECALL:
+        roots = components(links)
+        placed = place(roots)
+        whole = number > 0 and audit(placed) >= RECALL
+        if whole:
             break
+        graph = materialize(_best(found if graph is None else graph.union(found), placed))
+    if not whole:
+        roots = components(links.union(across(placed)))
     inside = _inside(vectors, roots)
     marks = (vectors.select("id", "label", "dim", "vec", "rep", "copies").join(inside, "id", "left")
              .join(roots.withColumnRenamed("node", "id"), "id", "left")

@@ -363,6 +363,44 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked_clusters():
+    """Pairs of dense clusters, each vector with dozens of near copies and few or no links to the other cluster; and loose
+    pairs of vectors."""
+    rng, rows = np.random.default_rng(21), []
+
+    def unit(v):
+        return v / np.linalg.norm(v)
+    for c in range(20):
+        one, side = unit(rng.normal(size=32)), rng.normal(size=32)
+        side = unit(side - side @ one * one)
+        two = 0.902 * one + np.sqrt(1 - 0.902 ** 2) * side
+        rows += [unit(x + rng.normal(size=32) * 0.016) for x in (one, two) for _ in range(150)]
+    for _ in range(40):
+        x = unit(rng.normal(size=32))
+        rows += [x, unit(x + rng.normal(size=32) * 0.055)]
+    return [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("rounds", [embedding_dedup.ROUNDS, 1])
+def test_embedding_dedup_of_linked_clusters(spark, monkeypatch, rounds):
+    """Links between clusters whose lists are full of their own; with one round, the tiles must find them."""
+    monkeypatch.setattr(embedding_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(embedding_dedup, "TILE", 500)
+    rows = linked_clusters()
+    v = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    near = v @ v.T >= embedding_dedup.THRESHOLD
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(near, root[None, :], len(rows)).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(rows))] == list(zip(root.tolist(), (near.sum(axis=1) - 1).tolist()))
+
+
 def test_suffix_automaton_gives_longest_matches():
     text = "abracadabra"
     machine = language_id.SuffixAutomaton(text)
