@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stationcast.plans import training
 from tools.check import TABLES, rows_of
 from workloads.registry import REGISTRY
 
@@ -37,5 +38,21 @@ def test_only_fits_have_no_sql():
     assert set(REGISTRY) - set(OWN) == FITS
 
 
+@pytest.mark.parametrize("name, parameter, rounds", [
+    ("random_forest", "numTrees", 100), ("gradient_boosting", "maxIter", 150), ("extreme_boosting", "maxIter", 200),
+    ("compare_models", "maxIter", 200), ("mean_importance", "numTrees", 100), ("train_register_forecast", "maxIter", 200)])
+def test_fits_use_the_full_rounds(spark, monkeypatch, name, parameter, rounds):
+    class Asked(Exception):
+        pass
+
+    def asked(factory, train):
+        estimator = factory("target_day1", "pred_day1")
+        raise Asked(estimator.getOrDefault(parameter))
+    monkeypatch.setattr(training, "fit_horizons", asked)
+    with pytest.raises(Asked) as found:
+        entry.queries()[name](spark, SF)
+    assert found.value.args == (rounds,)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 102

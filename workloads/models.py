@@ -211,9 +211,7 @@ def last_prediction(t: Tables) -> DataFrame:
 
 
 # --- fitted models -------------------------------------------------------------------------
-# Few rounds: the driver fits these on every run. The defaults of candidate_models are the full ones.
-
-_FEW = dict(forest_trees=10, boosting_rounds=5, extreme_rounds=5)
+# All with the full rounds, the defaults of candidate_models.
 
 
 def _assembled(t: Tables, names: list[str] = Q.FEATURE_NAMES) -> DataFrame:
@@ -234,7 +232,7 @@ def linear_regression_line(t: Tables) -> DataFrame:
 
 def _fit_and_score(t: Tables, name: str) -> DataFrame:
     train, test = training.split(_assembled(t))
-    models = training.fit_horizons(training.candidate_models(**_FEW)[name], train)
+    models = training.fit_horizons(training.candidate_models()[name], train)
     return training.score({name: models}, test)
 
 
@@ -261,13 +259,13 @@ def extreme_boosting(t: Tables) -> DataFrame:
 @query("compare_models")
 def compare_models(t: Tables) -> DataFrame:
     frame = training.training_frame(t.readings, targets="fixed")
-    return evaluate.rank_models(training.compare_models(frame, training.candidate_models(**_FEW)).metrics)
+    return evaluate.rank_models(training.compare_models(frame, training.candidate_models()).metrics)
 
 
 @query("mean_importance")
 def mean_importance(t: Tables) -> DataFrame:
     train, _ = training.split(_assembled(t))
-    models = training.fit_horizons(training.candidate_models(**_FEW)["RandomForest"], train)
+    models = training.fit_horizons(training.candidate_models()["RandomForest"], train)
     return training.mean_importance(t.spark, models, Q.FEATURE_NAMES)
 
 
@@ -277,7 +275,7 @@ def train_register_forecast(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "registry")
     readings = materialize(t.readings)
     training.train_and_register(readings, root, "predictor", targets="fixed",
-                                candidates=training.candidate_models(**_FEW))
+                                candidates=training.candidate_models())
     models, names = forecasting.load_serving_models(t.spark, root, "predictor")
     made = forecasting.forecast(readings, models, names, F.lit(_RUN_DATE).cast("date"))
     tables.archive_predictions(made, f"{root}/archive")
