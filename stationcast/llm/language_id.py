@@ -2,11 +2,13 @@
 
 A suffix automaton is built for each language from labelled text. A text is parsed with it into phrases, each the
 longest match from where the last one ended; words carry a mark at both ends and are parsed one by one, so
-phrases do not cross words and each distinct word is parsed once per task. The phrases per letter estimate the
-cross entropy, as all automata are built from equally many characters; the language with the fewest wins.
+phrases do not cross words and each distinct word is parsed once per task. A phrase counts the
+logarithms of the characters learned and of the alphabet, so that languages with samples of different length
+compare: the sum estimates the cross entropy, and the language with the least wins.
 
 Learning uses a bounded sample: per language the first ``MOST_DOCUMENTS`` labelled documents in the order of a hash of
-their id, ``MOST_CHARS`` characters of each, ``LEARNED_CHARS`` in all. Every text is scored whole. Null texts and texts
+their id, each read whole; their different words, in order of appearance, up to ``LEARNED_CHARS``. A language with
+few labelled words has the sample that it has and changes nothing for the others. Every text is scored whole. Null texts and texts
 without a letter are ``und`` with score 0; so is every text where nothing is labelled. Ties go to the first language
 by name. Rows with null or repeated ids are scored each for itself.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from stationcast.llm import text as X
 from stationcast.llm.common import digest_bucket, table
 
-MOST_DOCUMENTS, MOST_CHARS, LEARNED_CHARS = 120, 2000, 30_000
+MOST_DOCUMENTS, LEARNED_CHARS = 120, 30_000
 MOST_WORDS = 500_000
 SEED = 5
 _letters = re.compile(r"[^\W\d_]+").findall
@@ -83,6 +85,9 @@ class Parser:
         alphabet = {c: i for i, c in enumerate(sorted(set("".join(samples.values()))), 1)}
         self.codes = alphabet
         self.tables = [SuffixAutomaton(samples[k]).table(alphabet) for k in self.names]
+        # What a phrase tells: a place of the sample and the character that ends it; against a sample of full length.
+        self.weights = (np.log([len(samples[k]) + 1.0 for k in self.names]) + np.log(len(alphabet) + 1)) / (
+            np.log(LEARNED_CHARS + 1.0) + np.log(len(alphabet) + 1))
         self.clear()
 
     def clear(self) -> None:
@@ -137,7 +142,7 @@ class Parser:
         sums = np.zeros((len(words) + 1, len(self.names)), dtype=np.int64)
         rows = self.rows(words)
         np.cumsum(self.phrases[rows], axis=0, out=sums[1:])
-        total = sums[np.array(ends[1:])] - sums[np.array(ends[:-1])]
+        total = (sums[np.array(ends[1:])] - sums[np.array(ends[:-1])]) * self.weights
         for i, t in enumerate(texts):
             # Signs that count as word characters without being letters are no text.
             if ends[i] < ends[i + 1] and any(map(str.isalpha, "".join(words[ends[i]:ends[i + 1]]))):
@@ -150,18 +155,20 @@ class Parser:
 def learn(docs: DataFrame, held_out: Column) -> Parser:
     """Parser of the languages in the rows (doc_id, text, lang) that are not held out."""
     rows = docs.where(~F.coalesce(held_out, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("lang", F.xxhash64("doc_id", F.lit(SEED)).alias("o"), F.substring("text", 1, MOST_CHARS).alias("text"))
+    rows = rows.select("lang", F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "text")
     # Ranked in each task before the shuffle, so a language with most rows sends few.
     first = rows.withColumn("r", F.expr("row_number() over (partition by lang order by o, text)")).where(
-        F.col("r") <= MOST_DOCUMENTS).orderBy("lang", "r").collect()
-    samples: dict[str, str] = {}
-    for r in first:
-        have = samples.get(r["lang"], "")
-        samples[r["lang"]] = (have + marked(_letters(r["text"].lower())))[:LEARNED_CHARS]
-    samples = {k: v for k, v in samples.items() if v}
-    # Equal lengths make phrase counts comparable.
-    least = min(map(len, samples.values()), default=0)
-    return Parser({k: v[:max(least, LEARNED_CHARS // 10)] for k, v in samples.items()})
+        F.col("r") <= MOST_DOCUMENTS).orderBy("lang", "r")
+    words: defaultdict[str, dict[str, None]] = defaultdict(dict)
+    chars: defaultdict[str, int] = defaultdict(int)
+    # Text by text; phrases lie within words, so a word that comes again teaches nothing.
+    for r in first.toLocalIterator():
+        k = r["lang"]
+        for w in _letters(r["text"].lower()) if chars[k] < LEARNED_CHARS else ():
+            if w not in words[k] and chars[k] < LEARNED_CHARS:
+                words[k][w] = None
+                chars[k] += len(w) + 2
+    return Parser({k: marked(list(ws))[:LEARNED_CHARS] for k, ws in words.items() if ws})
 
 
 def identify(docs: DataFrame, parser: Parser) -> DataFrame:

@@ -440,6 +440,29 @@ def test_language_id(spark, docs, none):
     assert language_id.identify(none, language_id.learn(none, F.lit(False))).count() == 0
 
 
+def test_language_id_with_a_rare_language(spark):
+    """One document of a third language takes nothing from the others, and its own texts are still told."""
+    rng = random.Random(16)
+
+    def words_of(letters, n):
+        return ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n)]
+    vocabulary = {"xx": words_of("abcdefghij", 4000), "yy": words_of("abcdefghij", 4000), "zz": words_of("qrstuv", 25)}
+
+    def text(k):
+        return " ".join(rng.choices(vocabulary[k], k=60))
+    rows = [(i, text(("xx", "yy")[i % 2]), ("xx", "yy")[i % 2]) for i in range(600)] + [(600, text("zz"), "zz")]
+    # A long text whose later words matter as well.
+    rows += [(601, " ".join(vocabulary["xx"]), "xx")]
+    asked = [(700 + i, text(k), k) for i in range(60) for k in (("xx", "yy", "zz")[i % 3],)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = language_id.learn(df, F.lit(False))
+    alone = language_id.learn(df.where("lang <> 'zz'"), F.lit(False))
+    assert [len(t) for t in parser.tables[:2]] == [len(t) for t in alone.tables]
+    assert min(len(t) for t in parser.tables[:2]) > 20_000
+    names, _ = parser.predict([t for _, t, _ in asked])
+    assert names == [k for _, _, k in asked]
+
+
 def labelled(spark, bad):
     rng = random.Random(6)
     rows = [(i, bad(rng, text_of(rng, 60)) if i % 3 == 0 else text_of(rng, 60), int(i % 3 != 0)) for i in range(300)]
