@@ -18,6 +18,7 @@ scored each for itself. Without labelled rows the lexicon is empty and the prior
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ KINDS = ("exact", "stem", "fuzzy")
 REPORTING = {"said", "says", "called", "calls", "quoted", "quote", "wrote", "writes", "term", "word", "dit", "mot",
              "dijo", "palabra", "sagte", "wort", "nannte"}
 _WORDS = re.compile(r"[^\W\d_]+")
-_QUOTES = re.compile("[\"“”«»„]")
+_MARKS = re.compile("[\"“”«»„\n]")
 #: Prior of the weights: intercept, then per kind (any unquoted, log count unquoted, log count quoted).
 PRIOR = np.array([-3.0, 3.0, 1.0, 0.3, 3.0, 1.0, 0.3, 2.0, 0.7, 0.2])
 
@@ -119,12 +120,28 @@ class Lexicon:
         return {**self.__dict__, "arcs": {}, "found": {}}
 
 
-def quoted(text: str, a: int, b: int) -> bool:
-    """Whether text[a:b] stands in quotation marks of its line, or closely follows a word of reporting."""
-    before = text[max(0, a - CONTEXT_CHARS):a].rpartition("\n")[2]
-    after = text[b:b + CONTEXT_CHARS].partition("\n")[0]
-    if len(_QUOTES.findall(before)) % 2 and _QUOTES.search(after):
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Where quotations begin and end: each odd mark of a line with the next one of the line."""
+    begin, end, opened = [], [], -1
+    for m in _MARKS.finditer(text):
+        if m.group() == "\n":
+            opened = -1
+        elif opened < 0:
+            opened = m.start()
+        else:
+            begin.append(opened)
+            end.append(m.start())
+            opened = -1
+    return begin, end
+
+
+def quoted(text: str, a: int, b: int, spans: tuple[list[int], list[int]]) -> bool:
+    """Whether text[a:b] stands in one of the text's quotations, or closely follows a word of reporting."""
+    begin, end = spans
+    at = bisect_left(begin, a) - 1
+    if at >= 0 and end[at] >= b:
         return True
+    before = text[max(0, a - CONTEXT_CHARS):a].rpartition("\n")[2]
     return any(w in REPORTING for w in _WORDS.findall(before.lower())[-4:])
 
 
@@ -136,10 +153,11 @@ def counts(lexicon: Lexicon, text: str) -> np.ndarray:
     if kinds:
         # Lower-casing may move offsets in rare scripts; contexts are then read from the lower-cased text.
         where = text if len(text) == len(low) else low
+        spans = quotations(where)
         for m in _WORDS.finditer(low):
             k = kinds.get(m.group())
             if k:
-                out[2 * (k - 1) + quoted(where, *m.span())] += 1
+                out[2 * (k - 1) + quoted(where, *m.span(), spans)] += 1
     return out
 
 

@@ -506,6 +506,13 @@ def test_misspellings_and_quotes():
     assert toxicity.counts(lexicon, 'you idiot\nhe said "what an idiot" and idiott').tolist() == [1, 1, 0, 0, 1, 0]
 
 
+def test_quotes_reach_over_their_line():
+    lexicon, far = toxicity.Lexicon(["idiot"], []), "and so on " * 12
+    assert toxicity.counts(lexicon, f'they: "{far} idiot {far}" end').tolist() == [0, 1, 0, 0, 0, 0]
+    assert toxicity.counts(lexicon, f'"{far}" you idiot "{far}"').tolist() == [1, 0, 0, 0, 0, 0]
+    assert toxicity.counts(lexicon, f'"{far}\nyou idiot {far}"').tolist() == [1, 0, 0, 0, 0, 0]
+
+
 def test_every_query_runs(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
