@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stationcast.llm import (bpe_automaton, embedding_dedup, jaccard_join, language_id, packing, quality_classifier,
-                             quality_rules, secrets, substring_dedup, toxicity)
+from stationcast.llm import (bpe_automaton, conversations, embedding_dedup, jaccard_join, language_id, mixing, packing,
+                             periodic_runs, quality_classifier, quality_rules, secrets, substring_dedup, toxicity)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -37,5 +37,8 @@ QUERIES: dict[str, tuple[Run, str | None]] = {name: (_reachable(run), sql) for n
     "op8_secret_scan": (secrets.op8, None),
     "op9_substring_dedup": (substring_dedup.op9, substring_dedup.OP9_SQL),
     "op10_quality_classifier": (quality_classifier.op10, None),
+    "op11_mixing": (mixing.op11, mixing.OP11_SQL),
+    "op12_conversation_repair": (conversations.op12, None),
+    "op13_periodic_runs": (periodic_runs.op13, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }.items()}
