@@ -513,12 +513,23 @@ def test_quotes_reach_over_their_line():
     assert toxicity.counts(lexicon, f'"{far}\nyou idiot {far}"').tolist() == [1, 0, 0, 0, 0, 0]
 
 
+def test_secrets_without_a_network(spark, tmp_path):
+    """No findings of either kind: nothing to fit, base spans stay."""
+    docs = spark.createDataFrame([(1, "plain words only"), (2, None), (3, ""), (4, "password=abcdef1")], "doc_id long, text string")
+    assert secrets.train(docs) is None
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(docs, None).collect()}
+    assert spans == {1: [], 2: [], 3: [], 4: [(0, 16, "assign")]}
+    assert [r["text"] for r in secrets.redact(docs, None).orderBy("doc_id").collect()] == ["plain words only", None, "", "[SECRET]"]
+    docs.limit(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert secrets.op8(spark, str(tmp_path)).where("n_assign = 0 and spans = ''").count() == 3
+
+
 def test_every_query_runs(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name, (run, _) in queries.QUERIES.items():
         rows = run(spark, sf)
-        if name not in ("op2_embedding_dedup", "op4_packing", "pipeline"):
+        if name not in ("op2_embedding_dedup", "op4_packing", "op12_conversation_repair", "pipeline"):
             assert rows.count() == n, name
         else:
             assert rows.count() > 0, name
