@@ -1,7 +1,8 @@
 """The versioned reading table, its latest-row snapshot, the CSV cache, model runs and archives.
 
 Readings are stored per event date and sorted by station and time inside each file: a date range
-prunes folders, a station filter skips row groups, and a station with many rows is many files.
+prunes folders, a station filter skips row groups, and a station with many rows is many files. A manifest says which
+folders are the table (see ``manifest``): every write shows at once and whole, and disturbs no reader.
 """
 
 from __future__ import annotations
@@ -20,29 +21,20 @@ from stationcast import schema as S
 from stationcast.functions.cleaning import KEY_FORMAT, conform, with_key
 from stationcast.operators.dedup import append_dedup, dedup_readings, latest_row
 from stationcast.session import materialize, remove, scratch_path
+from stationcast.sources import manifest as M
+from stationcast.sources.manifest import EVENT_DATE, Batch
 
 log = logging.getLogger(__name__)
 
 GROUP = "aqi_features"
 VERSION = 6
 CHUNK_ROWS = 500
-EVENT_DATE = "event_date"
 
 
 def table_path(root: str, version: int = VERSION, group: str = GROUP) -> str:
     return f"{root}/{group}/v={version}"
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    schema = T.StructType([*S.READING.fields, T.StructField(EVENT_DATE, T.DateType())])
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
 def _laid_out(df: DataFrame) -> DataFrame:
     """Even files per date: small ones are merged, a date with very many rows is split."""
     return (df.hint("rebalance", EVENT_DATE).sortWithinPartitions(EVENT_DATE, S.STATION, S.TIME))
@@ -55,10 +47,18 @@ def _prepared(df: DataFrame) -> DataFrame:
 
 # --- sources -------------------------------------------------------------------------------
 
-def read_features(spark: SparkSession, root: str, version: int = VERSION, group: str = GROUP) -> DataFrame:
-    """The whole history of one table version."""
-    stored = spark.read.schema(S.READING).parquet(table_path(root, version, group))
-    return stored.select(S.READING.names)
+def read_features(spark: SparkSession, root: str, version: int = VERSION, group: str = GROUP,
+                  days: list[str] | None = None) -> DataFrame:
+    """The whole history of one table version as it is now, or the folders of some days of it.
+
+    What is written later does not show in the result, and does not disturb it.
+    """
+    path = table_path(root, version, group)
+    now = M.current(spark, path)
+    if now.number == 0:
+        # Spark's own error of a missing table.
+        return spark.read.schema(S.READING).parquet(f"{path}/data")
+    return M.read(spark, path, now, S.READING, days).select(S.READING.names)
 
 
 def read_features_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -133,14 +133,15 @@ def read_feature_list(spark: SparkSession, path: str) -> list[str] | None:
 # --- sinks ---------------------------------------------------------------------------------
 
 def upsert_features(df: DataFrame, root: str, version: int = VERSION, mode: str = "keep",
-                    group: str = GROUP, refresh: bool = False) -> None:
+                    group: str = GROUP, refresh: bool = False, batch: Batch | None = None) -> None:
     """Write by key (station, time to the second); the table is created if it is missing.
 
     ``keep`` appends only the keys the table lacks, so nothing stored is rewritten and running a batch
     again adds nothing. ``replace`` lets the new row win and rewrites the dates the batch touches.
-    Both read only those dates. ``refresh`` folds what was written, and nothing else, into the latest-row
-    snapshot. ``replace`` overwrites date folders, which plain Parquet does not do atomically. Rows without a key cannot be stored; ``without_key`` finds them. One
-    writer at a time.
+    Both read only those dates, and days that have come into many small commits are merged on the way. One new manifest
+    makes the write visible, so readers see all of it or nothing. ``batch``, a stream's identity and batch number, is
+    written with it: a batch that is there is not written again, in either mode. ``refresh`` folds what was written, and
+    nothing else, into the latest-row snapshot. Rows without a key cannot be stored; ``without_key`` finds them.
     """
     if mode not in ("keep", "replace"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -148,37 +149,45 @@ def upsert_features(df: DataFrame, root: str, version: int = VERSION, mode: str
     # Written out first: the batch is read twice and must be the same both times.
     scratch = scratch_path(spark, "upsert")
     try:
-        batch = materialize(_prepared(df), f"{scratch}/batch")
-        # One value per day of the batch: they prune the folders that are read.
-        dates = [r[0] for r in batch.select(EVENT_DATE).distinct().collect()]
-        if not dates:
-            return
-        stored = _stored(spark, path)
-        if stored is not None:
-            stored = stored.where(F.col(EVENT_DATE).isin(dates))
-        writer_mode, overwrite = "append", "static"
-        if mode == "keep" and stored is not None:
-            batch = batch.join(stored.select(*S.KEY), S.KEY, "left_anti")
-        if mode == "replace":
-            writer_mode, overwrite = "overwrite", "dynamic"
-            if stored is not None:
-                # The dates being overwritten are also being read.
-                batch = materialize(append_dedup(batch, stored), f"{scratch}/merged")
-        elif refresh:
-            # The rows that are new must not depend on the table they are about to join.
-            batch = materialize(batch, f"{scratch}/new")
-        (_laid_out(batch).write.mode(writer_mode).option("partitionOverwriteMode", overwrite)
-         .partitionBy(EVENT_DATE).parquet(path))
-        if refresh:
-            refresh_latest(batch, root)
+        rows, days = None, []
+
+        def change(now: M.Manifest) -> tuple[M.Manifest, str | None]:
+            nonlocal rows, days
+            if rows is None:
+                rows = materialize(_prepared(df), f"{scratch}/batch")
+                # One value per day of the batch: they prune the folders that are read.
+                days = [str(r[0]) for r in rows.select(EVENT_DATE).distinct().collect()]
+            if not days:
+                return now, None
+            stored = M.read(spark, path, now, S.READING, days)
+            if mode == "replace":
+                commit, written = M.write_commit(_laid_out(append_dedup(rows, stored)), path)
+                return now.replacing(commit, written, days), commit
+            new = rows.join(stored.select(*S.KEY), S.KEY, "left_anti")
+            merged = [d for d in M.compactable(now) if d in set(days)]
+            if merged:
+                # Keys are apart already, so the old rows of a crowded day just join the new ones.
+                new = new.unionByName(M.read(spark, path, now, S.READING, merged))
+            commit, written = M.write_commit(_laid_out(new), path)
+            apart = [d for d in written if d not in set(merged)]
+            return now.replacing(commit, [d for d in written if d in set(merged)], merged).adding(commit, apart), commit
+
+        commit = M.committed(spark, path, batch, change)
+        if refresh and commit is not None:
+            # From the commit itself: a batch whose snapshot was not written yet is folded in when it comes again.
+            refresh_latest(M.read_commit(spark, path, commit, S.READING), root)
     finally:
         remove(spark, scratch)
 
 
 def recreate_version(df: DataFrame, root: str, version: int, group: str = GROUP) -> None:
-    """Drop one version and write it anew; the others stay."""
-    (_laid_out(_prepared(df)).write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy(EVENT_DATE).parquet(table_path(root, version, group)))
+    """Write one version anew; readers of the old rows keep them, and the other versions stay."""
+    spark, path = df.sparkSession, table_path(root, version, group)
+
+    def change(now: M.Manifest) -> tuple[M.Manifest, str | None]:
+        commit, written = M.write_commit(_laid_out(_prepared(df)), path)
+        return now.replacing(commit, written, list(now.days)), commit
+    M.committed(spark, path, None, change)
 
 
 def refresh_latest(df: DataFrame, root: str, keep: int = 3) -> None:
@@ -234,7 +243,10 @@ def register_run(spark: SparkSession, root: str, name: str, metrics: dict[str, f
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         known = 0
+    # A version belongs to the writer that creates its claim: two writers never share one.
     version = known + 1
+    while not M.create_exclusive(spark, f"{root}/models/{name}/_claims/{version}"):
+        version += 1
     path = model_path(root, name, version)
     for horizon, model in zip(S.HORIZONS, models):
         model.write().save(f"{path}/horizon={horizon}")

@@ -1,15 +1,26 @@
-"""The hourly ingest as a stream: landed payloads -> readings -> keyed table."""
+"""The hourly ingest as a stream: landed payloads -> readings -> keyed table.
+
+Nothing that lands is lost. Air and weather hours that land within ``WAIT`` of each other meet in a stream join. An hour
+whose partner has not come by then leaves the join alone and goes to the quarantine table, where it meets its partner
+when that one leaves the join in turn, however late.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from stationcast import schema as S
 from stationcast.plans.ingest import feed_readings, merged_readings
+from stationcast.session import materialize, remove, scratch_path
+from stationcast.sources import manifest as M
 from stationcast.sources import payloads
-from stationcast.sources.tables import VERSION, upsert_features
+from stationcast.sources.manifest import EVENT_DATE, Batch
+from stationcast.sources.tables import VERSION, table_path, upsert_features
 
 DELAY = "2 hours"
 #: How long after one payload has landed its partner may land.
@@ -22,23 +33,138 @@ def stream_feed(spark: SparkSession, landing: str, now: Column | None = None) ->
     return feed_readings(payloads.accepted(envelopes), now)
 
 
-def stream_readings(spark: SparkSession, air: str, weather: str, wait: str = WAIT,
-                    fill: bool = True) -> DataFrame:
-    """Hourly air and weather payloads as they land, joined by station and time.
+def _landed_hours(spark: SparkSession, folder: str, arrays: dict[str, str], parse, landed: Column | None,
+                  files: int | None) -> DataFrame:
+    landing = spark.readStream.schema(S.hourly_schema(arrays))
+    landing = landing if files is None else landing.option("maxFilesPerTrigger", files)
+    # Reading time by default: it never goes back, so no file is late, and files that lie there together meet.
+    landed = F.current_timestamp() if landed is None else landed
+    return parse(landing.json(folder).withColumn("landed", landed), ("landed",))
+
 
-    The watermark follows the landing of files, not the hours inside them: a payload holds a whole day, and
-    stations land one after the other. A payload waits ``wait`` for its partner, whatever its hours are.
+def stream_pairs(spark: SparkSession, air: str, weather: str, wait: str = WAIT, landed: Column | None = None,
+                 files: int | None = None) -> DataFrame:
+    """Hours (city, time, air, weather) as they land; ``air`` and ``weather`` are structs with the measures and ``landed``.
+
+    An hour waits ``wait`` for its partner, whatever its own time is; then it comes out with the other side null. The
+    watermark follows the time at which payloads are read, or ``landed`` of the payload's file, such as its modification
+    time; a file whose time is more than ``wait`` behind the newest one would then be late. Neither side comes out
+    alone while the other's folder is silent: its watermark stands still. ``files`` bounds a micro-batch.
     """
-    landed = F.col("_metadata.file_modification_time")
-    left = payloads.air_rows(spark.readStream.schema(S.hourly_schema(S.AIR_ARRAYS)).json(air)
-                             .withColumn("air_landed", landed), ("air_landed",)).withWatermark("air_landed", wait)
-    right = payloads.weather_rows(spark.readStream.schema(S.hourly_schema(S.WEATHER_ARRAYS)).json(weather)
-                                  .withColumn("weather_landed", landed), ("weather_landed",)).withWatermark(
-        "weather_landed", wait)
-    right = right.withColumnsRenamed({S.STATION: "_station", "time": "_time"})
+    def side(folder: str, arrays: dict[str, str], parse, name: str) -> DataFrame:
+        rows = _landed_hours(spark, folder, arrays, parse, landed, files).withWatermark("landed", wait)
+        return rows.select(F.col(S.STATION).alias(f"{name}_city"), F.col("time").alias(f"{name}_time"),
+                           F.col("landed").alias(f"{name}_landed"), F.struct(*arrays.values(), "landed").alias(name))
+    left = side(air, S.AIR_ARRAYS, payloads.air_rows, "air")
+    right = side(weather, S.WEATHER_ARRAYS, payloads.weather_rows, "weather")
     near = F.expr(f"weather_landed between air_landed - interval {wait} and air_landed + interval {wait}")
-    joined = left.join(right, (F.col(S.STATION) == F.col("_station")) & (F.col("time") == F.col("_time")) & near)
-    return merged_readings(joined.drop("_station", "_time", "air_landed", "weather_landed"), fill)
+    joined = left.join(right, F.expr("air_city = weather_city and air_time = weather_time") & near, "full_outer")
+    return joined.select(F.coalesce("air_city", "weather_city").alias(S.STATION),
+                         F.coalesce("air_time", "weather_time").alias("time"), "air", "weather")
+
+
+def paired_readings(pairs: DataFrame, fill: bool = True) -> DataFrame:
+    """The hours with both sides, as readings."""
+    both = pairs.where("air is not null and weather is not null")
+    return merged_readings(both.select(S.STATION, "time", *(F.col(f"air.{c}") for c in S.AIR_ARRAYS.values()),
+                                       *(F.col(f"weather.{c}") for c in S.WEATHER_ARRAYS.values())), fill)
+
+
+def stream_readings(spark: SparkSession, air: str, weather: str, wait: str = WAIT, fill: bool = True) -> DataFrame:
+    """Readings of the hours that find their partner within ``wait``. :func:`stream_ingest` keeps the others too."""
+    return paired_readings(stream_pairs(spark, air, weather, wait), fill)
+
+
+def quarantine_path(root: str) -> str:
+    return f"{root}/quarantine"
+
+
+def _measures(arrays: dict[str, str]) -> T.StructType:
+    return T.StructType([*(T.StructField(c, T.DoubleType()) for c in arrays.values()), T.StructField("landed", T.TimestampType())])
+
+
+PAIR = T.StructType([T.StructField(S.STATION, T.StringType()), T.StructField("time", T.TimestampType()),
+                     T.StructField("air", _measures(S.AIR_ARRAYS)), T.StructField("weather", _measures(S.WEATHER_ARRAYS))])
+
+
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """Hours that still wait for their partner: (city, time, air, weather), one of the two sides null.
+
+    Hours without a station or a time have no partner and stay there.
+    """
+    path = quarantine_path(root)
+    return M.read(spark, path, M.current(spark, path), PAIR).select(PAIR.names)
+
+
+def _meeting(alone: DataFrame) -> DataFrame:
+    """Pairs of the two sides of one hour among hours that have one side each."""
+    air = alone.where("air is not null").select(S.STATION, "time", "air")
+    weather = alone.where("weather is not null").select(S.STATION, "time", "weather")
+    return air.join(weather, [S.STATION, "time"])
+
+
+def ingest_pairs(pairs: DataFrame, root: str, version: int = VERSION, mode: str = "keep", fill: bool = True,
+                 batch: Batch | None = None) -> None:
+    """Store what a batch of :func:`stream_pairs` brought: hours with both sides as readings, the others in quarantine.
+
+    Hours that come alone meet those in quarantine first, of their days only. The readings are committed before the
+    quarantine gives up its side, and each of the two commits holds the batch's number, so a batch that runs again
+    after any failure finishes what is missing and repeats nothing. A lone hour that lands again after its pair was
+    stored stays out of the quarantine: its reading is there.
+    """
+    spark, path = pairs.sparkSession, quarantine_path(root)
+    scratch = scratch_path(spark, "pairs")
+    try:
+        rows = materialize(pairs.select(PAIR.names), f"{scratch}/batch")
+        day = F.coalesce(F.to_date("time"), F.lit("1970-01-01").cast("date"))
+        alone = rows.where("air is null or weather is null").withColumn(EVENT_DATE, day)
+        days = [str(r[0]) for r in alone.select(EVENT_DATE).distinct().collect()]
+        state = {}
+
+        def waiting(now: M.Manifest) -> DataFrame:
+            held = M.read(spark, path, now, PAIR, days).select(*PAIR.names, EVENT_DATE)
+            return materialize(alone.unionByName(held), f"{scratch}/waiting-{now.number}")
+
+        now = M.current(spark, path)
+        met = rows.where("air is not null and weather is not null").select(PAIR.names)
+        if days and not now.holds(batch):
+            state[now.number] = waiting(now)
+            met = met.unionByName(_meeting(state[now.number]).select(PAIR.names))
+        upsert_features(paired_readings(met, fill), root, version, mode=mode, refresh=True, batch=batch)
+
+        def change(now: M.Manifest) -> tuple[M.Manifest, str | None]:
+            # The state the readings were made from, unless another writer has changed it since.
+            open_ = state.get(now.number)
+            open_ = waiting(now) if open_ is None else open_
+            stored = _stored_hours(spark, root, version, days)
+            left = open_.join(stored, [S.STATION, "time"], "left_anti")
+            commit, written = M.write_commit(left.select(*PAIR.names, EVENT_DATE).hint("rebalance", EVENT_DATE), path)
+            return now.replacing(commit, written, days), commit
+        if days:
+            M.committed(spark, path, batch, change)
+    finally:
+        remove(spark, scratch)
+
+
+def _stored_hours(spark: SparkSession, root: str, version: int, days: list[str]) -> DataFrame:
+    path = table_path(root, version)
+    stored = M.read(spark, path, M.current(spark, path), S.READING, days)
+    return stored.select(S.STATION, F.col(S.TIME).alias("time"))
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity a stream got with its checkpoint: a new checkpoint counts its batches from 0 under a new name."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def stream_ingest(pairs: DataFrame, root: str, checkpoint: str, version: int = VERSION, mode: str = "keep",
+                  available_now: bool = False, interval: str = "1 hour", partitions: int | None = None) -> StreamingQuery:
+    """Every batch of :func:`stream_pairs` into the reading table, the latest rows and the quarantine."""
+    spark = pairs.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        ingest_pairs(batch, root, version, mode, batch=(stream_id(spark, checkpoint), number))
+    return _start_batches(pairs, write, checkpoint, available_now, interval, partitions)
 
 
 def stream_dedup(readings: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -72,19 +198,26 @@ def _start(writer: DataStreamWriter, spark: SparkSession, partitions: int | None
         spark.conf.set(setting, before)
 
 
+def _start_batches(stream: DataFrame, write, checkpoint: str, available_now: bool, interval: str,
+                   partitions: int | None) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    return _start(writer.trigger(**trigger), stream.sparkSession, partitions)
+
+
 def stream_upsert(readings: DataFrame, root: str, checkpoint: str, version: int = VERSION,
                   available_now: bool = False, interval: str = "1 hour",
-                  partitions: int | None = None) -> StreamingQuery:
-    """Keyed append of every micro-batch, and a refresh of the latest rows.
+                  partitions: int | None = None, mode: str = "keep") -> StreamingQuery:
+    """Keyed write of every micro-batch, and a refresh of the latest rows.
 
-    A batch that runs again after a failure finds its keys present and adds nothing.
+    The table's manifest holds the last batch of the stream: one that runs again after a failure changes nothing, in
+    mode ``replace`` as in ``keep``.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        upsert_features(batch, root, version, refresh=True)
+    spark = readings.sparkSession
 
-    writer = readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return _start(writer.trigger(**trigger), readings.sparkSession, partitions)
+    def write(batch: DataFrame, number: int) -> None:
+        upsert_features(batch, root, version, mode, refresh=True, batch=(stream_id(spark, checkpoint), number))
+    return _start_batches(readings, write, checkpoint, available_now, interval, partitions)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> None:

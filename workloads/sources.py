@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +139,35 @@ def upsert_replace(t: Tables) -> DataFrame:
     return _twice(t, "replace")
 
 
+@query("upsert_batches", _upserted("replace"))
+def upsert_batches(t: Tables) -> DataFrame:
+    """Both batches of a stream come again after the second one: the table's ledger knows them."""
+    root = scratch_path(t.spark, "store")
+    readings = materialize(t.readings)
+    for number in (0, 1, 0, 1):
+        batch = readings if number == 0 else _changed(readings)
+        tables.upsert_features(batch, root, mode="replace", batch=("stream", number))
+    return tables.read_features(t.spark, root).select(CITY, TIME, "aqi")
+
+
+@query("open_readers", f"""WITH {Q.READINGS}, {_CHANGED}, replaced AS ({_upserted("replace")})
+  SELECT 'before the replace' AS reader, {Q.KEY}, {Q.r('aqi')} FROM readings
+  UNION ALL SELECT 'before the recreate', {Q.KEY}, aqi FROM replaced
+  UNION ALL SELECT 'after both', {Q.KEY}, {Q.r('aqi')} FROM changed""")
+def open_readers(t: Tables) -> DataFrame:
+    """Readers opened before a table is rewritten keep the rows they were opened on."""
+    root = scratch_path(t.spark, "store")
+    readings = materialize(t.readings)
+    tables.upsert_features(readings, root)
+    opened = {"before the replace": tables.read_features(t.spark, root)}
+    tables.upsert_features(_changed(readings), root, mode="replace")
+    opened["before the recreate"] = tables.read_features(t.spark, root)
+    tables.recreate_version(_changed(readings), root, tables.VERSION)
+    opened["after both"] = tables.read_features(t.spark, root)
+    rows = [df.select(F.lit(name).alias("reader"), CITY, TIME, "aqi") for name, df in opened.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("recreate_version", f"""WITH {Q.READINGS}, {_CHANGED} SELECT 4::BIGINT AS version, {Q.KEY}, {Q.r('aqi')} FROM changed
   UNION ALL SELECT 6, {Q.KEY}, {Q.r('aqi')} FROM readings""")
 def recreate_version(t: Tables) -> DataFrame:

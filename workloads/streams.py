@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationcast import schema as S
-from stationcast.session import scratch_path
+from stationcast.session import materialize, scratch_path
 from stationcast.sources import tables
 from stationcast.streaming import ingest
 from workloads import sql as Q
@@ -72,3 +72,49 @@ def stream_upsert(t: Tables) -> DataFrame:
                                  available_now=True, partitions=_cores(t))
     query.awaitTermination()
     return tables.read_features(t.spark, root)
+
+
+def _landed_on(t: Tables, lines: DataFrame, folder: str, day: int) -> None:
+    """Append payload files to a folder as if they had landed ``day`` days after the first of June 2024."""
+    known = {f.getName() for f in _files(t, folder)}
+    lines.coalesce(4).write.mode("append").text(folder)
+    stamp = (1717200000 + day * 86400) * 1000
+    for f in _files(t, folder):
+        if f.getName() not in known:
+            f.getFileSystem(t.spark._jsc.hadoopConfiguration()).setTimes(f, stamp, stamp)
+
+
+def _files(t: Tables, folder: str) -> list:
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    return [s.getPath() for s in files.listStatus(path)] if files.exists(path) else []
+
+
+#: What lands on which day, by the day of the month modulo 5. The weather of the days 4 never does.
+_WAVES = [(0, (0, 3, 4), (0, 1)), (10, (1,), (3,)), (20, (2,), (2,))]
+
+
+@query("stream_late_pairs", f"""WITH {Q.RAW}, days AS (SELECT *, day(ingestion_timestamp) % 5 AS d FROM raw)
+  SELECT {Q.KEY}, 'reading' AS state, round(coalesce(aqi, 0.0) + 1e-9, 4) AS aqi,
+    round(coalesce(temperature, 0.0) + 1e-9, 4) AS temperature FROM days WHERE d <> 4
+  UNION ALL SELECT {Q.KEY}, 'waits for weather', round(aqi + 1e-9, 4), NULL FROM days WHERE d = 4""")
+def stream_late_pairs(t: Tables) -> DataFrame:
+    """Air and weather that land ten days apart are paired through the quarantine; what never gets its partner stays
+    there, so readings and quarantine together hold every hour that landed."""
+    base = scratch_path(t.spark, "late")
+    day = F.to_date(F.substring(F.get_json_object("value", "$.hourly.time[0]"), 1, 10))
+    sides = {name: materialize(t.payloads(arrays).withColumn("d", F.dayofmonth(day) % 5))
+             for name, arrays in (("air", S.AIR_ARRAYS), ("weather", S.WEATHER_ARRAYS))}
+    for landing, air, weather in _WAVES:
+        for name, wanted in (("air", air), ("weather", weather)):
+            _landed_on(t, sides[name].where(F.col("d").isin(*wanted)).select("value"), f"{base}/{name}", landing)
+        pairs = ingest.stream_pairs(t.spark, f"{base}/air", f"{base}/weather",
+                                    landed=F.col("_metadata.file_modification_time"))
+        ingest.stream_ingest(pairs, f"{base}/store", f"{base}/checkpoint", available_now=True,
+                             partitions=_cores(t)).awaitTermination()
+    readings = tables.read_features(t.spark, f"{base}/store")
+    waiting = ingest.read_quarantine(t.spark, f"{base}/store")
+    state = F.when(F.col("weather").isNull(), "waits for weather").otherwise("waits for air")
+    return readings.select(CITY, TIME, F.lit("reading").alias("state"), "aqi", "temperature").unionByName(
+        waiting.select(CITY, F.col("time").alias(TIME), state.alias("state"), F.col("air.aqi").alias("aqi"),
+                       F.col("weather.temperature").alias("temperature")))
