@@ -54,7 +54,8 @@ Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class Settings:
-    """``joint``: every tree has all targets and is one of a forest; else one tree per target and round."""
+    """``joint``: every tree has all targets and is one of a forest, grown on a bootstrap sample unless ``bootstrap`` is
+    off; else one tree per target and round."""
 
     rounds: int
     depth: int
@@ -64,6 +65,7 @@ class Settings:
     column_share: float = 1.0
     min_weight: float = 1.0
     joint: bool = False
+    bootstrap: bool = True
     bins: int = 64
     seed: int = 42
 
@@ -113,7 +115,7 @@ _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.append(1.0, np.arange(1.0, 12.
 
 def row_weights(keys: np.ndarray, number: int, settings: Settings) -> np.ndarray:
     """Copies of each row in a tree's sample: Poisson(1) in a forest, else 0 or 1."""
-    if settings.joint:
+    if settings.joint and settings.bootstrap:
         return np.searchsorted(_POISSON, _mixed(keys, settings.seed * 1_000_003 + number)).astype(np.float64)
     if settings.row_share >= 1:
         return np.ones(len(keys))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from stationcast.operators import evaluate, stats
 from stationcast.operators.dedup import latest_row
 from stationcast.plans import forecast as forecasting
 from stationcast.plans import training
+from stationcast.plans.trees import Learner, Settings
 from stationcast.session import materialize, scratch_path
 from stationcast.sources import tables
 from workloads import sql as Q
@@ -280,3 +282,130 @@ def train_register_forecast(t: Tables) -> DataFrame:
     made = forecasting.forecast(readings, models, names, F.lit(_RUN_DATE).cast("date"))
     tables.archive_predictions(made, f"{root}/archive")
     return t.spark.read.parquet(f"{root}/archive").withColumn("run_date", F.col("run_date").cast("string"))
+
+
+# --- fits whose rows are known -------------------------------------------------------------
+# One tree of one cut has a closed form: the cut of largest gain among all values of all features.
+
+_STUMP_TARGETS = ["l_extendedprice", "l_extendedprice * (1 - l_discount)", "l_quantity * l_tax * 100"]
+_STUMP_FEATURES = ["l_quantity", "round(l_discount * 100)", "round(l_tax * 100)"]
+_HALVES = [f"s{h}" for h in S.HORIZONS]
+_CUTS = "WITH rows AS (SELECT " + ", ".join(
+    [f"CAST({f} AS DOUBLE) AS f{i}" for i, f in enumerate(_STUMP_FEATURES)]
+    + [f"CAST({y} AS DOUBLE) AS y{h}" for h, y in zip(S.HORIZONS, _STUMP_TARGETS)]) + """ FROM lineitem),
+  base AS (SELECT avg(y1) AS b1, avg(y2) AS b2, avg(y3) AS b3 FROM rows), sums AS (""" + " UNION ALL ".join(
+    f"SELECT {i}::BIGINT AS feature, f{i} AS cut, count(*) AS n, sum(y1 - b1) AS s1, sum(y2 - b2) AS s2, sum(y3 - b3) AS s3 "
+    f"FROM rows, base GROUP BY f{i}" for i in range(len(_STUMP_FEATURES))) + """),
+  cuts AS (SELECT feature, cut, sum(n) OVER w AS n, """ + ", ".join(f"sum({s}) OVER w AS {s}" for s in _HALVES) + """,
+    sum(n) OVER v AS all_n, """ + ", ".join(f"sum({s}) OVER v AS all_{s}" for s in _HALVES) + """ FROM sums
+    WINDOW w AS (PARTITION BY feature ORDER BY cut), v AS (PARTITION BY feature)),
+  sides AS (SELECT * FROM cuts WHERE n < all_n)"""
+
+
+def _stump_gain(sums: list[str], penalty: float) -> str:
+    return " + ".join(f"pow({s}, 2) / (n + {penalty}) + pow(all_{s} - {s}, 2) / (all_n - n + {penalty}) "
+                      f"- pow(all_{s}, 2) / (all_n + {penalty})" for s in sums)
+
+
+def _stump_sql(rate: float, penalty: float, joint: bool) -> str:
+    def best(h: int) -> str:
+        sums = _HALVES if joint else [f"s{h}"]
+        return (f"SELECT {h}::BIGINT AS horizon, feature, cut, b{h} + {rate} * s{h} / (n + {penalty}) AS low, "
+                f"b{h} + {rate} * (all_s{h} - s{h}) / (all_n - n + {penalty}) AS high FROM base, "
+                f"(SELECT * FROM sides ORDER BY {_stump_gain(sums, penalty)} DESC LIMIT 1)")
+    return f"{_CUTS}, best AS ({' UNION ALL '.join(f'({best(h)})' for h in S.HORIZONS)})"
+
+
+def _stumps(t: Tables, settings: Settings) -> list[Model]:
+    rows = t.table("lineitem").select(
+        "l_orderkey", "l_linenumber", *[F.expr(f"cast({f} as double)").alias(f"f{i}") for i, f in enumerate(_STUMP_FEATURES)],
+        *[F.expr(f"cast({y} as double)").alias(target) for y, target in zip(_STUMP_TARGETS, S.TARGETS)])
+    ready = materialize(training.assemble(rows, ["f0", "f1", "f2"]))
+    return Learner(settings).fit(ready, S.TARGETS, S.PREDICTIONS, ["l_orderkey", "l_linenumber"])
+
+
+def _stump_rows(t: Tables, settings: Settings) -> DataFrame:
+    """The cut of each horizon's tree, and what the model says on either side of it."""
+    rows = []
+    for h, model in zip(S.HORIZONS, _stumps(t, settings)):
+        c = model.content
+        (tree,) = c["trees"]
+        rows.append((h, tree["feature"][1], tree["cut"][1], *(c["base"] + c["rate"] * v for v in tree["value"][2:4])))
+    return t.spark.createDataFrame(rows, "horizon bigint, feature bigint, cut double, low double, high double")
+
+
+_STUMP_OUT = "SELECT horizon, feature, round(cut + 1e-9, 4) AS cut, round(low + 1e-9, 4) AS low, round(high + 1e-9, 4) AS high FROM best"
+
+
+@query("second_order_stump", f"{_stump_sql(0.05, 1.0, False)} {_STUMP_OUT}")
+def second_order_stump(t: Tables) -> DataFrame:
+    return _stump_rows(t, Settings(1, 1, 0.05, penalty=1.0))
+
+
+@query("gradient_stump", f"{_stump_sql(0.05, 0.0, False)} {_STUMP_OUT}")
+def gradient_stump(t: Tables) -> DataFrame:
+    return _stump_rows(t, Settings(1, 1, 0.05))
+
+
+@query("joint_stump", f"{_stump_sql(1.0, 0.0, True)} {_STUMP_OUT}")
+def joint_stump(t: Tables) -> DataFrame:
+    """One tree of a joint forest on all rows: one cut serves the three horizons."""
+    return _stump_rows(t, Settings(1, 1, joint=True, bootstrap=False))
+
+
+@query("stump_importance", f"""{_stump_sql(0.05, 1.0, False)} SELECT 'f' || k AS feature, k + 1 AS position,
+  round(count(best.feature) / 3.0 + 1e-9, 4) AS importance, 'f' || k AS label FROM range(3) AS r(k)
+  LEFT JOIN best ON best.feature = k GROUP BY k""")
+def stump_importance(t: Tables) -> DataFrame:
+    """A tree of one cut gives all importance to its feature."""
+    return training.mean_importance(t.spark, _stumps(t, Settings(1, 1, 0.05, penalty=1.0)), ["f0", "f1", "f2"])
+
+
+# An index that never changes: every model must say so, whatever its rounds.
+_CONSTANT = 70.0
+
+
+def _constant(t: Tables) -> DataFrame:
+    return materialize(t.readings.withColumn("aqi", F.lit(_CONSTANT)))
+
+
+@query("compare_constant", """SELECT * FROM (VALUES ('XGBoost', 1::BIGINT), ('RandomForest', 2), ('GradientBoosting', 3),
+  ('LinearRegression', 4)) AS v(model, position), (SELECT 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 0.0::DOUBLE AS prediction_std)""")
+def compare_constant(t: Tables) -> DataFrame:
+    frame = training.training_frame(_constant(t), targets="fixed")
+    ranked = evaluate.rank_models(training.compare_models(frame, training.candidate_models(20, 20, 20)).metrics)
+    return ranked.select("model", "position", *[F.abs(c).alias(c) for c in ("mae", "rmse", "prediction_std")])
+
+
+@query("forecast_constant", _labelled_sql(f"CAST({int(_CONSTANT)} AS BIGINT)"))
+def forecast_constant(t: Tables) -> DataFrame:
+    """Trained, registered, loaded, forecast, archived twice and read back."""
+    root = scratch_path(t.spark, "registry")
+    readings = _constant(t)
+    training.train_and_register(readings, root, "predictor", targets="fixed", candidates={
+        "GradientBoosting": training.candidate_models(boosting_rounds=20)["GradientBoosting"]})
+    models, names = forecasting.load_serving_models(t.spark, root, "predictor")
+    made = forecasting.forecast(readings, models, names, F.lit(_RUN_DATE).cast("date"))
+    for _ in range(2):
+        tables.archive_predictions(made, f"{root}/archive")
+    return t.spark.read.parquet(f"{root}/archive").withColumn("run_date", F.col("run_date").cast("string"))
+
+
+@query("registered_runs", f"""WITH {Q.COMPLETE}, n AS (SELECT count(DISTINCT city) AS cities FROM complete)
+  SELECT 'predictor-' || k AS name, v AS version, position, feature FROM n, range(cities) AS c(k), range(1, 3) AS r(v),
+  (VALUES {', '.join(f"({i + 1}::BIGINT, '{name}')" for i, name in enumerate(Q.FEATURE_NAMES))}) AS f(position, feature)""")
+def registered_runs(t: Tables) -> DataFrame:
+    """One model name per station, each registered twice: versions count up per name, and each has its feature list."""
+    root = scratch_path(t.spark, "registry")
+    complete = training.training_frame(t.readings, targets="fixed")
+    cities = complete.select(CITY).distinct().count()
+    for k in range(cities):
+        for _ in range(2):
+            version = tables.register_run(t.spark, root, f"predictor-{k}", {"mae": 1.0}, "multi-output", [])
+            tables.write_feature_list(t.spark, training.feature_columns(complete),
+                                      tables.feature_list_path(root, f"predictor-{k}", version))
+    lists = [t.spark.createDataFrame([(r["name"], r["version"], tables.read_feature_list(
+        t.spark, tables.feature_list_path(root, r["name"], r["version"])))], "name string, version bigint, names array<string>")
+        for r in tables.read_runs(t.spark, root).collect()]
+    return reduce(DataFrame.unionByName, lists).select(
+        "name", "version", F.posexplode("names").alias("position", "feature")).withColumn("position", F.col("position") + 1)
