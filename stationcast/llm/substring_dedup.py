@@ -39,6 +39,8 @@ _SPAN = WINDOW - GRAM + 1
 #: The sum over an edge's places p is that of R^p modulo the prime P.
 P = (1 << 31) - 1
 R = 48271
+#: Documents that lose words are broadcast by id up to this number (8 bytes each), else tested by a filter of 16 MB.
+MOST_BROADCAST = 1_000_000
 #: Batches of emitted rows.
 _ROWS = 200_000
 
@@ -99,14 +101,46 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor long")
 
 
-def _windows(docs: DataFrame, anchors: KeyFilter, heads: KeyFilter | None = None) -> DataFrame:
-    """Rows (h, doc_id, pos) of windows whose anchor may be repeated; with ``heads`` only hashes that it may contain,
-    and each with a second hash c of the window and the document's key."""
+#: Steps of the low table of powers; the high one has one entry per so many places.
+_LOW = 1 << 15
+
+
+def _power_steps(step: int, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.int64)
+    for i in range(1, n):
+        out[i] = out[i - 1] * step % P
+    return out
+
+
+class _Powers:
+    """R^(place) modulo P, from place = doc part * base + pos: two small tables in place of one as long as a text."""
+
+    def __init__(self, base: int):
+        self.base = base
+        self.low = _power_steps(R, _LOW)
+        self.high = np.ones(1, dtype=np.int64)
+
+    def __call__(self, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        if len(pos) == 0:
+            return np.zeros(0, dtype=np.int64)
+        high = int(pos.max()) // _LOW
+        if high >= len(self.high):
+            self.high = _power_steps(pow(R, _LOW, P), high + 1)
+        starts = X.group_starts(ids)
+        of_doc = np.array([pow(R, (int(i) * self.base) % (P - 1), P) for i in ids[starts]], dtype=np.int64)
+        of_doc = np.repeat(of_doc, np.diff(np.append(starts, len(ids))))
+        return of_doc * (self.low[pos % _LOW] * self.high[pos // _LOW] % P) % P
+
+
+def _windows(docs: DataFrame, anchors: KeyFilter, base: int | None = None, heads: KeyFilter | None = None) -> DataFrame:
+    """Rows (h, doc_id, pos) of windows whose anchor may be repeated; with ``base`` also ``g``, the power of their place;
+    with ``heads`` only hashes that it may contain, and each with a second hash c of the window and the document's key."""
     shared = docs.sparkSession.sparkContext.broadcast((anchors, heads))
-    names = ["h", "doc_id", "pos", *(("c", "key") if heads is not None else ())]
+    names = ["h", "doc_id", "pos", *(("g",) if base is not None else ()), *(("c", "key") if heads is not None else ())]
 
     def run(batches):
         wanted, starting = shared.value
+        powers = None if base is None else _Powers(base)
         for batch in batches:
             ids, known, texts = _columns(batch)
             keys = np.asarray(batch.column("key").fill_null(0))
@@ -122,7 +156,10 @@ def _windows(docs: DataFrame, anchors: KeyFilter, heads: KeyFilter | None = None
                 if starting is not None:
                     ok &= starting(X.signed(windows))
                 at, d = at[ok], doc[at[ok]]
-                found = [X.signed(windows[ok]), ids[lo + d], (at - w.first[d]).astype(np.int32)]
+                pos = at - w.first[d]
+                found = [X.signed(windows[ok]), ids[lo + d], pos.astype(np.int32)]
+                if powers is not None:
+                    found.append(powers(ids[lo + d], pos))
                 if starting is not None and len(at):
                     found += [X.signed(X.ngrams(w.hashes(1), w.first, WINDOW, 1)[0][ok]), keys[lo + d]]
                 for a in range(0, len(at), _ROWS):
@@ -130,21 +167,6 @@ def _windows(docs: DataFrame, anchors: KeyFilter, heads: KeyFilter | None = None
     return docs.mapInArrow(run, ", ".join(f"{c} {'int' if c == 'pos' else 'long'}" for c in names))
 
 
-def _powers(windows: DataFrame, base: int) -> DataFrame:
-    """Adds ``g`` = R^(place) modulo P, from place = doc part * base + pos."""
-    def run(batches):
-        steps = np.ones(base, dtype=np.int64)
-        for i in range(1, base):
-            steps[i] = steps[i - 1] * R % P
-        for batch in batches:
-            ids, pos = np.asarray(batch.column("doc_id")), np.asarray(batch.column("pos"))
-            starts = X.group_starts(ids)
-            of_doc = np.array([pow(R, (int(i) * base) % (P - 1), P) for i in ids[starts]], dtype=np.int64)
-            g = np.repeat(of_doc, np.diff(np.append(starts, len(ids)))) * steps[pos] % P
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g)], names=[*batch.schema.names, "g"])
-    return windows.mapInArrow(run, T.StructType([*windows.schema, T.StructField("g", T.LongType())]))
-
-
 def _follows(way: str) -> str:
     """Whether the edge of the neighbouring place has its occurrences one word before (lag) or after (lead)."""
     def near(c: str) -> str:
@@ -168,7 +190,7 @@ def repeated_paths(docs: DataFrame) -> tuple[DataFrame, KeyFilter, tuple]:
 
     def place(doc_id, pos):
         return ((doc_id.cast(kind) - F.lit(lo).cast(kind)) * F.lit(base).cast(kind) + pos.cast(kind)).cast(kind)
-    edges = (_powers(_windows(docs, anchors), base)
+    edges = (_windows(docs, anchors, base)
              .select("h", place(F.col("doc_id"), F.col("pos")).alias("place"), "g")
              .groupBy("h").agg(F.count("*").alias("copies"), F.min("place").alias("first"), F.sum("g").alias("g"))
              .where("copies > 1").withColumn("g", F.col("g") % P)
@@ -187,7 +209,7 @@ def repeated_paths(docs: DataFrame) -> tuple[DataFrame, KeyFilter, tuple]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans): per document the word spans [start, end) to remove. ``docs`` as from :func:`prepared`."""
     heads, anchors, (place, _) = repeated_paths(docs)
-    at = materialize(_windows(docs, anchors, key_filter(heads.select("h"), heads.count()))
+    at = materialize(_windows(docs, anchors, heads=key_filter(heads.select("h"), heads.count()))
                      .withColumn("place", place(F.col("doc_id"), F.col("pos"))).join(heads, "h"))
     # The second hash of the first place decides whether another place has the same words.
     source = at.where("place = first").groupBy("h").agg(F.min("c").alias("c0"))
@@ -211,15 +233,21 @@ def prepared(docs: DataFrame) -> DataFrame:
                                   ).alias("active"))
 
 
-def _cut(batches):
+def _cut(batches, touch: bool):
     for batch in batches:
         names = batch.schema.names
-        texts = X.as_texts(batch.column("text"))
+        column = batch.column("text")
+        texts = X.as_texts(column)
         spans = batch.column("_dedup_spans").to_pylist()
         kept, n_words, n_removed = [], [], []
         for i, found in enumerate(spans):
             words = texts[i].as_buffer().to_pybytes().split()
             n = len(words)
+            if not found and not touch:
+                kept.append(column[i].as_py())
+                n_words.append(n)
+                n_removed.append(0)
+                continue
             if found:
                 keep = np.ones(n, dtype=bool)
                 for s in found:
@@ -235,14 +263,22 @@ def _cut(batches):
             names=[*others, "text", "n_words", "n_removed"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The rows with ``text`` cut down to the kept words, joined by one space, and n_words and n_removed."""
+def remove_repeats(docs: DataFrame, touch: bool = True) -> DataFrame:
+    """The rows with ``text`` cut down to the kept words, joined by one space, and n_words and n_removed.
+
+    Without ``touch`` a text that loses no word stays as it is, white space and null included.
+    """
     spark = docs.sparkSession
     spans = repeated_spans(prepared(docs))
-    keys = spans.select("doc_id").distinct()
-    hit = may_contain(spark, key_filter(keys, keys.count()), "_dedup_id")
+    keys = spans.select(F.col("doc_id").alias("_dedup_id")).distinct()
     docs = docs.drop("n_words", "n_removed").withColumn("_dedup_id", F.col("doc_id").cast("long"))
-    marked = docs.withColumn("_dedup_hit", hit)
+    count = keys.count()
+    if count <= MOST_BROADCAST:
+        # A join in the JVM: no second Python worker beside the one that cuts.
+        marked = docs.join(F.broadcast(keys.withColumn("_dedup_in", F.lit(True))), "_dedup_id", "left")
+        marked = marked.withColumn("_dedup_hit", F.col("_dedup_in").isNotNull()).drop("_dedup_in")
+    else:
+        marked = docs.withColumn("_dedup_hit", may_contain(spark, key_filter(keys, count), "_dedup_id"))
     # Only documents that may lose words travel to their spans.
     spans = spans.select(F.col("doc_id").alias("_dedup_id"), F.col("key").alias("_dedup_key"),
                          F.col("spans").alias("_dedup_spans"))
@@ -254,7 +290,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     fields = [f for f in both.schema if f.name not in ("text", "_dedup_spans")]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType())])
-    return both.mapInArrow(_cut, schema)
+    return both.mapInArrow(lambda batches: _cut(batches, touch), schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
