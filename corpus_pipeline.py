@@ -38,9 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose passages that occur earlier; texts that lose nothing stay as they are."""
-    cut = substring_dedup.remove_repeats(docs.withColumn("_whole", F.col("text")))
-    return _with_length(cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("_whole"))),
-                        docs.columns)
+    return _with_length(substring_dedup.remove_repeats(docs, touch=False), docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
