@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationcast import schema as S
@@ -20,39 +24,84 @@ def hour_means(df: DataFrame) -> DataFrame:
     return df.groupBy("hour").agg(F.avg("aqi").alias("aqi_mean"), F.count("aqi").alias("n"))
 
 
-def _mixed(value: Column) -> Column:
-    return (value * value) % F.lit(_PRIME)
+#: Up to so many equal values are drawn one by one, more of them at once.
+SINGLY = 8
+#: Mean from which a count is drawn from the normal curve: its steps are then below a thousandth of its spread.
+_LARGE = 1 << 20
+#: Values whose replicates are drawn at a time.
+_TOGETHER = 256
+
+
+def _uniform(seed: np.ndarray, replicate: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) that depend only on seed and replicate; products stay below 2^62."""
+    mixed = (seed + replicate * 7368787) % _PRIME
+    mixed = mixed * mixed % _PRIME + replicate + 104729
+    mixed = mixed % _PRIME
+    return (mixed * mixed % _PRIME * 48271 % _PRIME) / float(_PRIME)
 
 
-def _weight(seed: Column, replicate: Column) -> Column:
-    """A Poisson(1) weight that depends only on the row's seed and the replicate number."""
-    start = (seed + replicate * F.lit(7368787)) % F.lit(_PRIME)
-    mixed = _mixed(_mixed(start) + replicate + F.lit(104729))
-    u = (mixed * F.lit(48271) % F.lit(_PRIME)) / F.lit(float(_PRIME))
-    weight = F.lit(len(_POISSON_CDF))
-    for k in reversed(range(len(_POISSON_CDF))):
-        weight = F.when(u < F.lit(_POISSON_CDF[k]), F.lit(k)).otherwise(weight)
-    return weight
+def weights(seed: np.ndarray, count: np.ndarray, replicates: int) -> np.ndarray:
+    """How often each of some values is drawn in each replicate, together: Poisson with the value's count as mean.
+
+    That is the sum of the Poisson(1) weights of its rows, drawn singly for few rows and by inversion for many.
+    """
+    r = np.arange(1, replicates + 1, dtype=np.int64)[None, :]
+    out = np.zeros((len(seed), replicates))
+    for j in range(SINGLY):
+        few = np.flatnonzero((count > j) & (count <= SINGLY))
+        if len(few):
+            out[few] += np.searchsorted(_POISSON_CDF, _uniform(seed[few, None] + j * 7919, r), side="right")
+    for i in np.flatnonzero(count > SINGLY):
+        u, mean = _uniform(seed[i:i + 1, None], r)[0], float(count[i])
+        if mean >= _LARGE:
+            z = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * _uniform(seed[i:i + 1, None] + 7919, r)[0])
+            out[i] = np.rint(mean + np.sqrt(mean) * z + (z * z - 1) / 6)
+            continue
+        low = max(0, int(mean - 10 * np.sqrt(mean)))
+        k = np.arange(low + 1, int(mean + 10 * np.sqrt(mean)) + 20)
+        # Chances relative to the first, added up and scaled: what lies outside is below the uniform's resolution.
+        chance = np.exp(np.append(0.0, np.cumsum(np.log(mean) - np.log(k))))
+        out[i] = low + np.searchsorted(np.cumsum(chance) / chance.sum(), u, side="right")
+    return out
+
+
+def _resampled(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
+    """One partition's sums of weights and of weighted values per hour and replicate."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        hour, value, count, seed = (np.asarray(batch.column(c)) for c in ("hour", "aqi", "n", "seed"))
+        for lo in range(0, len(hour), _TOGETHER):
+            part = slice(lo, lo + _TOGETHER)
+            w = weights(seed[part], count[part], replicates)
+            for h in np.unique(hour[part]):
+                mine = hour[part] == h
+                total = sums.setdefault(int(h), np.zeros((2, replicates)))
+                total[0] += w[mine].sum(axis=0)
+                total[1] += value[part][mine] @ w[mine]
+    for h, (w, wx) in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(replicates, h)), pa.array(np.arange(1, replicates + 1)), pa.array(w), pa.array(wx)],
+            names=["hour", "replicate", "w", "wx"])
 
 
 def diurnal_profile(df: DataFrame, replicates: int = 1000, level: float = 95.0) -> DataFrame:
     """Mean index by hour of day with a bootstrap interval.
 
-    Every row gets a Poisson(1) weight per replicate, computed from its key, so the resampling is one
-    distributed aggregation and gives the same interval for any partitioning. Each task combines its
-    rows to at most 24 x replicates sums before the shuffle.
+    Equal values of an hour are counted first, so the work follows the distinct values, not the rows. Each value is
+    drawn Poisson(count) times per replicate, from the smallest of its rows' key hashes, which gives the same interval
+    for any partitioning. Each task adds up its values to at most 24 x replicates sums before the shuffle.
     """
     key = F.concat_ws("|", F.col(S.STATION), F.date_format(S.TIME, "yyyy-MM-dd HH:mm:ss"))
     seed = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.lit(_PRIME)
-    drawn = (df.where(F.col("aqi").isNotNull())
-             .select(*S.KEY, "hour", "aqi", seed.alias("_seed"))
-             # Little data means much arithmetic here, so the partitions must not be merged by their bytes.
-             .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *S.KEY)
-             .select("*", F.explode(F.expr(f"sequence(1L, {int(replicates)}L)")).alias("_replicate"))
-             .withColumn("_w", _weight(F.col("_seed"), F.col("_replicate")))
-             .where(F.col("_w") > 0))
-    means = (drawn.groupBy("hour", "_replicate")
-             .agg((F.sum(F.col("_w") * F.col("aqi")) / F.sum("_w")).alias("_mean")))
+    counted = (df.where(F.col("aqi").isNotNull() & F.col("hour").isNotNull())
+               .select(F.col("hour").cast("long").alias("hour"), F.col("aqi").cast("double").alias("aqi"), seed.alias("seed"))
+               .groupBy("hour", "aqi").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed"))
+               # Little data means much arithmetic here, so the partitions must not be merged by their bytes.
+               .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hour", "aqi"))
+    means = (counted.mapInArrow(lambda batches: _resampled(batches, replicates),
+                                "hour bigint, replicate bigint, w double, wx double")
+             .groupBy("hour", "replicate").agg((F.try_divide(F.sum("wx"), F.sum("w"))).alias("_mean"), F.sum("w").alias("_w"))
+             .where("_w > 0"))
     tail = (100.0 - level) / 200.0
     # percentile sees at most `replicates` values per hour.
     interval = (means.groupBy("hour").agg(F.percentile("_mean", [tail, 1.0 - tail]).alias("_ci"))

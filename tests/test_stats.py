@@ -126,12 +126,28 @@ def test_bootstrap_interval_has_the_right_width(spark):
     assert ratio.mean() == pytest.approx(1.0, abs=0.08) and ratio.between(0.75, 1.25).all()
 
 
-def test_bootstrap_weights_are_poisson(spark):
-    seeds = spark.range(2000).select((F.abs(F.hash("id")) % profiles._PRIME).cast("bigint").alias("seed"))
-    w = seeds.select("seed", F.explode(F.expr("sequence(1L, 50L)")).alias("r")).select(
-        "r", profiles._weight(F.col("seed"), F.col("r")).alias("w"))
-    row = w.agg(F.avg("w"), F.var_samp("w")).first()
-    assert row[0] == pytest.approx(1.0, abs=0.02) and row[1] == pytest.approx(1.0, abs=0.03)
+@pytest.mark.parametrize("count", [1, 2, 8, 9, 40, 3000, 1 << 17, 1 << 21])
+def test_bootstrap_weights_are_poisson(count):
+    seeds = np.random.default_rng(count).integers(0, profiles._PRIME, 200)
+    w = profiles.weights(seeds, np.full(200, count), 100)
+    assert w.mean() == pytest.approx(count, abs=4 * (count / w.size) ** 0.5)
+    assert w.var() == pytest.approx(count, rel=0.06) and w.min() >= 0 and (w == np.rint(w)).all()
+
+
+def test_bootstrap_of_equal_values_follows_their_count(spark):
+    """Many rows of few values: the interval is as wide as for rows drawn one by one."""
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"city": [f"c{i % 50}" for i in range(20_000)],
+                          "ingestion_timestamp": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(20_000) // 50, unit="h")})
+    frame["hour"] = frame["ingestion_timestamp"].dt.hour
+    frame["aqi"] = rng.integers(50, 60, 20_000).astype(float)
+    df = to_spark(spark, frame, "city string, ingestion_timestamp timestamp, hour long, aqi double")
+    got = profiles.diurnal_profile(df).orderBy("hour").toPandas()
+    by_hour = frame.groupby("hour")["aqi"]
+    half = 1.96 * by_hour.std() / np.sqrt(by_hour.count())
+    assert ((got["ci_high"] - got["ci_low"]) / (2 * half)).between(0.85, 1.15).all()
+    plan = profiles.diurnal_profile(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
 
 
 def test_bootstrap_does_not_depend_on_partitioning(spark):
@@ -147,3 +163,36 @@ def test_linear_fit(spark):
     assert (row["slope"], row["intercept"], row["r2"]) == pytest.approx((3.0, 2.0, 1.0))
     flat = profiles.linear_fit(df.withColumn("x", F.lit(1.0)), [("x", "y")]).first()
     assert flat["slope"] is None and flat["n"] == 100
+
+
+def test_density_shuffles_cells_not_values(spark):
+    """What leaves the first shuffle is bounded by the range in bandwidths, whatever the number of distinct values."""
+    def cells(n):
+        df = spark.range(n).select((F.col("id") / n).alias("x"))
+        got = stats.density_curve(df, ["x"], points=20)
+        h = n ** -0.2 * (1 / 12) ** 0.5
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "cell" in plan and abs(got.agg(F.avg("density")).first()[0] - 0.97) < 0.05
+        return 1 / h * stats.FINE
+    assert cells(200_000) < 15_000
+
+
+def test_correlation_of_constants_gaps_and_partitions(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(1e6, 1.0, 3000)
+    frame = pd.DataFrame({"a": a, "b": a * 2 + rng.normal(0, 1, 3000), "c": 0.1, "d": np.nan, "e": rng.normal(0, 1, 3000)})
+    frame.loc[rng.random(3000) < 0.3, "b"] = np.nan
+    frame.loc[frame.index < 2990, "e"] = np.nan
+    df = to_spark(spark, frame, "a double, b double, c double, d double, e double")
+    want = frame.corr()
+    for parts in (1, 7):
+        got = stats.correlation_matrix(df.repartition(parts), list("abcde")).toPandas()
+        assert len(got) == 25
+        for r in got.itertuples():
+            exact = want.loc[r.x, r.y]
+            if "c" in (r.x, r.y) or "d" in (r.x, r.y):
+                assert r.r is None or np.isnan(r.r)
+            else:
+                assert abs(r.r - exact) < 1e-9
+    empty = stats.correlation_matrix(df.limit(0), ["a", "b"]).toPandas()
+    assert len(empty) == 4 and empty["r"].isna().all()

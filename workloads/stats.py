@@ -152,7 +152,10 @@ _WEIGHT = "CASE " + " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(pr
 
 @query("diurnal_profile", f"""WITH {Q.CLEAN}, seeded AS (SELECT hour, aqi, ('0x' || substr(md5(concat_ws('|', city,
     strftime(ingestion_timestamp, '%Y-%m-%d %H:%M:%S'))), 1, 8))::BIGINT % {profiles._PRIME} AS seed FROM clean),
-  drawn AS (SELECT *, unnest(range(1, 1001))::BIGINT AS replicate FROM seeded),
+  counted AS (SELECT hour, aqi, count(*) AS n, min(seed) AS seed FROM seeded GROUP BY 1, 2),
+  -- Equal values one by one: the same draws up to {profiles.SINGLY} of them, equally distributed ones beyond.
+  singly AS (SELECT hour, aqi, seed + 7919 * unnest(range(0, n)) AS seed FROM counted),
+  drawn AS (SELECT *, unnest(range(1, 1001))::BIGINT AS replicate FROM singly),
   started AS (SELECT *, {_START} AS s0 FROM drawn), mixed AS (SELECT *, {_mix('s0')} AS m1 FROM started),
   uniform AS (SELECT *, {_U} AS u FROM mixed), weighted AS (SELECT *, {_WEIGHT} AS w FROM uniform),
   means AS (SELECT hour, replicate, sum(w * aqi) / sum(w) AS m FROM weighted WHERE w > 0 GROUP BY 1, 2),
