@@ -122,3 +122,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], count
             low, high = float(wanted[c, math.floor(at)].found), float(wanted[c, math.ceil(at)].found)
             out[c].append(low + (high - low) * (at - math.floor(at)))
     return out
+
+
+def value_at_rank(df: DataFrame, column: str, rank: int, count: int, candidates: int = CANDIDATES) -> float:
+    """The value with exactly ``rank`` values before it in order; ``count`` is the column's non-null count."""
+    search = _Search(column, rank, 0, count)
+    while search.found is None:
+        _narrow(df, [search], candidates)
+    return float(search.found)

@@ -18,7 +18,7 @@ from stationcast import schema as S
 from stationcast.functions.cleaning import (drop_zero_weather, feature_columns, format_key_ts,
                                             require_features, require_targets)
 from stationcast.functions.display import display_label
-from stationcast.operators import evaluate
+from stationcast.operators import evaluate, quantiles
 from stationcast.operators.dedup import dedup_readings
 from stationcast.operators.series import (BLOCK_DAYS, features_and_cadence_targets,
                                           features_and_fixed_targets)
@@ -59,16 +59,26 @@ def training_frame(readings: DataFrame, targets: str = "cadence", clean_weather:
     return complete_rows(labelled_frame(readings, targets, clean_weather, block_days))
 
 
-def split_bucket(seed: int = SEED) -> Column:
-    """0..99 from the row's key: the same split for any partitioning."""
+def split_order(seed: int = SEED) -> Column:
+    """A number below 2^52 from the row's key, in whose order rows are dealt: the same for any partitioning."""
     key = F.concat_ws("|", F.col(S.STATION), format_key_ts(F.col(S.TIME)), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % 100
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint").cast("double")
 
 
 def split(df: DataFrame, seed: int = SEED, test_percent: int = TEST_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(train, test): shuffled, a fifth of the rows for testing."""
-    bucket = split_bucket(seed)
-    return df.where(bucket >= test_percent), df.where(bucket < test_percent)
+    """(train, test): shuffled, a fifth of the rows, rounded up, for testing.
+
+    The order number of the last test row is found by counting between approximate quantiles, so no row is sorted or
+    collected; both sides are filters. Rows of one key stay together. The frame is read three times to find it, so it
+    should be a written one.
+    """
+    n = df.count()
+    wanted = -(-n * test_percent // 100)
+    if wanted == 0:
+        return df, df.where(F.lit(False))
+    order = split_order(seed)
+    last = quantiles.value_at_rank(df.select(order.alias("order")), "order", wanted - 1, n)
+    return df.where(order > last), df.where(order <= last)
 
 
 def assemble(df: DataFrame, names: list[str]) -> DataFrame:

@@ -81,12 +81,21 @@ def test_split_ignores_partitioning(spark):
     df = planted(spark)
     train, test = training.split(df)
     again = training.split(df.repartition(7))[1]
-    assert train.count() + test.count() == 600
-    assert 0.14 < test.count() / 600 < 0.26
+    assert train.count() == 480 and test.count() == 120
     assert sorted(test.select(S.TIME).collect()) == sorted(again.select(S.TIME).collect())
     assert sorted(training.split(df, seed=1)[1].select(S.TIME).collect()) != sorted(test.select(S.TIME).collect())
 
 
+@pytest.mark.parametrize("n, want", [(0, 0), (1, 1), (4, 1), (5, 1), (6, 2), (599, 120)])
+def test_split_takes_a_fifth_rounded_up(spark, monkeypatch, n, want):
+    df = planted(spark).orderBy(S.TIME).limit(n)
+    train, test = training.split(df)
+    assert test.count() == want and train.count() == n - want
+    # Of many rows few are looked at in any round.
+    monkeypatch.setattr(training.quantiles.value_at_rank, "__defaults__", (3,))
+    assert sorted(training.split(df)[1].select(S.TIME).collect()) == sorted(test.select(S.TIME).collect())
+
+
 def test_linear_regression_recovers_planted_coefficients(spark):
     ready = training.assemble(planted(spark), ["pm25", "humidity"])
     models = training.fit_horizons(training.candidate_models()["LinearRegression"], ready)

@@ -9,6 +9,7 @@ from stationcast import schema as S
 from stationcast.operators import joins, series
 from stationcast.plans import training
 from stationcast.plans.forecast import inference_row as newest_features
+from stationcast.session import materialize
 from workloads import sql as Q
 from workloads.registry import query
 from workloads.tables import Tables
@@ -152,11 +153,12 @@ def training_frame_unfiltered(t: Tables) -> DataFrame:
     return training.training_frame(t.readings, targets="fixed", clean_weather=False)
 
 
-@query("train_test_split", f"""WITH {Q.COMPLETE}, bucketed AS (SELECT *, ('0x' || substr(md5(concat_ws('|', city,
-    strftime(ingestion_timestamp, '%Y-%m-%d %H:%M:%S'), '42')), 1, 8))::BIGINT % 100 AS bucket FROM complete)
-  SELECT {Q.KEY}, CASE WHEN bucket < 20 THEN 'test' ELSE 'train' END AS part FROM bucketed""")
+@query("train_test_split", f"""WITH {Q.COMPLETE}, dealt AS (SELECT *, row_number() OVER (ORDER BY substr(md5(concat_ws('|', city,
+    strftime(ingestion_timestamp, '%Y-%m-%d %H:%M:%S'), '42')), 1, 13)) AS k, count(*) OVER () AS n FROM complete)
+  SELECT {Q.KEY}, CASE WHEN k <= (n * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS part FROM dealt""")
 def train_test_split(t: Tables) -> DataFrame:
-    train, test = training.split(training.training_frame(t.readings, targets="fixed").select(*S.KEY))
+    keys = materialize(training.training_frame(t.readings, targets="fixed").select(*S.KEY))
+    train, test = training.split(keys)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
