@@ -38,16 +38,15 @@ def test_only_fits_have_no_sql():
     assert set(REGISTRY) - set(OWN) == FITS
 
 
-@pytest.mark.parametrize("name, parameter, rounds", [
-    ("random_forest", "numTrees", 100), ("gradient_boosting", "maxIter", 150), ("extreme_boosting", "maxIter", 200),
-    ("compare_models", "maxIter", 200), ("mean_importance", "numTrees", 100), ("train_register_forecast", "maxIter", 200)])
-def test_fits_use_the_full_rounds(spark, monkeypatch, name, parameter, rounds):
+@pytest.mark.parametrize("name, rounds", [
+    ("random_forest", 100), ("gradient_boosting", 150), ("extreme_boosting", 200), ("compare_models", 200),
+    ("mean_importance", 100), ("train_register_forecast", 200)])
+def test_fits_use_the_full_rounds(spark, monkeypatch, name, rounds):
     class Asked(Exception):
         pass
 
-    def asked(factory, train):
-        estimator = factory("target_day1", "pred_day1")
-        raise Asked(estimator.getOrDefault(parameter))
+    def asked(learner, train):
+        raise Asked(learner.settings.rounds)
     monkeypatch.setattr(training, "fit_horizons", asked)
     with pytest.raises(Asked) as found:
         entry.queries()[name](spark, SF)
