@@ -4,18 +4,19 @@ A document is the set of its distinct 5-word shingles (A-Z lower-cased; fewer wo
 sorted array of 64-bit hashes. Two documents link when 100 * |A n B| >= 80 * |A u B|. The steps:
 
 1. Equal sets (128-bit digest and size) are one class; its smallest doc_id stands for it.
-2. Every class lists its prefix: the n - ceil(0.8 n) + 1 first shingles in an order that puts frequent shingles last.
-   Linked sets share a prefix shingle, whatever the order is.
+2. Every class lists its prefix: the n - ceil(0.8 n) + 1 first shingles in an order that puts shingles of one document
+   first and frequent ones last. Linked sets share a prefix shingle, whatever the order is; those of one document
+   take their places in the prefix and need no partner.
 3. Per prefix shingle all members are compared with the smallest one, and links become components. This takes
    one candidate per row, also where thousands of documents share a shingle.
 4. Where a shingle still joins several components, the members outside the first one's component meet all members
-   in tiles: blocks of at most ``BLOCK`` rows, split by size band in large groups. In a tile, sizes and the bit
-   counts of hashed parity bitmaps bound the overlap from above.
+   in tiles: blocks of at most ``BLOCK`` rows, split by size band in large groups. In every tile, sizes and the bit
+   counts of hashed parity bitmaps bound the overlap from above before a pair leaves it.
 5. Survivors are decided by intersecting the sorted arrays. Pairs inside one component are not compared again,
    so the result is the components (with at least one true path of links), not the list of all links.
 
 Rows with a null text, without words or without doc_id have an empty set or no component and link with nothing. Rows
-that repeat a doc_id are one node: a link of any of them counts. Empty tables give empty results.
+that repeat a doc_id are one node: a link of any of them counts, copies of any of its texts included. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -77,8 +78,8 @@ def parity_bitmap(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """Half to once the set's size: unrelated sets then differ in over a quarter of n bits, linked ones in 2n/9."""
-    return min(MOST_BITS, max(64, 1 << (max(n // 2, 1) - 1).bit_length()))
+    """Once to twice the set's size: unrelated sets then differ in about half of n bits or more, linked ones in 2n/9."""
+    return min(MOST_BITS, max(64, 1 << (max(n, 1) - 1).bit_length()))
 
 
 def fold(bitmap: np.ndarray, bits: int) -> np.ndarray:
@@ -166,14 +167,22 @@ def _combined(held: list[pa.RecordBatch]):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 elements in the order (frequent, hash). ``frequent`` is sorted."""
+def prefix(s: np.ndarray, frequent: np.ndarray, again: KeyFilter | None = None) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 elements in the order (counted once, counted more often, not counted, frequent; hash).
+
+    ``frequent`` is sorted; ``again`` may hold every counted element that is not known to be in one document only. The
+    order looks at the element alone, so it is the same in all sets.
+    """
     take = len(s) - _needed(len(s)) + 1
-    if len(frequent) == 0:
-        return s[:take]
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    late = frequent[at] == s
-    return np.concatenate([s[~late], s[late]])[:take]
+    rank = np.zeros(len(s), dtype=np.int8)
+    if again is not None:
+        counted = np.searchsorted(s, COUNTED)
+        rank[:counted] = again(X.signed(s[:counted]))
+        rank[counted:] = 2
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        rank[frequent[at] == s] = 3
+    return s[np.argsort(rank, kind="stable")[:take]]
 
 
 def _prefixes(docs: DataFrame, reps: KeyFilter, frequent: np.ndarray, again: KeyFilter) -> DataFrame:
@@ -187,7 +196,7 @@ def _prefixes(docs: DataFrame, reps: KeyFilter, frequent: np.ndarray, again: Key
             found, size = [], 0
             for i, s in shingle_sets(texts):
                 if known[i] and len(s):
-                    first = prefix(s, often)
+                    first = prefix(s, often, repeated)
                     found.append((numbers[i], first[(first >= COUNTED) | repeated(X.signed(first))]))
                     size += len(found[-1][1])
                     if size > 100_000:
@@ -268,8 +277,25 @@ def _like(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
-def _small_tiles(run: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-    """Pairs of many small tiles at once: every left row with all rows of its tile."""
+def _apart(bitmaps: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Per pair of rows the number of bits in which their bitmaps differ, both at the width of the narrower one."""
+    width = np.array([len(b) for b in bitmaps])
+    least = np.minimum(width[i], width[j])
+    out = np.zeros(len(i), dtype=np.int64)
+    for w in np.unique(least):
+        at = np.flatnonzero(least == w)
+        rows, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        flat = np.stack([fold(np.frombuffer(bitmaps[r], np.uint8), 8 * int(w)) for r in rows]).view(np.uint64)
+        step = max(1, (8 << 20) // int(w))
+        for lo in range(0, len(at), step):
+            x, y = place[lo:min(lo + step, len(at))], place[len(at) + lo:len(at) + min(lo + step, len(at))]
+            out[at[lo:lo + step]] = np.bitwise_count(flat[x] ^ flat[y]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _tile_pairs(run: dict[str, np.ndarray | list]) -> Iterator[np.ndarray]:
+    """Pairs of many tiles: left rows with the rows of their tile in other components, by size and then by bitmaps."""
+    n, comp, ids = run["n"], run["comp"], run["id"]
     starts = X.group_starts(run["tile"])
     lengths = np.diff(np.append(starts, len(run["tile"])))
     left = np.flatnonzero(run["side"] & 1)
@@ -278,30 +304,21 @@ def _small_tiles(run: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
     lo = 0
     while lo < len(left):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 1_000_000, side="right")))
-        a, size = left[lo:hi], lengths[at[lo:hi]]
-        i = np.repeat(a, size)
+        size = lengths[at[lo:hi]]
+        i = np.repeat(left[lo:hi], size)
         j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[at[lo:hi]], size)
-        ok = (run["comp"][i] != run["comp"][j]) & _like(run["n"][i], run["n"][j])
-        x, y = run["id"][i[ok]], run["id"][j[ok]]
-        yield np.stack([np.minimum(x, y), np.maximum(x, y)])
+        # Where both rows are left ones, the pair comes once.
+        ok = ((run["side"][j] & 2 != 0) & (comp[i] != comp[j]) & _like(n[i], n[j])
+              & ((run["side"][j] & 1 == 0) | (ids[i] < ids[j])))
+        i, j = i[ok], j[ok]
+        if len(i):
+            most = (n[i] + n[j] - _apart(run["bitmap"], i, j)) // 2
+            ok = 100 * most >= PERCENT * (n[i] + n[j] - most)
+            x, y = ids[i[ok]], ids[j[ok]]
+            yield np.stack([np.minimum(x, y), np.maximum(x, y)])
         lo = hi
 
 
-def _large_tile(run: dict[str, np.ndarray | list]) -> Iterator[np.ndarray]:
-    """Pairs of one block of a large group, by size and bitmaps."""
-    left, right = np.flatnonzero(run["side"] & 1), np.flatnonzero(run["side"] & 2)
-    n, comp, ids = run["n"], run["comp"], run["id"]
-    bits = 8 * min(len(b) for b in run["bitmap"])
-    flat = np.stack([fold(np.frombuffer(b, np.uint8), bits) for b in run["bitmap"]]).view(np.uint64)
-    for i in left:
-        ok = right[(comp[right] != comp[i]) & _like(n[right], n[i])]
-        apart = np.bitwise_count(flat[ok] ^ flat[i]).sum(axis=1, dtype=np.int64)
-        most = (n[ok] + n[i] - apart) // 2
-        ok = ok[100 * most >= PERCENT * (n[ok] + n[i] - most)]
-        if len(ok):
-            yield np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])])
-
-
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     a, b = np.unique(np.concatenate(found, axis=1), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -312,17 +329,9 @@ def _tiles(batches):
     names = ("tile", "side", "id", "comp", "n")
     held: dict | None = None
 
-    def pairs_of(run):
-        blank = np.array([b is None for b in run["bitmap"]], dtype=bool)
-        yield from _small_tiles({c: run[c][blank] for c in names})
-        starts = X.group_starts(run["tile"])
-        for lo, hi in zip(starts, [*starts[1:], len(run["tile"])]):
-            if not blank[lo]:
-                yield from _large_tile({c: v[lo:hi] for c, v in run.items()})
-
     def emit(run):
         found, rows = [], 0
-        for pairs in pairs_of(run):
+        for pairs in _tile_pairs(run):
             found.append(pairs)
             rows += pairs.shape[1]
             if rows > 500_000:
@@ -356,8 +365,7 @@ def tile_candidates(rows: DataFrame, bitmaps: DataFrame, roots: DataFrame) -> Da
     mixed = placed.join(tokens, "token").join(bitmaps, "id")
     mixed = mixed.withColumn("other", F.col("comp") != F.col("lead"))
     small = mixed.where("not large").select(
-        F.col("token").alias("tile"), F.when(F.col("other"), 3).otherwise(2).alias("side"), "id", "comp", "n",
-        F.lit(None).cast("binary").alias("bitmap"))
+        F.col("token").alias("tile"), F.when(F.col("other"), 3).otherwise(2).alias("side"), "id", "comp", "n", "bitmap")
     # Large groups: bands of sizes by factor 1.25 = 100/80, so that linked sets are in the same or the next band.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
@@ -379,6 +387,14 @@ def tile_candidates(rows: DataFrame, bitmaps: DataFrame, roots: DataFrame) -> Da
             .mapInArrow(_tiles, "a long, b long").distinct())
 
 
+def _same_document(nodes: DataFrame) -> DataFrame:
+    """Edges between the classes that hold texts of one repeated doc_id."""
+    some = nodes.where("n > 0 and doc_id is not null").select("doc_id", "node")
+    several = (some.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most"))
+               .where("b < most").select("doc_id", "b"))
+    return some.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of (doc_id, text)."""
     spark = docs.sparkSession
@@ -401,10 +417,10 @@ def join_components(docs: DataFrame) -> DataFrame:
     first = verified(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(),
                      bitmaps, docs)
     second = verified(tile_candidates(shared, bitmaps, components(first)), bitmaps, docs)
-    roots = components(first.union(second))
     copies = classes.where("copies > 1").select("d1", "d2", "n", "rep")
-    return (marks.drop("bitmap").join(copies, ["d1", "d2", "n"], "left")
-            .withColumn("node", F.coalesce("rep", "doc_id")).join(roots, "node", "left")
+    nodes = marks.drop("bitmap").join(copies, ["d1", "d2", "n"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    roots = components(first.union(second).union(_same_document(nodes)))
+    return (nodes.join(roots, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("component_id")))
 

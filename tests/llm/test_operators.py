@@ -138,6 +138,30 @@ def test_jaccard_join_of_many_near_copies(spark, monkeypatch, block, frequent):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
 
 
+def test_jaccard_join_of_one_id_with_two_texts(spark):
+    """Copies of either text of a repeated doc_id are in its component."""
+    rng = random.Random(8)
+    one, two = text_of(rng, 30), text_of(rng, 30)
+    df = spark.createDataFrame([(5, one), (6, one), (6, two), (4, two), (3, text_of(rng, 30))], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.join_components(df).collect()}
+    assert got == {(5, 4), (6, 4), (4, 4), (3, 3)}
+
+
+def test_jaccard_tiles_hold_back_unlike_pairs():
+    """Two tiles in one run: linked pairs across components leave once, unlike ones and those of one component do not."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [base, np.append(base[:290], rng.integers(0, 2**64, 10, dtype=np.uint64)), base[:150],
+            *(np.append(base[:60], rng.integers(0, 2**64, 240, dtype=np.uint64)) for _ in range(40))]
+    n = np.array([len(s) for s in sets])
+    maps = [jaccard_join.parity_bitmap(s, jaccard_join.bitmap_bits(len(s))).tobytes() for s in sets]
+    one = {"tile": np.zeros(len(n), np.int64), "side": np.full(len(n), 3), "id": np.arange(len(n)), "comp": np.arange(len(n)),
+           "n": n}
+    two = {**one, "tile": one["tile"] + 1, "comp": np.where(one["id"] < 2, 0, one["id"])}
+    run = {c: np.concatenate([one[c], two[c]]) for c in one} | {"bitmap": maps + maps}
+    assert np.concatenate(list(jaccard_join._tile_pairs(run)), axis=1).T.tolist() == [[0, 1]]
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
     for n in (1, 5, 80, 900):
