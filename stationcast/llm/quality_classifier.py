@@ -129,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> np.ndarray:
             PLACES + EXTRA + 1)
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], names=["place", "weight"])
-    # At most MOST_DOCUMENTS rows come to the one task that fits.
-    sample = docs.join(taken, "doc_id").select(F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "text", "label").coalesce(1)
+    # At most MOST_DOCUMENTS rows come to the one task that fits; the scan and the join before it keep their tasks.
+    sample = docs.join(taken, "doc_id").select(
+        F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "text", "label").repartition(1)
     found = sample.mapInArrow(run, "place long, weight double").toArrow()
     weights = np.zeros(PLACES + EXTRA + 1)
     weights[found.column("place").to_numpy()] = found.column("weight").to_numpy()
