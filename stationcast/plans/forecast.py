@@ -28,6 +28,12 @@ def inference_row(history: DataFrame, names: list[str] | None = None) -> DataFra
     return align_features(newest, names, keep=S.KEY)
 
 
+def stored_inference_row(spark: SparkSession, root: str, names: list[str] | None = None,
+                         version: int = tables.VERSION) -> DataFrame:
+    """:func:`inference_row` of the reading table, from the days that the lags of each station reach."""
+    return inference_row(tables.read_recent(spark, root, HISTORY_ROWS, version), names)
+
+
 def load_serving_models(spark: SparkSession, root: str, name: str) -> tuple[list[Model], list[str] | None]:
     """The horizon models to serve, and the feature order they were trained with."""
     run = resolve_serving_model(tables.read_runs(spark, root).where(F.col("name") == name)).first()

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.ml import Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,25 @@ def read_features(spark: SparkSession, root: str, version: int = VERSION, group:
     return M.read(spark, path, now, S.READING, days).select(S.READING.names)
 
 
+def read_recent(spark: SparkSession, root: str, rows: int, version: int = VERSION, group: str = GROUP) -> DataFrame:
+    """The newest ``rows`` readings of every station and the rest of the oldest of their days.
+
+    The rows per station and day that the sink keeps say how far back each station has to go, so only the folders
+    of those days are opened. A station that has fallen silent is read from the days on which it last reported.
+    """
+    path = table_path(root, version, group)
+    now = M.current(spark, path)
+    if now.number == 0:
+        return read_features(spark, root, version, group)
+    newer = Window.partitionBy(S.STATION).orderBy(F.col(EVENT_DATE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reached = (M.day_counts(spark, path, now, S.READING[S.STATION])
+               .withColumn("newer", F.coalesce(F.sum("count").over(newer), F.lit(0)))
+               .where(F.col("newer") < rows).select(S.STATION, EVENT_DATE))
+    days = [str(r[0]) for r in reached.select(EVENT_DATE).distinct().collect()]
+    stored = M.read(spark, path, now, S.READING, days)
+    return stored.join(reached, [S.STATION, EVENT_DATE], "left_semi").select(S.READING.names)
+
+
 def read_features_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.READING).csv(path, header=True, timestampFormat=KEY_FORMAT)
 
@@ -161,14 +180,14 @@ def upsert_features(df: DataFrame, root: str, version: int = VERSION, mode: str
                 return now, None
             stored = M.read(spark, path, now, S.READING, days)
             if mode == "replace":
-                commit, written = M.write_commit(_laid_out(append_dedup(rows, stored)), path)
+                commit, written = M.write_commit(_laid_out(append_dedup(rows, stored)), path, S.STATION)
                 return now.replacing(commit, written, days), commit
             new = rows.join(stored.select(*S.KEY), S.KEY, "left_anti")
             merged = [d for d in M.compactable(now) if d in set(days)]
             if merged:
                 # Keys are apart already, so the old rows of a crowded day just join the new ones.
                 new = new.unionByName(M.read(spark, path, now, S.READING, merged))
-            commit, written = M.write_commit(_laid_out(new), path)
+            commit, written = M.write_commit(_laid_out(new), path, S.STATION)
             apart = [d for d in written if d not in set(merged)]
             return now.replacing(commit, [d for d in written if d in set(merged)], merged).adding(commit, apart), commit
 
@@ -185,7 +204,7 @@ def recreate_version(df: DataFrame, root: str, version: int, group: str = GROUP)
     spark, path = df.sparkSession, table_path(root, version, group)
 
     def change(now: M.Manifest) -> tuple[M.Manifest, str | None]:
-        commit, written = M.write_commit(_laid_out(_prepared(df)), path)
+        commit, written = M.write_commit(_laid_out(_prepared(df)), path, S.STATION)
         return now.replacing(commit, written, list(now.days)), commit
     M.committed(spark, path, None, change)
 

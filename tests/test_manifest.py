@@ -144,3 +144,35 @@ def test_missing_tables_and_folders(spark, tmp_path):
     assert M.read(spark, str(tmp_path), M.Manifest(), S.READING).count() == 0
     with pytest.raises(Py4JJavaError):
         M.create_exclusive(spark, "nosuchscheme://x/y")
+
+
+def opened_days(df):
+    return sorted({part for f in df.inputFiles() for part in f.split("/") if part.startswith("event_date=")})
+
+
+def test_recent_rows_open_only_the_days_they_reach(spark, tmp_path):
+    root = str(tmp_path)
+    # One station with a row an hour, one with a row every fourth day, one silent since the second day.
+    hourly = [("h", d, h, d) for d in range(1, 21) for h in range(24)]
+    sparse = [("s", d, 5, d) for d in range(1, 21, 4)]
+    tables.upsert_features(readings(spark, *hourly[::2], ("gone", 2, 0, 2)), root)
+    tables.upsert_features(readings(spark, *hourly[1::2], *sparse), root)
+    recent = tables.read_recent(spark, root, 3)
+    assert opened_days(recent) == [f"event_date=2024-01-{d:02d}" for d in (2, 9, 13, 17, 20)]
+    assert values(recent) == sorted([("gone", 2, 2.0), *(("s", d, float(d)) for d in (9, 13, 17)), *[("h", 20, 20.0)] * 24])
+    # A replaced day counts with its new commit only, and a table written without counts is counted from its rows.
+    tables.upsert_features(readings(spark, ("h", 20, 3, 7)), root, mode="replace")
+    want = values(tables.read_recent(spark, root, 25))
+    assert sum(v == ("h", 20, 20.0) for v in want) == 23 and ("h", 20, 7.0) in want
+    assert sum(v[0] == "h" for v in want) == 48 and len(want) == 48 + 5 + 1
+    path = tables.table_path(root)
+    for folder in M._names(spark, f"{path}/counts")[:2]:
+        M.remove(spark, f"{path}/counts/{folder}")
+    assert values(tables.read_recent(spark, root, 25)) == want
+
+
+def test_recent_rows_of_an_emptied_table(spark, tmp_path):
+    root = str(tmp_path)
+    tables.upsert_features(readings(spark, ("a", 1, 0, 1)), root)
+    tables.recreate_version(readings(spark, ("a", 1, 0, 1)).limit(0), root, tables.VERSION)
+    assert tables.read_recent(spark, root, 3).count() == 0

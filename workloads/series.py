@@ -9,9 +9,11 @@ from stationcast import schema as S
 from stationcast.operators import joins, series
 from stationcast.plans import training
 from stationcast.plans.forecast import inference_row as newest_features
-from stationcast.session import materialize
+from stationcast.plans.forecast import stored_inference_row as newest_stored_features
+from stationcast.session import materialize, scratch_path
+from stationcast.sources import tables
 from workloads import sql as Q
-from workloads.registry import query
+from workloads.registry import REGISTRY, query
 from workloads.tables import Tables
 
 CITY, TIME = S.STATION, S.TIME
@@ -170,6 +172,16 @@ def inference_row(t: Tables) -> DataFrame:
     return newest_features(t.readings)
 
 
+@query("stored_inference_row", REGISTRY["inference_row"].sql)
+def stored_inference_row(t: Tables) -> DataFrame:
+    """The same rows from a stored table that came in three commits, of which only the days the lags reach are read."""
+    root = scratch_path(t.spark, "store")
+    readings = materialize(t.readings)
+    for part in range(3):
+        tables.upsert_features(readings.where(F.hour(TIME) % 3 == part), root)
+    return newest_stored_features(t.spark, root)
+
+
 @query("inference_row_per_user", f"""WITH {Q.BY_USER}, featured AS (SELECT *, {Q.FEATURES}, row_number() OVER (
     PARTITION BY city ORDER BY ingestion_timestamp DESC) AS rn FROM by_user {Q.WINDOWS})
   SELECT {Q.KEY}, {Q.r('pm25')}, 0.0::DOUBLE AS snow_depth, {Q.r(*Q.WINDOW_NAMES)} FROM featured WHERE rn = 1""")
