@@ -8,6 +8,7 @@ when that one leaves the join in turn, however late.
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,6 +173,84 @@ def stream_dedup(readings: DataFrame, delay: str = DELAY) -> DataFrame:
     return readings.withWatermark(S.TIME, delay).dropDuplicatesWithinWatermark(S.KEY)
 
 
+#: A first row of each key, and what was set aside with the reason: late, duplicate or no key.
+KEPT, ASIDE = "kept", "aside"
+
+
+def _first_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per key, values before nulls in column order: an aggregate, so a hot key sends one row per task."""
+    rest = [c for c in columns if c not in S.KEY]
+    ranks = [x for c in rest for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    first = rows.groupBy(*S.KEY).agg(F.min(F.struct(*ranks, "_row")).alias("_first"))
+    return first.select(*S.KEY, *(F.col(f"_first.{c}").alias(c) for c in rest), "_first._row")
+
+
+def keep_on_time(batch: DataFrame, root: str, delay: str = DELAY, number: Batch | None = None) -> None:
+    """The first row of each key to the table ``kept`` below ``root``, every other row of the batch to ``aside``.
+
+    A row is late when its time is not after the watermark, the newest time of all earlier batches less ``delay``.
+    Both tables hold the batch's number. What is set aside is committed first, and the watermark and the stored keys
+    are those of ``kept``, so a batch that runs again after any failure sorts its rows in the same way and adds what is
+    missing: kept and aside together are what landed. Columns must be orderable.
+    """
+    spark, kept, aside = batch.sparkSession, f"{root}/{KEPT}", f"{root}/{ASIDE}"
+    now = M.current(spark, kept)
+    if now.holds(number):
+        return
+    columns, schema = batch.columns, batch.schema
+    scratch = scratch_path(spark, "on-time")
+    try:
+        day = F.coalesce(F.to_date(S.TIME), F.lit("1970-01-01").cast("date"))
+        rows = materialize(batch.withColumn(EVENT_DATE, day).withColumn("_row", F.monotonically_increasing_id()),
+                           f"{scratch}/batch")
+        keyless = F.col(S.STATION).isNull() | F.col(S.TIME).isNull()
+        newest = _newest(spark, kept, now, schema)
+        late = F.lit(False) if newest is None else F.col(S.TIME) <= F.lit(newest) - F.expr(f"interval {delay}")
+        reason = F.when(keyless, "no key").when(late, "late")
+        on_time = rows.where(reason.isNull())
+        days = [str(r[0]) for r in on_time.select(EVENT_DATE).distinct().collect()]
+        stored = M.read(spark, kept, now, schema, days).select(*S.KEY)
+        new = materialize(_first_rows(on_time, [*columns, EVENT_DATE]).join(stored, S.KEY, "left_anti"), f"{scratch}/new")
+        rest = (rows.join(new.select("_row"), "_row", "left_anti")
+                .withColumn("reason", F.coalesce(reason, F.lit("duplicate"))).drop("_row"))
+        for path, part in ((aside, rest), (kept, new.select(*columns, EVENT_DATE))):
+            def change(now: M.Manifest) -> tuple[M.Manifest, str | None]:
+                commit, written = M.write_commit(part.hint("rebalance", EVENT_DATE), path)
+                return now.adding(commit, written), commit
+            M.committed(spark, path, number, change)
+    finally:
+        remove(spark, scratch)
+
+
+def _newest(spark: SparkSession, path: str, now: M.Manifest, schema: T.StructType) -> datetime | None:
+    """The newest time of a table, from the folders of its newest day."""
+    if not now.days:
+        return None
+    return M.read(spark, path, now, schema, [max(now.days)]).agg(F.max(S.TIME)).first()[0]
+
+
+def stream_on_time(rows: DataFrame, root: str, checkpoint: str, delay: str = DELAY, available_now: bool = False,
+                   interval: str = "1 hour", partitions: int | None = None) -> StreamingQuery:
+    """:func:`stream_dedup` that loses nothing: late rows and repeated keys go to a table of their own."""
+    spark = rows.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        keep_on_time(batch, root, delay, (stream_id(spark, checkpoint), number))
+    return _start_batches(rows, write, checkpoint, available_now, interval, partitions)
+
+
+def read_kept(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    path = f"{root}/{KEPT}"
+    return M.read(spark, path, M.current(spark, path), schema).select(schema.names)
+
+
+def read_aside(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The rows set aside, with ``reason``."""
+    path = f"{root}/{ASIDE}"
+    full = T.StructType([*schema.fields, T.StructField("reason", T.StringType())])
+    return M.read(spark, path, M.current(spark, path), full).select(full.names)
+
+
 def stream_hourly(events: DataFrame, value: str = "value", delay: str = DELAY) -> DataFrame:
     """Events (city, ts, value) to one row per station and hour, emitted once the hour is closed."""
     hourly = (events.withWatermark("ts", delay)

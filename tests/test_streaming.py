@@ -199,3 +199,33 @@ def test_a_stream_killed_after_its_write_repeats_nothing(spark, tmp_path, monkey
     got = sorted((r["city"], r["aqi"]) for r in tables.read_features(spark, root).collect())
     assert got == [("a", 50.0), ("b", 2.0)]
     assert tables.read_latest(spark, root).count() == 2
+
+
+def test_rows_that_are_late_or_repeated_are_set_aside(spark, tmp_path, monkeypatch):
+    root, folder, checkpoint = (str(tmp_path / n) for n in ("store", "in", "ckpt"))
+    schema = spark.createDataFrame([], f"city string, {S.TIME} timestamp, value double").schema
+
+    def run():
+        rows = event_stream(spark, folder).withColumnRenamed("ts", S.TIME)
+        query = ingest.stream_on_time(rows, root, checkpoint, available_now=True)
+        query.awaitTermination()
+
+    land_events(spark, folder, [("a", at(1), None), ("a", at(1), 1.0), ("a", at(6), 5.0), (None, at(6), 1.0), ("a", None, 2.0)])
+    run()
+    # 04:00 is the watermark by now. The batch fails after its side output and runs again.
+    land_events(spark, folder, [("a", at(4), 7.0), ("a", at(5), 8.0), ("a", at(6), 9.0), ("b", at(2), 3.0), ("b", at(9), 4.0)])
+    real = ingest.M.committed
+
+    def fails(spark, path, *rest):
+        if path.endswith(ingest.KEPT):
+            raise OSError("gone")
+        return real(spark, path, *rest)
+    with monkeypatch.context() as m:
+        m.setattr(ingest.M, "committed", fails)
+        with pytest.raises(Exception):  # noqa: B017
+            run()
+    run()
+    kept = {(r["city"], r[S.TIME].hour, r["value"]) for r in ingest.read_kept(spark, root, schema).collect()}
+    assert kept == {("a", 1, 1.0), ("a", 6, 5.0), ("a", 5, 8.0), ("b", 9, 4.0)}
+    aside = sorted((r["reason"], r["value"] or 0.0) for r in ingest.read_aside(spark, root, schema).collect())
+    assert aside == [("duplicate", 0.0), ("duplicate", 9.0), ("late", 3.0), ("late", 7.0), ("no key", 1.0), ("no key", 2.0)]

@@ -118,3 +118,32 @@ def stream_late_pairs(t: Tables) -> DataFrame:
     return readings.select(CITY, TIME, F.lit("reading").alias("state"), "aqi", "temperature").unionByName(
         waiting.select(CITY, F.col("time").alias(TIME), state.alias("state"), F.col("air.aqi").alias("aqi"),
                        F.col("weather.temperature").alias("temperature")))
+
+
+@query("stream_late_rows", f"""WITH ends AS (SELECT min(epoch_ms(ts)) + max(epoch_ms(ts)) AS twice FROM events),
+  landed AS (SELECT {Q.SITE} AS city, date_trunc('hour', ts) AS ingestion_timestamp,
+    CASE WHEN event_id % 10 = 7 THEN 3 WHEN 2 * epoch_ms(ts) < twice THEN 1 ELSE 2 END AS wave FROM events, ends),
+  marks AS (SELECT w.wave, max(l.ingestion_timestamp) - INTERVAL 2 HOUR AS mark
+    FROM (VALUES (1), (2), (3)) AS w(wave) LEFT JOIN landed l ON l.wave < w.wave GROUP BY 1),
+  sorted AS (SELECT city, ingestion_timestamp, coalesce(ingestion_timestamp <= mark, false) AS late
+    FROM landed JOIN marks USING (wave)),
+  counted AS (SELECT {Q.KEY}, count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS on_time FROM sorted GROUP BY 1, 2)
+  SELECT {Q.KEY}, 'late' AS state, late AS n FROM counted WHERE late > 0
+  UNION ALL SELECT {Q.KEY}, 'kept', 1 FROM counted WHERE on_time > 0
+  UNION ALL SELECT {Q.KEY}, 'duplicate', on_time - 1 FROM counted WHERE on_time > 1""")
+def stream_late_rows(t: Tables) -> DataFrame:
+    """Events in three landings, the last a tenth from all times: every one of them is kept or set aside with its reason."""
+    base = scratch_path(t.spark, "on-time")
+    millis = F.unix_millis("ts")
+    ends = t.events.agg((F.min(millis) + F.max(millis)).alias("twice")).first()
+    wave = F.when(F.col("event_id") % 10 == 7, 3).when(2 * millis < F.lit(ends["twice"]), 1).otherwise(2)
+    rows = materialize(t.events.select(CITY, F.date_trunc("hour", "ts").alias(TIME), "event_id", "value", wave.alias("wave")))
+    schema = rows.drop("wave").schema
+    for k in (1, 2, 3):
+        rows.where(F.col("wave") == k).drop("wave").write.mode("append").parquet(f"{base}/landing")
+        stream = t.spark.readStream.schema(schema).parquet(f"{base}/landing")
+        ingest.stream_on_time(stream, f"{base}/store", f"{base}/checkpoint", available_now=True,
+                              partitions=_cores(t)).awaitTermination()
+    state = (ingest.read_kept(t.spark, f"{base}/store", schema).withColumn("reason", F.lit("kept"))
+             .unionByName(ingest.read_aside(t.spark, f"{base}/store", schema)))
+    return state.groupBy(CITY, TIME, F.col("reason").alias("state")).agg(F.count("*").alias("n"))
