@@ -1,14 +1,17 @@
-"""Byte-level BPE as a deterministic automaton over tokens.
+"""Byte-level BPE as a deterministic automaton.
 
-The automaton starts with one state whose arcs are the 256 bytes. Each merge (l, r) is one gadget, applied in merge
-order: reading l may no longer be followed by r (a hole, stamped with the merge's number), and the joined token becomes
-a new arc that exists wherever l and then r could be read at that moment. The state after a token is that of its right
-part when it was made, so a state is its token with the holes of its right spine up to the time each part was used up;
-an arc is that of its left spine in the same way. This keeps the table sparse: all arcs but the holes exist. Arcs that
-are asked for are entered in a transition table.
+Compilation starts with one state whose arcs are the 256 bytes, all leading back to it. Each merge (l, r) is one gadget,
+applied in merge order: the state that l leads to is copied without its arc r (a hole), l leads to the copy, and
+wherever l and then r could be read the joined token becomes an arc to where r led. So every merge makes at most one
+state, and all arcs of one label lead to one state (``after``). A state is kept as the holes of its right spine up to the time
+each part was used up, and an arc is closed by a hole on its left spine in the same way: all arcs but those exist.
 
-A word's path through the automaton is unique and spells the tokens BPE gives it. Decoding emits arc labels: the bytes
-of each token. Texts are split into words as the tokenizer file says; the special token's text is its own token.
+That automaton reads tokens. Over bytes it is determinised: a byte state holds the token that ends here and every (state,
+trie place) of a token still being read. Each prefix of a word is spelled by one path only, so a byte state has one last
+token at most. Its transitions are entered in a table when they are first asked for (``MOST_STATES`` at most; then
+the table starts anew, with the same results). A word is encoded by one transition per byte, never going back; its tokens are
+then read off the last tokens from the end. Decoding emits arc labels: the bytes of each token. Texts are split
+into words as the tokenizer file says; the special token's text is its own token.
 
 Null texts are empty and have no tokens. Rows are encoded each for itself, whatever their ids.
 """
@@ -35,7 +38,7 @@ from stationcast.llm.tokens import byte_letters
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with other characters are split by the library, whose Unicode tables decide.
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-ɏ]")
-MOST_WORDS, MOST_ARCS = 300_000, 2_000_000
+MOST_WORDS, MOST_STATES = 300_000, 150_000
 _NEVER = 1 << 60
 
 
@@ -43,12 +46,12 @@ class TokenAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         letters = byte_letters()
         self.label = {i: bytes(letters[c] for c in s) for s, i in vocab.items() if all(c in letters for c in s)}
-        self.arc = {b: i for i, b in self.label.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.made: dict[int, int] = {}
         self.holes: dict[int, dict[int, int]] = {}
-        self.table: dict[tuple[int, int], bool] = {}
-        unread = set()
+        #: The state that each token's arcs lead to; states are numbered as gadgets make them.
+        self.after = {i: 0 for i, b in self.label.items() if len(b) == 1}
+        states, unread = 1, set()
         for time, (l, r) in enumerate(merges):
             a, b, joined = vocab[l], vocab[r], vocab[l + r]
             # The gadget needs a path l, r at this moment; without one the joined token can never be read.
@@ -58,10 +61,22 @@ class TokenAutomaton:
                 continue
             self.holes.setdefault(a, {})[b] = time
             self.parts[joined], self.made[joined] = (a, b), time
-        known = set(self.made) | {self.arc[bytes([b])] for b in range(256) if bytes([b]) in self.arc}
-        self.arc = {b: i for b, i in self.arc.items() if i in known}
-        self.longest = max((len(b) for b in self.arc), default=0)
-        self.table.clear()
+            self.after[joined] = self.after[b]
+            self.after[a], states = states, states + 1
+        #: Tokens that end alike lead to one state, for which one of them stands.
+        self.stands = {state: token for token, state in self.after.items()}
+        self.child: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for token in self.after:
+            node = 0
+            for c in self.label[token]:
+                key = node << 8 | c
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.ends)
+                    self.ends.append(-1)
+            self.ends[node] = token
+        self._clear()
 
     def _open(self, state: int, arc: int) -> bool:
         """Whether the state after a token still has an arc: no hole on the two spines was made in time."""
@@ -82,41 +97,54 @@ class TokenAutomaton:
                 return True
             used, x = self.made[x], self.parts[x][1]
 
-    def step(self, state: int, arc: int) -> bool:
-        key = (state, arc)
-        ok = self.table.get(key)
-        if ok is None:
-            if len(self.table) > MOST_ARCS:
-                self.table.clear()
-            ok = self.table[key] = self._open(state, arc)
-        return ok
+    def _clear(self) -> None:
+        """The table with the start only: nothing read, every token may begin."""
+        self.table: dict[int, int] = {}
+        self.last, self.reading = [-1], [((-1, 0),)]
+        self.number = {(-1, self.reading[0]): 0}
+
+    def _enter(self, d: int, c: int) -> int:
+        """The byte state that follows ``d`` on the byte ``c``, entered in the table."""
+        last, reading = -1, []
+        for state, node in self.reading[d]:
+            node = self.child.get(node << 8 | c, 0)
+            if node:
+                reading.append((state, node))
+                token = self.ends[node]
+                if token >= 0 and (state < 0 or self._open(self.stands[state], token)):
+                    last = token
+        if last >= 0:
+            reading.append((self.after[last], 0))
+        found = last, tuple(reading)
+        e = self.number.get(found)
+        if e is None:
+            if len(self.last) >= MOST_STATES:
+                # ``d`` is gone with its table; the word goes on from here in the new one.
+                self._clear()
+                d = -1
+            e = self.number[found] = len(self.last)
+            self.last.append(last)
+            self.reading.append(found[1])
+        if d >= 0:
+            self.table[d << 8 | c] = e
+        return e
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of one word. Each step takes the longest arc that the state has; where that leads nowhere, the
-        next shorter one. As every prefix has one path only, a place left once is never entered again."""
-        arc, label, step, n = self.arc, self.label, self.step, len(word)
+        """The tokens of one word: a transition per byte, then the last token of each prefix that a token begins after."""
+        d, ending = 0, []
+        for c in word:
+            e = self.table.get(d << 8 | c)
+            d = self._enter(d, c) if e is None else e
+            ending.append(self.last[d])
         out: list[int] = []
-        dead: set[int] = set()
-        i, size = 0, min(n, self.longest)
-        while i < n:
-            t = None
-            while size:
-                t = arc.get(word[i:i + size])
-                if t is not None and i + size not in dead and (not out or step(out[-1], t)):
-                    break
-                t, size = None, size - 1
-            if t is not None:
-                out.append(t)
-                i += size
-                size = min(n - i, self.longest)
-            elif out:
-                dead.add(i)
-                size = len(label[out.pop()])
-                i -= size
-                size -= 1
-            else:
+        i = len(word)
+        while i:
+            token = ending[i - 1]
+            if token < 0:
                 raise ValueError(f"no tokens spell {word!r}")
-        return out
+            out.append(token)
+            i -= len(self.label[token])
+        return out[::-1]
 
     def decode(self, ids: list[int], special: dict[int, bytes]) -> bytes:
         return b"".join(self.label[i] if i in self.label else special[i] for i in ids)
