@@ -76,6 +76,14 @@ class TokenAutomaton:
                     node = self.child[key] = len(self.ends)
                     self.ends.append(-1)
             self.ends[node] = token
+        #: Places with further bytes below; at others nothing is read on.
+        self.inner = bytearray(len(self.ends))
+        for key in self.child:
+            self.inner[key >> 8] = 1
+        self.table: dict[int, int] = {}
+        self.last: list[int] = []
+        self.reading: list[tuple[tuple[int, int], ...]] = []
+        self.number: dict[tuple, int] = {}
         self._clear()
 
     def _open(self, state: int, arc: int) -> bool:
@@ -99,20 +107,25 @@ class TokenAutomaton:
 
     def _clear(self) -> None:
         """The table with the start only: nothing read, every token may begin."""
-        self.table: dict[int, int] = {}
-        self.last, self.reading = [-1], [((-1, 0),)]
-        self.number = {(-1, self.reading[0]): 0}
+        for kept in (self.table, self.last, self.reading, self.number):
+            kept.clear()
+        start = -1, ((-1, 0),)
+        self.last.append(start[0])
+        self.reading.append(start[1])
+        self.number[start] = 0
 
     def _enter(self, d: int, c: int) -> int:
         """The byte state that follows ``d`` on the byte ``c``, entered in the table."""
         last, reading = -1, []
+        child, inner, ends = self.child.get, self.inner, self.ends
         for state, node in self.reading[d]:
-            node = self.child.get(node << 8 | c, 0)
-            if node:
-                reading.append((state, node))
-                token = self.ends[node]
-                if token >= 0 and (state < 0 or self._open(self.stands[state], token)):
-                    last = token
+            node = child(node << 8 | c)
+            if node is not None:
+                if inner[node]:
+                    reading.append((state, node))
+                # One path only spells what was read, so the first token that is open is the one.
+                if last < 0 and ends[node] >= 0 and (state < 0 or self._open(self.stands[state], ends[node])):
+                    last = ends[node]
         if last >= 0:
             reading.append((self.after[last], 0))
         found = last, tuple(reading)
@@ -132,10 +145,11 @@ class TokenAutomaton:
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one word: a transition per byte, then the last token of each prefix that a token begins after."""
         d, ending = 0, []
+        to, enter, last = self.table.get, self._enter, self.last
         for c in word:
-            e = self.table.get(d << 8 | c)
-            d = self._enter(d, c) if e is None else e
-            ending.append(self.last[d])
+            e = to(d << 8 | c)
+            d = enter(d, c) if e is None else e
+            ending.append(last[d])
         out: list[int] = []
         i = len(word)
         while i:
