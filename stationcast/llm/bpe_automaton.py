@@ -38,7 +38,7 @@ from stationcast.llm.tokens import byte_letters
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with other characters are split by the library, whose Unicode tables decide.
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-ɏ]")
-MOST_WORDS, MOST_STATES = 300_000, 150_000
+MOST_WORDS, MOST_STATES = 600_000, 150_000
 _NEVER = 1 << 60
 
 
@@ -65,6 +65,7 @@ class TokenAutomaton:
             self.after[a], states = states, states + 1
         #: Tokens that end alike lead to one state, for which one of them stands.
         self.stands = {state: token for token, state in self.after.items()}
+        self.size = {token: len(self.label[token]) for token in self.after}
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
         for token in self.after:
@@ -151,17 +152,22 @@ class TokenAutomaton:
             d = enter(d, c) if e is None else e
             ending.append(last[d])
         out: list[int] = []
-        i = len(word)
+        i, size = len(word), self.size
         while i:
             token = ending[i - 1]
             if token < 0:
                 raise ValueError(f"no tokens spell {word!r}")
             out.append(token)
-            i -= len(self.label[token])
-        return out[::-1]
+            i -= size[token]
+        out.reverse()
+        return out
 
     def decode(self, ids: list[int], special: dict[int, bytes]) -> bytes:
-        return b"".join(self.label[i] if i in self.label else special[i] for i in ids)
+        label = self.label
+        try:
+            return b"".join(map(label.__getitem__, ids))
+        except KeyError:
+            return b"".join(label[i] if i in label else special[i] for i in ids)
 
 
 class ByteBpe:
@@ -175,6 +181,7 @@ class ByteBpe:
         self.automaton = TokenAutomaton(model["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = {i: s.encode() for s, i in self.special.items()}
+        self.numbers = {i: str(i) for i in self.automaton.label}
         self.library = Tokenizer.from_file(path)
         self.split = regex.compile(SPLIT).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
@@ -191,7 +198,7 @@ class ByteBpe:
     def word(self, w: str) -> tuple[int, str, bytes]:
         """How many tokens a word has, their ids as text, and the bytes their labels spell."""
         ids = self.automaton.encode(w.encode("utf-8", "surrogateescape"))
-        return len(ids), ",".join(map(str, ids)), self.automaton.decode(ids, self.labels)
+        return len(ids), ",".join(map(self.numbers.__getitem__, ids)), self.automaton.decode(ids, self.labels)
 
     def encoded(self, text: str) -> tuple[int, str, bytes]:
         parts: list[tuple[int, str, bytes]] = []
