@@ -41,6 +41,9 @@ KINDS = ("exact", "stem", "fuzzy")
 REPORTING = {"said", "says", "called", "calls", "quoted", "quote", "wrote", "writes", "term", "word", "dit", "mot",
              "dijo", "palabra", "sagte", "wort", "nannte"}
 _WORDS = re.compile(r"[^\W\d_]+")
+#: A word with one digit or sign in place of a letter, or between two (fixed signs); longer mixtures are codes, not words.
+_SIGN = re.compile(r"[0-9@$!*+|#](?=[^\W\d_])")
+_MIXED = re.compile(r"(?<![\w@$!*+|#])[^\W\d_]+[0-9@$!*+|#][^\W\d_]+(?![\w@$*+|#])")
 _MARKS = re.compile("[\"“”«»„\n]")
 #: Prior of the weights: intercept, then per kind (any unquoted, log count unquoted, log count quoted).
 PRIOR = np.array([-3.0, 3.0, 1.0, 0.3, 3.0, 1.0, 0.3, 2.0, 0.7, 0.2])
@@ -150,7 +153,10 @@ def counts(lexicon: Lexicon, text: str) -> np.ndarray:
     out = np.zeros(6)
     low = text.lower()
     kinds = {w: k for w in set(_WORDS.findall(low)) if (k := lexicon.kind(w))}
-    if kinds:
+    # Where no part of such a word is an entry, the automaton reads it whole: the sign is one edit.
+    mixed = [m for m in _MIXED.finditer(low) if lexicon.kind(m.group()) == 3
+             and kinds.keys().isdisjoint(_WORDS.findall(m.group()))] if _SIGN.search(low) else []
+    if kinds or mixed:
         # Lower-casing may move offsets in rare scripts; contexts are then read from the lower-cased text.
         where = text if len(text) == len(low) else low
         spans = quotations(where)
@@ -158,6 +164,8 @@ def counts(lexicon: Lexicon, text: str) -> np.ndarray:
             k = kinds.get(m.group())
             if k:
                 out[2 * (k - 1) + quoted(where, *m.span(), spans)] += 1
+        for m in mixed:
+            out[4 + quoted(where, *m.span(), spans)] += 1
     return out
 
 
