@@ -29,7 +29,7 @@ from stationcast.llm import text as X
 from stationcast.llm.common import digest_bucket, table
 
 MOST_DOCUMENTS, LEARNED_CHARS = 120, 30_000
-MOST_WORDS = 500_000
+MOST_WORDS, FEW_WORDS = 500_000, 8
 SEED = 5
 _letters = re.compile(r"[^\W\d_]+").findall
 
@@ -64,13 +64,20 @@ class SuffixAutomaton:
                         p = link[p]
             last = new
 
-    def table(self, alphabet: dict[str, int]) -> np.ndarray:
-        """Transitions by state and character number, -1 where there is none. Number 0 is any other character."""
-        out = np.full((len(self.next), len(alphabet) + 1), -1, dtype=np.int32)
-        for s, arcs in enumerate(self.next):
-            for c, t in arcs.items():
-                out[s, alphabet[c]] = t
-        return out
+
+class ArcTable:
+    """The arcs of an automaton, as state * (characters + 1) + character number in ascending order, and their ends.
+    Number 0 is any other character and has no arc. Its length is the number of states."""
+
+    def __init__(self, machine: SuffixAutomaton, alphabet: dict[str, int]):
+        keys = np.fromiter((s * (len(alphabet) + 1) + alphabet[c] for s, arcs in enumerate(machine.next) for c in arcs),
+                           dtype=np.int64)
+        ends = np.fromiter((t for arcs in machine.next for t in arcs.values()), dtype=np.int32)
+        order = np.argsort(keys)
+        self.keys, self.ends, self.states = keys[order], ends[order], len(machine.next)
+
+    def __len__(self) -> int:
+        return self.states
 
 
 def marked(words: list[str]) -> str:
@@ -84,7 +91,10 @@ class Parser:
         self.names = sorted(samples)
         alphabet = {c: i for i, c in enumerate(sorted(set("".join(samples.values()))), 1)}
         self.codes = alphabet
-        self.tables = [SuffixAutomaton(samples[k]).table(alphabet) for k in self.names]
+        # Lists of arcs, so a model grows with its sample and not with the alphabet of all languages.
+        self.width = len(alphabet) + 1
+        self.tables = [ArcTable(SuffixAutomaton(samples[k]), alphabet) for k in self.names]
+        self.steps: list[dict[int, int]] = []
         # What a phrase tells: a place of the sample and the character that ends it; against a sample of full length.
         self.weights = (np.log([len(samples[k]) + 1.0 for k in self.names]) + np.log(len(alphabet) + 1)) / (
             np.log(LEARNED_CHARS + 1.0) + np.log(len(alphabet) + 1))
@@ -103,23 +113,51 @@ class Parser:
         order = np.argsort(-sizes, kind="stable")
         start = (np.cumsum(sizes) - sizes)[order]
         longest_first = sizes[order]
+        # How many words are still being read at each step; the last few go on alone, character by character.
+        live = len(words) - np.searchsorted(longest_first[::-1], np.arange(longest_first[0] if len(words) else 0), "right")
+        together = int(np.searchsorted(-live, -FEW_WORDS))
         out = np.zeros((len(words), len(self.names)), dtype=np.int32)
         for k, arcs in enumerate(self.tables):
+            keys, ends = arcs.keys, arcs.ends
+            first = np.full(self.width, -1, dtype=np.int32)
+            n = int(np.searchsorted(keys, self.width))
+            first[keys[:n]] = ends[:n]
             state = np.zeros(len(words), dtype=np.int32)
             phrases = np.zeros(len(words), dtype=np.int32)
-            for step in range(int(longest_first[0]) if len(words) else 0):
-                n = int(np.searchsorted(-longest_first, -step, side="left"))
+            for step in range(together):
+                n = live[step]
                 c = flat[start[:n] + step]
-                to = arcs[state[:n], c]
-                ended = to < 0
+                wanted = state[:n].astype(np.int64) * self.width + c
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                ended = keys[at] != wanted
                 # The phrase ends before a character that cannot follow; the next one begins with it.
                 phrases[:n] += ended & (state[:n] > 0)
-                again = arcs[0, c]
+                again = first[c]
                 phrases[:n] += ended & (again < 0)
-                state[:n] = np.where(ended, np.maximum(again, 0), to)
+                state[:n] = np.where(ended, np.maximum(again, 0), ends[at])
+            for w in range(int(live[together]) if together < len(live) else 0):
+                rest = flat[start[w] + together:start[w] + longest_first[w]].tolist()
+                state[w], more = self._alone(k, int(state[w]), rest)
+                phrases[w] += more
             out[order, k] = phrases + (state > 0)
         return out
 
+    def _alone(self, k: int, state: int, codes: list[int]) -> tuple[int, int]:
+        """The state after these characters, and the phrases that end on the way."""
+        if not self.steps:
+            self.steps = [dict(zip(t.keys.tolist(), t.ends.tolist())) for t in self.tables]
+        to, width, phrases = self.steps[k].get, self.width, 0
+        for c in codes:
+            after = to(state * width + c)
+            if after is None:
+                after = to(c, 0)
+                phrases += (state > 0) + (after == 0)
+            state = after
+        return state, phrases
+
+    def __getstate__(self):
+        return {**self.__dict__, "steps": []}
+
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.index) > MOST_WORDS:
             self.clear()
@@ -156,8 +194,12 @@ def learn(docs: DataFrame, held_out: Column) -> Parser:
     """Parser of the languages in the rows (doc_id, text, lang) that are not held out."""
     rows = docs.where(~F.coalesce(held_out, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("lang", F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "text")
-    # Ranked in each task before the shuffle, so a language with most rows sends few.
-    first = rows.withColumn("r", F.expr("row_number() over (partition by lang order by o, text)")).where(
+    # Hashes are ranked without their texts, in each task before the shuffle; the texts of the chosen are fetched after.
+    chosen = rows.select("lang", "o").withColumn("r", F.expr("row_number() over (partition by lang order by o)")).where(
+        F.col("r") <= MOST_DOCUMENTS).select("lang", "o").distinct()
+    # At most MOST_DOCUMENTS short rows per language are broadcast. Rows of one id share a hash, hence the second rank.
+    first = rows.join(F.broadcast(chosen), ["lang", "o"], "left_semi").withColumn(
+        "r", F.expr("row_number() over (partition by lang order by o, text)")).where(
         F.col("r") <= MOST_DOCUMENTS).orderBy("lang", "r")
     words: defaultdict[str, dict[str, None]] = defaultdict(dict)
     chars: defaultdict[str, int] = defaultdict(int)

@@ -1,7 +1,9 @@
 """Small fixtures for every operator: brute force, edge rows, empty tables, extra columns."""
 
+import pickle
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -465,6 +467,29 @@ def test_cross_parsing_counts_phrases():
         assert parser.parse([w]).tolist() == [want], w
 
 
+def test_cross_parsing_of_many_and_long_words():
+    """Words read side by side and words read alone give the same counts, whatever they are read with."""
+    rng = random.Random(8)
+    parser = language_id.Parser({k: language_id.marked(["".join(rng.choices(abc, k=7)) for _ in range(60)])
+                                 for k, abc in (("x", "abcd"), ("y", "cdef"))})
+    words = ["".join(rng.choices("abcdefz", k=rng.randint(1, 12))) for _ in range(300)]
+    words += ["".join(rng.choices("abcd", k=n)) for n in (500, 3000, 20, 21)]
+    together = parser.parse(words)
+    assert together.tolist() == [parser.parse([w])[0].tolist() for w in words]
+    assert parser.parse([]).shape == (0, 2)
+    begun = time.monotonic()
+    parser.parse(["".join(rng.choices("abcd", k=100_000)), *words])
+    assert time.monotonic() - begun < 1
+
+
+def test_parser_of_a_large_alphabet_is_small():
+    rng = random.Random(9)
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    samples = {"signs": language_id.marked(["".join(rng.choices(signs, k=28)) for _ in range(1000)])[:30_000],
+               "latin": language_id.marked(["".join(rng.choices("abcdefgh", k=8)) for _ in range(3000)])[:30_000]}
+    assert len(pickle.dumps(language_id.Parser(samples))) < 20e6
+
+
 def test_language_id(spark, docs, none):
     rng = random.Random(4)
     parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "eber", "ung", "tz"]}
@@ -545,6 +570,17 @@ def test_misspellings_and_quotes():
     assert toxicity.counts(lexicon, 'you idiot\nhe said "what an idiot" and idiott').tolist() == [1, 1, 0, 0, 1, 0]
 
 
+def test_misspellings_by_digits_and_signs():
+    lexicon = toxicity.Lexicon(["idiot", "moron", "stupid"], [])
+    for w in ["id1ot", "m0ron", "idi0t", "st*pid", "stup1d", "Mor*n", "idi*ot"]:
+        assert toxicity.counts(lexicon, f"you {w}, you").tolist() == [0, 0, 0, 0, 1, 0], w
+        assert toxicity.counts(lexicon, f'he said "{w}" twice').tolist() == [0, 0, 0, 0, 0, 1], w
+    # A part that is an entry counts once; codes with several signs are no words.
+    assert toxicity.counts(lexicon, "you*idiot").tolist() == [1, 0, 0, 0, 0, 0]
+    for clean in ["h2o and c3po", "a1d0b2f4", "m0r0n1", "mo+ve", "x id1ot2x"]:
+        assert toxicity.counts(lexicon, clean).tolist() == [0] * 6, clean
+
+
 def test_quotes_reach_over_their_line():
     lexicon, far = toxicity.Lexicon(["idiot"], []), "and so on " * 12
     assert toxicity.counts(lexicon, f'they: "{far} idiot {far}" end').tolist() == [0, 1, 0, 0, 0, 0]
