@@ -22,6 +22,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import getitem
 
 import public_tokenizers
 import pyarrow as pa
@@ -42,6 +44,20 @@ MOST_WORDS, MOST_STATES = 600_000, 150_000
 _NEVER = 1 << 60
 
 
+class ByteState(dict):
+    """A row of the transition table: the next state by byte, entered when it is first asked for."""
+
+    __slots__ = ("machine", "last", "reading")
+
+    def __init__(self, machine: TokenAutomaton, last: int, reading: tuple[tuple[int, int], ...]):
+        super().__init__()
+        self.machine, self.last, self.reading = machine, last, reading
+
+    def __missing__(self, c: int) -> ByteState:
+        state = self[c] = self.machine.enter(self.reading, c)
+        return state
+
+
 class TokenAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         letters = byte_letters()
@@ -81,10 +97,7 @@ class TokenAutomaton:
         self.inner = bytearray(len(self.ends))
         for key in self.child:
             self.inner[key >> 8] = 1
-        self.table: dict[int, int] = {}
-        self.last: list[int] = []
-        self.reading: list[tuple[tuple[int, int], ...]] = []
-        self.number: dict[tuple, int] = {}
+        self.states: dict[tuple, ByteState] = {}
         self._clear()
 
     def _open(self, state: int, arc: int) -> bool:
@@ -108,53 +121,41 @@ class TokenAutomaton:
 
     def _clear(self) -> None:
         """The table with the start only: nothing read, every token may begin."""
-        for kept in (self.table, self.last, self.reading, self.number):
-            kept.clear()
-        start = -1, ((-1, 0),)
-        self.last.append(start[0])
-        self.reading.append(start[1])
-        self.number[start] = 0
-
-    def _enter(self, d: int, c: int) -> int:
-        """The byte state that follows ``d`` on the byte ``c``, entered in the table."""
-        last, reading = -1, []
+        self.states.clear()
+        self.start = self._state(-1, ((-1, 0),))
+
+    def _state(self, last: int, reading: tuple[tuple[int, int], ...]) -> ByteState:
+        state = self.states.get((last, reading))
+        if state is None:
+            if len(self.states) >= MOST_STATES:
+                # A word that is being read goes on from here; its earlier states stay as long as it needs them.
+                self._clear()
+            state = self.states[last, reading] = ByteState(self, last, reading)
+        return state
+
+    def enter(self, reading: tuple[tuple[int, int], ...], c: int) -> ByteState:
+        """The byte state that follows tokens being read on the byte ``c``."""
+        last, after = -1, []
         child, inner, ends = self.child.get, self.inner, self.ends
-        for state, node in self.reading[d]:
+        for state, node in reading:
             node = child(node << 8 | c)
             if node is not None:
                 if inner[node]:
-                    reading.append((state, node))
+                    after.append((state, node))
                 # One path only spells what was read, so the first token that is open is the one.
                 if last < 0 and ends[node] >= 0 and (state < 0 or self._open(self.stands[state], ends[node])):
                     last = ends[node]
         if last >= 0:
-            reading.append((self.after[last], 0))
-        found = last, tuple(reading)
-        e = self.number.get(found)
-        if e is None:
-            if len(self.last) >= MOST_STATES:
-                # ``d`` is gone with its table; the word goes on from here in the new one.
-                self._clear()
-                d = -1
-            e = self.number[found] = len(self.last)
-            self.last.append(last)
-            self.reading.append(found[1])
-        if d >= 0:
-            self.table[d << 8 | c] = e
-        return e
+            after.append((self.after[last], 0))
+        return self._state(last, tuple(after))
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one word: a transition per byte, then the last token of each prefix that a token begins after."""
-        d, ending = 0, []
-        to, enter, last = self.table.get, self._enter, self.last
-        for c in word:
-            e = to(d << 8 | c)
-            d = enter(d, c) if e is None else e
-            ending.append(last[d])
+        path = list(accumulate(word, getitem, initial=self.start))
         out: list[int] = []
         i, size = len(word), self.size
         while i:
-            token = ending[i - 1]
+            token = path[i].last
             if token < 0:
                 raise ValueError(f"no tokens spell {word!r}")
             out.append(token)

@@ -287,12 +287,12 @@ def test_automaton_starts_its_table_anew_and_reads_long_words(monkeypatch):
     words = ["".join(rng.choices("aehinorst", k=rng.randint(1, 40))) for _ in range(400)] + ["abc" * 40_000]
     want = [[t.id for t in model.library.model.tokenize(w)] for w in words]
     assert [model.automaton.encode(w.encode()) for w in words] == want
-    entered = len(model.automaton.table)
-    assert [model.automaton.encode(w.encode()) for w in words] == want and len(model.automaton.table) == entered
+    entered = len(model.automaton.states)
+    assert [model.automaton.encode(w.encode()) for w in words] == want and len(model.automaton.states) == entered
     monkeypatch.setattr(bpe_automaton, "MOST_STATES", 30)
     model.automaton._clear()
     assert [model.automaton.encode(w.encode()) for w in words] == want
-    assert len(model.automaton.last) <= 30
+    assert len(model.automaton.states) <= 30
 
 
 def test_base_secrets():
