@@ -55,3 +55,20 @@ def test_fits_use_the_full_rounds(spark, monkeypatch, name, rounds):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 102
+
+
+def test_bootstrap_draws_every_row_of_equal_values(spark, tmp_path):
+    """Hundreds of rows an hour share one value: each is still drawn by its own key, in the query and in its SQL."""
+    events = f"{tmp_path}/events.parquet"
+    duckdb.sql(f"COPY (SELECT * REPLACE (CAST(user_id % 3 + 1 AS DOUBLE) AS value) FROM '{SF}/events.parquet') TO '{events}'")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW events AS SELECT * FROM '{events}'")
+    df = entry.queries()["diurnal_profile"](spark, str(tmp_path))
+    sql = entry.oracle_sql()["diurnal_profile"]
+    rel = own.sql(sql)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(rel.columns, rel.fetchall())
+    # The rows that are resampled are all clean rows, one by one.
+    head, _ = sql.split("started AS")
+    drawn = own.sql(head.rstrip().rstrip(",") + " SELECT count(*), count(DISTINCT seed) FROM drawn WHERE replicate = 1").fetchall()[0]
+    clean = own.sql(head.split(", seeded AS")[0] + " SELECT count(*) FROM clean").fetchall()[0]
+    assert drawn[0] == clean[0] and drawn[1] > 0.99 * clean[0]
