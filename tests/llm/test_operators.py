@@ -345,6 +345,24 @@ def test_secret_scan_finds_secrets_without_a_keyword(spark):
     assert sum(len(v) for v in learned.values()) <= len(bare) + 8
 
 
+def test_secret_scan_learns_from_every_finding(spark):
+    """Thousands of findings of one kind, few of the other: all fit or calibrate, in several chunks, and rare ones are in each."""
+    rng, rows = random.Random(21), []
+    for i in range(3000):
+        long = " ".join("".join(rng.choices("aeiourstnl", k=24)) for _ in range(3))
+        key = f" token={''.join(rng.choices('0123456789abcdefABCDEF', k=40))}" if i % 30 == 0 else ""
+        rows.append((i, f"see {long}{key}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    findings = df.select("text").mapInArrow(secrets._findings, "w binary, label int").distinct()
+    n = {r["label"]: r["count"] for r in findings.groupBy("label").count().collect()}
+    assert n == {0: 9000, 1: 100}
+    net = secrets.train(df)
+    # About half of all is held out; of the fitted half, the rare kind went to both chunks and all others to one.
+    again = net.fitted + net.held - 9100
+    assert 4000 < net.held < 5100 and 30 < again < 70
+    assert net.recall >= secrets.RECALL and net.flagged < 0.01
+
+
 def test_secret_candidates_are_read_whole():
     """Every character of a long run is in some window, and a base span leaves the rest of its run."""
     rng = random.Random(14)
