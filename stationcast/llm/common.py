@@ -95,8 +95,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph, as (node, root): the smallest node that is reachable.
 
     ``edges`` has long columns a and b; nodes without an edge to another node are not listed. Large-star and
-    small-star rounds (each joins the edges with the smallest neighbour of each node) run until nothing changes,
-    about log(nodes) rounds. Every round is written to the shared folder, so lost executors cost one round.
+    small-star rounds (each joins the edges with the smallest neighbour of each node) run until the edges are stars:
+    every node has one smaller neighbour or is one, about log(nodes) rounds. Every round is written to the shared folder, so lost executors cost one round.
     """
     spark = edges.sparkSession
     now = (edges.where("a <> b and a is not null and b is not null")
@@ -108,7 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("least")).select(
             F.col("a").alias("u"), F.least("a", "least").alias("m"))
         large = (both.join(least, both["a"] == least["u"]).where("b > a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
         # After a large star every edge leads down: small star joins each node's lower neighbours to the smallest.
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = (large.join(low, large["a"] == low["u"])
@@ -116,11 +116,14 @@ def components(edges: DataFrame) -> DataFrame:
                  .union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
         after = scratch_path(spark, "star")
         small = materialize(small, after)
-        same = (small.select("a", "b", F.lit(1).alias("way")).union(now.select("a", "b", F.lit(-1).alias("way")))
-                .groupBy("a", "b").agg(F.sum("way").alias("way")).where("way <> 0").limit(1).count() == 0)
+        # Edges lead down, so a node with two of them, or one that leads on from a root, shows that this is no star yet.
+        left = (small.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("root"))
+                .union(small.select("b", F.lit(0), F.lit(1))).groupBy("node")
+                .agg(F.sum("down").alias("down"), F.max("root").alias("root")).where("down + root > 1"))
+        done = left.agg(F.count("*")).first()[0] == 0
         drop_table(spark, path)
         now, path = small, after
-        if same:
+        if done:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

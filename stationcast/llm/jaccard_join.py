@@ -40,6 +40,8 @@ COUNTED = np.uint64(int(0.3 * 2**64))
 FREQUENT, MOST_FREQUENT = 64, 1 << 22
 BLOCK = 1024
 MOST_BITS = 4096
+#: Rows of an Arrow batch while texts are read.
+BATCH_ROWS = 2048
 
 SIGNATURE = "doc_id long, n long, d1 long, d2 long, bitmap binary"
 
@@ -135,10 +137,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_signatures, SIGNATURE)
 
 
-def _flat(found: list[tuple[int, np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    values = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.uint64)
-    ids = np.repeat(np.array([d for d, _ in found], dtype=np.int64), [len(s) for _, s in found])
-    return pa.RecordBatch.from_arrays([pa.array(X.signed(values)), pa.array(ids)], names=names)
+def _flat(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    values, sizes = np.concatenate([s for *_, s in found]), [len(s) for *_, s in found]
+    ids, n = (np.repeat(np.array([f[k] for f in found], dtype=np.int64), sizes) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(X.signed(values)), pa.array(ids), pa.array(n)], names=["token", "id", "n"])
 
 
 def _counted_shingles(docs: DataFrame, reps: KeyFilter) -> DataFrame:
@@ -186,7 +188,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, again: KeyFilter | None = None)
 
 
 def _prefixes(docs: DataFrame, reps: KeyFilter, frequent: np.ndarray, again: KeyFilter) -> DataFrame:
-    """(token, id) of all prefix shingles but those counted once: they are in no other document."""
+    """(token, id, n) of all prefix shingles, with the size of their set, but those counted once: they are in no other document."""
     shared = docs.sparkSession.sparkContext.broadcast((reps, frequent, again))
 
     def run(batches):
@@ -197,15 +199,15 @@ def _prefixes(docs: DataFrame, reps: KeyFilter, frequent: np.ndarray, again: Key
             for i, s in shingle_sets(texts):
                 if known[i] and len(s):
                     first = prefix(s, often, repeated)
-                    found.append((numbers[i], first[(first >= COUNTED) | repeated(X.signed(first))]))
-                    size += len(found[-1][1])
+                    found.append((numbers[i], len(s), first[(first >= COUNTED) | repeated(X.signed(first))]))
+                    size += len(found[-1][2])
                     if size > 100_000:
-                        yield _flat(found, ["token", "id"])
+                        yield _flat(found)
                         found, size = [], 0
             if found:
-                yield _flat(found, ["token", "id"])
+                yield _flat(found)
         yield from _rows(batches, "", make, keys)
-    return docs.mapInArrow(run, "token long, id long")
+    return docs.mapInArrow(run, "token long, id long, n long")
 
 
 def _sets(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
@@ -233,13 +235,11 @@ def _sets(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
 
 
 def _test_pairs(pairs: DataFrame, sets: DataFrame, column: str, keep) -> DataFrame:
-    """Joins both sides' ``column`` to (a, b) and keeps the pairs for which ``keep(na, x, nb, y)`` holds."""
+    """Joins both sides' ``column`` to (a, b) and keeps the pairs for which ``keep(na, x, nb, y)`` holds.
+
+    A pair may come more than once where several rows share an id."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(column).alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
-    # The size condition needs no bytes of the sets, so the second join sees only pairs of like size.
-    sizes = sets.select(F.col("id").alias("b"), F.col("n").alias("nb0"))
-    close = (pairs.join(sizes, "b").join(left, "a")
-             .where(F.expr(f"100 * least(na, nb0) >= {PERCENT} * greatest(na, nb0)")).drop("nb0"))
 
     def run(batches):
         for batch in batches:
@@ -250,7 +250,9 @@ def _test_pairs(pairs: DataFrame, sets: DataFrame, column: str, keep) -> DataFra
             at = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)],
                                              names=["a", "b"])
-    return close.join(right, "b").select("a", "na", "x", "b", "nb", "y").mapInArrow(run, "a long, b long").distinct()
+    return (pairs.join(left, "a").join(right, "b")
+            .where(F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"))
+            .select("a", "na", "x", "b", "nb", "y").mapInArrow(run, "a long, b long"))
 
 
 def _bound_allows(na, x, nb, y) -> bool:
@@ -268,8 +270,8 @@ def _intersects(na, x, nb, y) -> bool:
 def verified(pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> DataFrame:
     """The candidate pairs that link: first by bitmaps, then by the sorted arrays of the texts still in question."""
     left = materialize(_test_pairs(pairs, bitmaps, "bitmap", _bound_allows))
-    ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    sets = materialize(_sets(docs, key_filter(ids, ids.count())))
+    ids = left.select(F.col("a").alias("id")).union(left.select("b"))
+    sets = materialize(_sets(docs, key_filter(ids, ids.count())), batch_rows=BATCH_ROWS)
     return materialize(_test_pairs(left, sets, "hashes", _intersects))
 
 
@@ -399,23 +401,27 @@ def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = materialize(signatures(docs))
+    marks = materialize(signatures(docs), batch_rows=BATCH_ROWS)
     classes = materialize(marks.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     size = classes.agg(F.count("*").alias("reps"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
     reps = key_filter(classes.select("rep"), size["reps"])
     # Counts above total / MOST_FREQUENT are at most MOST_FREQUENT, which bounds what is collected and broadcast.
     least = max(FREQUENT, -(-size["shingles"] // MOST_FREQUENT))
-    counts = materialize(_counted_shingles(docs, reps).groupBy("token").count().where("count > 1"))
+    counts = materialize(_counted_shingles(docs, reps).groupBy("token").count().where("count > 1"),
+                         batch_rows=BATCH_ROWS)
     often = counts.where(F.col("count") > least).select("token").toArrow().column("token").to_numpy()
     rows = _prefixes(docs, reps, np.sort(often.astype(np.int64).view(np.uint64)),
                      key_filter(counts.select("token"), counts.count()))
-    groups = (rows.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
-              .where("leader < last").select("token", "leader"))
-    shared = materialize(rows.join(groups, "token"))
+    groups = (rows.groupBy("token").agg(F.min("id").alias("leader"), F.min_by("n", "id").alias("leader_n"),
+                                        F.max("id").alias("last"))
+              .where("leader < last").select("token", "leader", "leader_n"))
+    shared = materialize(rows.join(groups, "token"), batch_rows=BATCH_ROWS)
     bitmaps = marks.where("n > 0").select(F.col("doc_id").alias("id"), "n", "bitmap")
-    first = verified(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(),
-                     bitmaps, docs)
+    # Only sets of like size are candidates, which is known here without their bitmaps. Where a leader's id has several
+    # texts, those left out here are in other components and meet in the tiles.
+    like = f"id <> leader and 100 * least(n, leader_n) >= {PERCENT} * greatest(n, leader_n)"
+    first = verified(shared.where(like).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), bitmaps, docs)
     second = verified(tile_candidates(shared, bitmaps, components(first)), bitmaps, docs)
     copies = classes.where("copies > 1").select("d1", "d2", "n", "rep")
     nodes = marks.drop("bitmap").join(copies, ["d1", "d2", "n"], "left").withColumn("node", F.coalesce("rep", "doc_id"))

@@ -93,6 +93,16 @@ def shingles(t):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def test_components_that_are_stars_end_in_one_round(spark, monkeypatch):
+    """Stars are found to be done by one count, not by another round of shuffles; chains go on until they are stars."""
+    written, materialize = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, *a: written.append(1) or materialize(df, *a))
+    got = common.components(spark.createDataFrame([(1, 2), (3, 1), (7, 9)], "a long, b long")).collect()
+    assert {tuple(r) for r in got} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)} and len(written) == 2
+    chain = common.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+    assert {tuple(r) for r in chain} == {(i, 0) for i in range(41)} and len(written) > 4
+
+
 def brute_components(texts):
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
 
