@@ -21,6 +21,8 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +34,8 @@ from stationcast.llm.common import components, materialize, table
 THRESHOLD = 0.93
 K = 10
 TABLES, BLOCK, CHUNK, TILE = 12, 64, 48, 1024
+#: Tables that are shuffled at a time: each sends all vectors.
+AT_ONCE = 3
 AUDITED, RECALL, ROUNDS = 1000, 0.999, 6
 SEED = 11
 
@@ -62,7 +66,7 @@ def _codes(table_no: int, dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, table_no, dim]).normal(size=(dim, 31))
 
 
-def _coded(vectors: DataFrame, number: int) -> DataFrame:
+def _coded(vectors: DataFrame, number: int, tables: range = range(TABLES)) -> DataFrame:
     """Each vector once per table of a round, with its sign code there."""
     def run(batches):
         for batch in batches:
@@ -70,7 +74,7 @@ def _coded(vectors: DataFrame, number: int) -> DataFrame:
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 v = _vectors(part)
-                for t in range(TABLES):
+                for t in tables:
                     bits = (v @ _codes(number * TABLES + t, int(dim)) > 0) @ (1 << np.arange(30, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id"), part.column("comp"), part.column("label"), part.column("dim"),
@@ -141,8 +145,8 @@ def _compared(groups, best: int):
         yield _batch(found)
 
 
-def first_graph(vectors: DataFrame, number: int = 0) -> DataFrame:
-    """Neighbours out of blocks of like sign codes, by the tables of a round."""
+def first_graph(vectors: DataFrame, number: int = 0, tables: range = range(TABLES)) -> DataFrame:
+    """Neighbours out of blocks of like sign codes, by the tables of a round or some of them."""
     def run(batches):
         def blocks():
             for batch in batches:
@@ -156,7 +160,7 @@ def first_graph(vectors: DataFrame, number: int = 0) -> DataFrame:
                         if b == hi:
                             break
         yield from _compared(blocks(), K)
-    coded = _coded(vectors, number).withColumn("group", F.xxhash64("t", "label", "dim"))
+    coded = _coded(vectors, number, tables).withColumn("group", F.xxhash64("t", "label", "dim"))
     return coded.repartitionByRange("group", "code", "id").sortWithinPartitions("group", "code", "id").select(
         "group", "id", "comp", "vec").mapInArrow(run, _EDGES)
 
@@ -319,8 +323,10 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     placed = vectors.withColumn("comp", F.col("id"))
     graph, links, whole = None, None, False
     for number in range(ROUNDS):
-        found = first_graph(placed, number)
-        found = materialize(found if graph is None else found.union(round_of(graph, placed, number)))
+        # Few tables at a time: all of them at once hold every vector TABLES times in the executors' sorts.
+        parts = [materialize(first_graph(placed, number, range(t, min(t + AT_ONCE, TABLES)))) for t in range(0, TABLES, AT_ONCE)]
+        parts += [] if graph is None else [materialize(round_of(graph, placed, number))]
+        found = reduce(DataFrame.union, parts)
         links = _sound(found) if links is None else links.union(_sound(found))
         roots = components(links)
         placed = place(roots)

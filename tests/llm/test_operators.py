@@ -402,6 +402,17 @@ def test_secret_scan_reads_the_middle_of_long_runs(spark):
     assert len(found & hidden) >= 18 and len(found - hidden) <= 8
 
 
+def test_sign_code_tables_come_in_parts(spark):
+    """A shuffle of sign codes holds each vector a few times only; together the parts are all tables."""
+    rows = [(i, i, "a", 2, [1.0 - i, float(i)]) for i in range(5)]
+    vectors = spark.createDataFrame(rows, "id long, comp long, label string, dim int, vec array<double>")
+    n, step = embedding_dedup.TABLES, embedding_dedup.AT_ONCE
+    parts = [embedding_dedup._coded(vectors, 1, range(t, min(t + step, n))).select("id", "t", "code").collect()
+             for t in range(0, n, step)]
+    assert step < n and all(len(p) == step * 5 for p in parts)
+    assert sorted(r for p in parts for r in p) == sorted(embedding_dedup._coded(vectors, 1).select("id", "t", "code").collect())
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(2)
     rows = []
