@@ -7,7 +7,9 @@ state, and all arcs of one label lead to one state (``after``). A state is kept
 each part was used up, and an arc is closed by a hole on its left spine in the same way: all arcs but those exist.
 
 That automaton reads tokens. Over bytes it is determinised: a byte state holds the token that ends here and every (state,
-trie place) of a token still being read. Each prefix of a word is spelled by one path only, so a byte state has one last
+trie place) of a token still being read. Of a state only the tokens below the trie place still matter: where they are few,
+states that leave the same of them open are taken as one, and what leaves none open is dropped, so that made-up words need
+few byte states of their own. Each prefix of a word is spelled by one path only, so a byte state has one last
 token at most. Its transitions are entered in a table when they are first asked for (``MOST_STATES`` at most; then
 the table starts anew, with the same results). A word is encoded by one transition per byte, never going back; its tokens are
 then read off the last tokens from the end. Decoding emits arc labels: the bytes of each token. Texts are split
@@ -21,26 +23,27 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from operator import getitem
 
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stationcast.llm import text as X
 from stationcast.llm.common import table
-from stationcast.llm.tokens import byte_letters
+from stationcast.llm.tokens import LETTERS, NUMBERS, byte_letters
 
-#: The split of the tokenizer file's byte-level step (fixed value).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The split of the tokenizer file's byte-level step (fixed value), with the letters and numbers that usual texts can have.
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 #: Texts with other characters are split by the library, whose Unicode tables decide.
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-ɏ]")
-MOST_WORDS, MOST_STATES = 600_000, 150_000
+MOST_WORDS, MOST_STATES, MOST_MOVES = 600_000, 150_000, 500_000
+#: States at a trie place with more tokens below stay apart.
+FEW_TOKENS = 16
 _NEVER = 1 << 60
 
 
@@ -49,7 +52,7 @@ class ByteState(dict):
 
     __slots__ = ("machine", "last", "reading")
 
-    def __init__(self, machine: TokenAutomaton, last: int, reading: tuple[tuple[int, int], ...]):
+    def __init__(self, machine: TokenAutomaton, last: int, reading: tuple[int, ...]):
         super().__init__()
         self.machine, self.last, self.reading = machine, last, reading
 
@@ -81,6 +84,8 @@ class TokenAutomaton:
             self.after[a], states = states, states + 1
         #: Tokens that end alike lead to one state, for which one of them stands.
         self.stands = {state: token for token, state in self.after.items()}
+        #: A word's start is read as if after a state of its own, which has all arcs.
+        self.stands[states] = None
         self.size = {token: len(self.label[token]) for token in self.after}
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
@@ -93,11 +98,20 @@ class TokenAutomaton:
                     node = self.child[key] = len(self.ends)
                     self.ends.append(-1)
             self.ends[node] = token
-        #: Places with further bytes below; at others nothing is read on.
-        self.inner = bytearray(len(self.ends))
-        for key in self.child:
-            self.inner[key >> 8] = 1
+        #: The tokens below each trie place: none, a few, or (None) more than that.
+        self.below: list[tuple[int, ...] | None] = [()] * len(self.ends)
+        for key, node in reversed(self.child.items()):
+            here, more = self.below[key >> 8], self.below[node]
+            if here is not None:
+                few = None if more is None else here + more + ((self.ends[node],) if self.ends[node] >= 0 else ())
+                self.below[key >> 8] = few if few is None or len(few) <= FEW_TOKENS else None
+        #: A token being read is one number: its state above its trie place.
+        self.bits = len(self.ends).bit_length()
+        self.begun = {token: state << self.bits for token, state in self.after.items()}
+        self.first = states << self.bits
         self.states: dict[tuple, ByteState] = {}
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.alike: dict[tuple[int, ...], int] = {}
         self._clear()
 
     def _open(self, state: int, arc: int) -> bool:
@@ -121,10 +135,13 @@ class TokenAutomaton:
 
     def _clear(self) -> None:
         """The table with the start only: nothing read, every token may begin."""
-        self.states.clear()
-        self.start = self._state(-1, ((-1, 0),))
+        for state in self.states.values():
+            state.clear()
+        for kept in (self.states, self.moves, self.alike):
+            kept.clear()
+        self.start = self._state(-1, (self.first,))
 
-    def _state(self, last: int, reading: tuple[tuple[int, int], ...]) -> ByteState:
+    def _state(self, last: int, reading: tuple[int, ...]) -> ByteState:
         state = self.states.get((last, reading))
         if state is None:
             if len(self.states) >= MOST_STATES:
@@ -133,20 +150,36 @@ class TokenAutomaton:
             state = self.states[last, reading] = ByteState(self, last, reading)
         return state
 
-    def enter(self, reading: tuple[tuple[int, int], ...], c: int) -> ByteState:
+    def _move(self, reading: int, c: int) -> tuple[int, int]:
+        """A token being read on the byte ``c``: what is being read then (0: nothing), and the token that ends (or -1)."""
+        above = reading >> self.bits
+        node = self.child.get((reading - (above << self.bits)) << 8 | c)
+        if node is None:
+            return 0, -1
+        left, token, below = self.stands[above], self.ends[node], self.below[node]
+        after = above << self.bits | node
+        if below is not None:
+            # The state matters for the tokens below only: those that leave the same ones open are one.
+            still = below if left is None else tuple(t for t in below if self._open(left, t))
+            after = self.alike.setdefault((node, *still), after) if still else 0
+        return after, token if token >= 0 and (left is None or self._open(left, token)) else -1
+
+    def enter(self, reading: tuple[int, ...], c: int) -> ByteState:
         """The byte state that follows tokens being read on the byte ``c``."""
-        last, after = -1, []
-        child, inner, ends = self.child.get, self.inner, self.ends
-        for state, node in reading:
-            node = child(node << 8 | c)
-            if node is not None:
-                if inner[node]:
-                    after.append((state, node))
-                # One path only spells what was read, so the first token that is open is the one.
-                if last < 0 and ends[node] >= 0 and (state < 0 or self._open(self.stands[state], ends[node])):
-                    last = ends[node]
+        last, after, moves = -1, [], self.moves
+        for r in reading:
+            move = moves.get(r << 8 | c)
+            if move is None:
+                if len(moves) >= MOST_MOVES:
+                    moves.clear()
+                move = moves[r << 8 | c] = self._move(r, c)
+            if move[0]:
+                after.append(move[0])
+            # One path only spells what was read, so the first token that is open is the one.
+            if move[1] >= 0 > last:
+                last = move[1]
         if last >= 0:
-            after.append((self.after[last], 0))
+            after.append(self.begun[last])
         return self._state(last, tuple(after))
 
     def encode(self, word: bytes) -> list[int]:
@@ -171,6 +204,21 @@ class TokenAutomaton:
             return b"".join(label[i] if i in label else special[i] for i in ids)
 
 
+class KeptWords(dict):
+    """What ``find`` says of a word, kept in two halves: words of the older half that are not met again go first."""
+
+    def __init__(self, find: Callable[[str], tuple[str, bytes]]):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, w: str) -> tuple[str, bytes]:
+        if len(self) >= MOST_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        found = self[w] = self.older.pop(w, None) or self.find(w)
+        return found
+
+
 class ByteBpe:
     """A tokenizer file's byte-level BPE: words are split, encoded by the automaton, and kept by word."""
 
@@ -184,10 +232,10 @@ class ByteBpe:
         self.labels = {i: s.encode() for s, i in self.special.items()}
         self.numbers = {i: str(i) for i in self.automaton.label}
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(SPLIT).findall
+        self.split = re.compile(SPLIT).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
                               ).split if self.special else (lambda t: [t])
-        self.kept: dict[str, tuple[int, str, bytes]] = {}
+        self.kept = KeptWords(self.word)
 
     def words(self, text: str) -> list[bytes] | list[str]:
         if not _UNUSUAL.search(text):
@@ -196,31 +244,25 @@ class ByteBpe:
         return [bytes(letters[c] for c in w).decode("utf-8", "surrogateescape")
                 for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def word(self, w: str) -> tuple[int, str, bytes]:
-        """How many tokens a word has, their ids as text, and the bytes their labels spell."""
+    def word(self, w: str) -> tuple[str, bytes]:
+        """The ids of a word's tokens as text, and the bytes their labels spell."""
         ids = self.automaton.encode(w.encode("utf-8", "surrogateescape"))
-        return len(ids), ",".join(map(self.numbers.__getitem__, ids)), self.automaton.decode(ids, self.labels)
+        return ",".join(map(self.numbers.__getitem__, ids)), self.automaton.decode(ids, self.labels)
 
     def encoded(self, text: str) -> tuple[int, str, bytes]:
-        parts: list[tuple[int, str, bytes]] = []
-        kept = self.kept
+        """How many tokens a text has, their ids as text, and the bytes their labels spell."""
+        parts: list[tuple[str, bytes]] = []
         for piece in self.cut(text):
             if piece in self.special:
                 i = self.special[piece]
-                parts.append((1, str(i), self.labels[i]))
+                parts.append((str(i), self.labels[i]))
             elif piece:
-                words = self.words(piece)
-                new = set(words).difference(kept)
-                if len(kept) + len(new) > MOST_WORDS:
-                    kept.clear()
-                    new = set(words)
-                for w in new:
-                    kept[w] = self.word(w)
-                parts += map(kept.__getitem__, words)
+                parts += map(self.kept.__getitem__, self.words(piece))
         if not parts:
             return 0, "", b""
-        counts, ids, labels = zip(*parts)
-        return sum(counts), ",".join(ids), b"".join(labels)
+        words, labels = zip(*parts)
+        ids = ",".join(words)
+        return ids.count(",") + 1, ids, b"".join(labels)
 
 
 _models: dict[str, ByteBpe] = {}
